@@ -9,45 +9,49 @@ from ..operators import rates as R
 from .registry import finish, register
 
 
-def _daily_sql(keys: list[str]) -> str:
+def _daily_sql(keys: list[str], src: str = "timed_event") -> str:
     k = ", ".join(keys)
     return f"""SELECT searchdate, {k},
        CAST(SUM(CASE WHEN event = 'booking' THEN 1 ELSE 0 END) AS BIGINT) AS booking_count,
        CAST(SUM(CASE WHEN event = 'hotel_details_page' THEN 1 ELSE 0 END) AS BIGINT) AS details_count,
        COUNT(fprice) AS impression_count
-  FROM timed_event GROUP BY searchdate, {k}"""
+  FROM {src} GROUP BY searchdate, {k}"""
 
 
-def rates_oracle(keys: list[str], prefix: str, days: int = 7, z: float = 1.282) -> str:
-    """Textbook form: self-join each (key, day j) to the key's days i in [j-6, j]."""
+def rates_ctes(keys: list[str], prefix: str, days: int = 7, z: float = 1.282, src: str = "timed_event") -> str:
+    """CTEs ending in ``{prefix}_rates``: self-join each (key, day j) to the
+    key's days i in [j-6, j] (the textbook weighted sums)."""
     k = ", ".join(keys)
     on = " AND ".join(f"a.{c} = b.{c}" for c in keys)
     nn = " AND ".join(f"{c} IS NOT NULL" for c in keys)
     ak = ", ".join(f"a.{c}" for c in keys)
     pk = ", ".join(f"p.{c}" for c in keys)
-    rates = ", ".join(
-        f"round(m_{r} - {z} * sqrt(v_{r}) / S, 6) AS {prefix}_{r}" for r in R.RATES)
+    rates = ", ".join(f"m_{r} - {z} * sqrt(v_{r}) / S AS {prefix}_{r}" for r in R.RATES)
     means = ", ".join(f"SUM(w * {r}) / S AS m_{r}" for r in R.RATES)
     spreads = ", ".join(
         f"SUM(p.w * CASE WHEN p.{r} <> 0 THEN (p.{r} - m.m_{r}) * (p.{r} - m.m_{r}) ELSE 0 END) AS v_{r}"
         for r in R.RATES)
-    mcols = ", ".join(f"m.m_{r}" for r in R.RATES)
-    return duck_with(["timed_event"], f""", daily AS ({_daily_sql(keys)}),
-dates AS (SELECT searchdate, dense_rank() OVER (ORDER BY searchdate) - 1 AS di
-            FROM (SELECT DISTINCT searchdate FROM daily WHERE searchdate IS NOT NULL)),
-rates AS (SELECT {k}, d.searchdate, di,
+    P = prefix
+    return f"""{P}_daily AS ({_daily_sql(keys, src)}),
+{P}_dates AS (SELECT searchdate, dense_rank() OVER (ORDER BY searchdate) - 1 AS di
+            FROM (SELECT DISTINCT searchdate FROM {P}_daily WHERE searchdate IS NOT NULL)),
+{P}_r AS (SELECT {k}, d.searchdate, di,
                  CASE WHEN impression_count = 0 THEN 0 ELSE details_count / impression_count END AS ctr,
                  CASE WHEN impression_count = 0 THEN 0 ELSE booking_count / impression_count END AS br,
                  CASE WHEN details_count = 0 THEN 0 ELSE booking_count / details_count END AS dtob
-            FROM daily d JOIN dates USING (searchdate) WHERE {nn}),
-pairs AS (SELECT {ak}, a.searchdate, a.di AS j, {days} - (a.di - b.di) AS w,
+            FROM {P}_daily d JOIN {P}_dates USING (searchdate) WHERE {nn}),
+{P}_pairs AS (SELECT {ak}, a.searchdate, a.di AS j, {days} - (a.di - b.di) AS w,
                  b.ctr, b.br, b.dtob,
                  CAST({days} * (LEAST(a.di, {days - 1}) + 1)
                       - (LEAST(a.di, {days - 1}) + 1) * LEAST(a.di, {days - 1}) / 2 AS DOUBLE) AS S
-            FROM rates a JOIN rates b ON {on} AND b.di BETWEEN a.di - {days - 1} AND a.di),
-m AS (SELECT {k}, j, searchdate, S, {means} FROM pairs GROUP BY {k}, j, searchdate, S),
-v AS (SELECT {pk}, p.j, {spreads} FROM pairs p JOIN m USING ({k}, j) GROUP BY {pk}, p.j)
-SELECT {k}, m.searchdate, {rates} FROM m JOIN v USING ({k}, j)""")
+            FROM {P}_r a JOIN {P}_r b ON {on} AND b.di BETWEEN a.di - {days - 1} AND a.di),
+{P}_m AS (SELECT {k}, j, searchdate, S, {means} FROM {P}_pairs GROUP BY {k}, j, searchdate, S),
+{P}_v AS (SELECT {pk}, p.j, {spreads} FROM {P}_pairs p JOIN {P}_m m USING ({k}, j) GROUP BY {pk}, p.j),
+{P}_rates AS (SELECT {k}, searchdate, {rates} FROM {P}_m JOIN {P}_v USING ({k}, j))"""
+
+
+def rates_oracle(keys: list[str], prefix: str, days: int = 7, z: float = 1.282) -> str:
+    return duck_with(["timed_event"], f", {rates_ctes(keys, prefix, days, z)}\nSELECT * FROM {prefix}_rates")
 
 
 def _daily(spark, sf, keys):

@@ -34,6 +34,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.master(master)
     conf = dict(BASE_CONF)
     conf["spark.ui.enabled"] = "false"
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf.setdefault("spark.driver.memory", os.environ.get("RANKLOOM_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
