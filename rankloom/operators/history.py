@@ -130,4 +130,7 @@ def keep_known(df: DataFrame, arr: str, vocab: DataFrame, value: str, by: str |
                  .groupBy(request)
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", kept.alias("v")))),
                                   lambda x: x["v"]).alias(f"{arr}_known")))
-    return df.join(rebuilt, on=request, how="left")
+    out = df.join(rebuilt, on=request, how="left")
+    empty = F.array().cast(df.schema[arr].dataType)
+    return out.withColumn(f"{arr}_known", F.when(F.col(arr).isNotNull(),
+                                                 F.coalesce(F.col(f"{arr}_known"), empty)))

@@ -70,7 +70,7 @@ def normalise_oracle(sql: str, sample_dir: str) -> str:
         elif t in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER", "BOOLEAN"):
             rep.append(f"CAST({q} AS BIGINT) AS {q}")
         elif t in ("DOUBLE[]", "FLOAT[]"):
-            rep.append(f"list_transform({q}, x -> round(CAST(x AS DOUBLE), {DIGITS})) AS {q}")
+            rep.append(f"list_transform({q}, lambda x: round(CAST(x AS DOUBLE), {DIGITS})) AS {q}")
     if not rep:
         return sql
     return f"SELECT * REPLACE ({', '.join(rep)}) FROM (\n{sql}\n) AS _q"
