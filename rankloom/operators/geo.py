@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +60,16 @@ def _candidates(items: DataFrame, places: DataFrame, h: float) -> DataFrame:
     })
 
 
+def radius_pairs(items: DataFrame, places: DataFrame, radius_km: float = 5.0) -> DataFrame:
+    """All (item, place, dist) with dist <= radius_km, by grid blocking."""
+    items = _xyz(items.select("itemid", "lat", "lng"), "lat", "lng")
+    places = _xyz(places.select("placeid", "lat", "lng", "conversion"), "lat", "lng")
+    c = _candidates(items, places, chord(radius_km) * 1.001)
+    return c.where(F.col("dist") <= radius_km).select("itemid", "placeid", "dist")
+
+
 def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
-                   growth: float = 8.0) -> DataFrame:
+                   growth: float = 16.0) -> DataFrame:
     """(itemid, lat, lng) x (placeid, lat, lng, conversion) -> (itemid, distance_backfill).
 
     Within ``radius_km``: the place with the highest conversion (nulls last;
@@ -79,20 +88,26 @@ def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
     best = near.groupBy("itemid").agg(F.min_by("dist", F.struct(
         F.col("conversion").isNull(), -F.col("conversion"), F.col("dist"), F.col("placeid"))).alias("distance_backfill"))
 
-    pending = items.join(best.select("itemid"), "itemid", "left_anti")
+    # Level by level over the items still open. Each level's result is
+    # persisted (memory and disk; rebuilt from lineage if an executor goes) so
+    # the next level does not recompute it, and the loop stops as soon as no
+    # item is open: at most log_growth(2 / h0) levels, one small action each.
+    best = best.persist(StorageLevel.MEMORY_AND_DISK)
+    pending = items.join(best.select("itemid"), "itemid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
     found = [best]
     h = h0
-    while True:
+    while not pending.isEmpty():
         h *= growth
         top = h >= 2.0
         cand = _candidates(pending, places, 4.0 if top else h)
         nearest = cand.groupBy("itemid").agg(
             F.min_by(F.struct("dist", "_chord"), F.struct("dist", "placeid")).alias("_b"))
         ok = nearest if top else nearest.where(F.col("_b._chord") <= h)
-        found.append(ok.select("itemid", F.col("_b.dist").alias("distance_backfill")))
+        ok = ok.select("itemid", F.col("_b.dist").alias("distance_backfill")).persist(StorageLevel.MEMORY_AND_DISK)
+        found.append(ok)
         if top:
             break
-        pending = pending.join(ok.select("itemid"), "itemid", "left_anti")
+        pending = pending.join(ok.select("itemid"), "itemid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from . import catalog_assembly, catalog_features, catalog_history, catalog_rates  # noqa: F401
+from . import (catalog_assembly, catalog_features, catalog_geo, catalog_history,  # noqa: F401
+               catalog_rates)
 from .registry import ORACLES, QUERIES, normalise_oracle
 
 SAMPLE_DIR = "/root/testdata/sf0.001"
