@@ -20,12 +20,19 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: mean and sample stddev of every column, one pass."""
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
+        aggs += [F.avg(_exact(df, c)).cast("double").alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
     return df.agg(*aggs)
 
 
+def _exact(df: DataFrame, c: str):
+    """Integral columns are averaged as decimals (exact sums: an epoch-ms mean
+    summed in doubles loses its last digits)."""
+    t = df.schema[c].dataType.typeName()
+    return F.col(c).cast("decimal(38,0)") if t in ("long", "integer", "short", "byte") else F.col(c)
+
+
 def column_means(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.agg(*[F.avg(c).alias(c) for c in cols])
+    return df.agg(*[F.avg(_exact(df, c)).cast("double").alias(c) for c in cols])
 
 
 def column_stddevs(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -102,7 +102,8 @@ def chain_spark(spark, sf, upto: int):
     return df
 
 
-def chain_sql(upto: int, where: str = "") -> str:
+def chain_ctes(upto: int, where: str = "", out: str = "chain") -> str:
+    """CTE text (without WITH) ending in ``name`` = the joined chain."""
     ctes = [f"requests AS ({SQL['requests']})"]
     frm = "requests"
     for i, (_, name, on, how) in enumerate(CHAIN[:upto + 1]):
@@ -111,8 +112,12 @@ def chain_sql(upto: int, where: str = "") -> str:
         else:
             ctes.append(f"{name} AS ({SQL[name]})")
         frm = f"{frm} {'JOIN' if how == 'inner' else 'LEFT JOIN'} {name} USING ({', '.join(on)})"
-    body = ",\n".join(ctes)
-    return duck_with(VIEWS, f", {body}\nSELECT * FROM {frm} {where}")
+    ctes.append(f"{out} AS (SELECT * FROM {frm} {where})")
+    return ",\n".join(ctes)
+
+
+def chain_sql(upto: int, where: str = "") -> str:
+    return duck_with(VIEWS, f", {chain_ctes(upto, where)}\nSELECT * FROM chain")
 
 
 for i, (key, *_rest) in enumerate(CHAIN):

@@ -210,3 +210,115 @@ def q_prj_rename(spark, sf):
 def q_join_place(spark, sf):
     df = view(spark, sf, "search_request")
     return finish(A.replace_place(df, L.read_request_place(view(spark, sf, "request_place"))))
+
+
+# ---- base feature projection on the prepared fact table ------------------------
+
+PREP_VIEWS = CA.VIEWS + ["request_place", "place"]
+
+PREPARED_CTES = CA.chain_ctes(len(CA.CHAIN) - 1, CA.ASSEMBLED_SQL_WHERE, "raw") + """,
+clean AS (SELECT DISTINCT *, CAST(epoch_ms(searchtime) AS DATE) AS searchdate FROM raw
+           WHERE requestid IS NOT NULL AND userid IS NOT NULL AND nearbysearch <> 1 AND userid NOT IN ('', ' ')),
+rp AS (SELECT requestid, min(placeid) AS placeid FROM request_place GROUP BY requestid),
+pop AS (SELECT placeid, 200 * COALESCE(conversion, 0.0049) * sqrt(popularity) AS place_popularity_score FROM place),
+prepared AS (SELECT c.* EXCLUDE (placeid), rp.placeid, pop.place_popularity_score
+               FROM clean c LEFT JOIN rp USING (requestid) LEFT JOIN pop ON pop.placeid = rp.placeid)"""
+
+
+def _g(n, d):
+    return f"CASE WHEN {d} = 0 THEN 0 ELSE {n} / {d} END"
+
+
+BASE_SQL_COLS = ", ".join(FE.PASS_THROUGH) + ", " + ", ".join([
+    "COALESCE(CASE WHEN realised_flag IS NOT NULL THEN 'realised' END, event) AS target",
+    "CASE WHEN slasherprice = 0 THEN 0 ELSE (slasherprice - fprice) / slasherprice END AS discount_per",
+    f"{_g('bookingcount', 'impressioncount')} AS item_br", f"{_g('detailcount', 'impressioncount')} AS item_ctr",
+    f"{_g('bookingcount', 'detailcount')} AS item_btod",
+    f"{_g('userbookingcount', 'userimpressioncount')} AS item_user_br",
+    f"{_g('userdetailcount', 'userimpressioncount')} AS item_user_ctr",
+    f"{_g('userbookingcount', 'userdetailcount')} AS item_user_btod",
+    f"{_g('booking_count', 'impression_count')} AS avg_item_br",
+    f"{_g('details_count', 'impression_count')} AS avg_item_ctr",
+    f"{_g('booking_count', 'details_count')} AS avg_item_btod",
+    "CASE WHEN checkout - checkin > 0 THEN checkout - checkin ELSE 0 END AS stayLength",
+    "CASE WHEN dayofweek(checkin) + 1 IN (6, 7, 1) THEN 1 ELSE 0 END AS is_weekend_checkin",
+    "dayofweek(checkin) + 1 AS day_of_week_checkin",
+    "fprice - user_abp AS abp_price_diff",
+    "CASE WHEN dayofweek(searchdate) + 1 IN (6, 7, 1) THEN 1 ELSE 0 END AS is_weekend_searchDate",
+    "dayofweek(searchdate) + 1 AS day_of_week_searchDate",
+    "CASE WHEN searchdate - checkin > 0 THEN searchdate - checkin ELSE 0 END AS advPurchaseWindow",
+    "CASE WHEN nearbysearch = 1 THEN 1 ELSE 0 END AS is_nearBy_search",
+    "CASE WHEN iscitysearch = 1 THEN 1 ELSE 0 END AS is_city_search",
+    "CASE WHEN distance <= 5 THEN 1 ELSE 0 END AS vicinity",
+    "rating AS ratingMean", "rcount AS ratingCount"])
+
+
+def prepared(spark, sf):
+    from . import pipeline as P
+    return P.prepare(CA.assembled(spark, sf), view(spark, sf, "request_place"), view(spark, sf, "place"))
+
+
+@register("prj_base_features", duck_with(PREP_VIEWS, f", {PREPARED_CTES}\nSELECT {BASE_SQL_COLS} FROM prepared"))
+def q_base_features(spark, sf):
+    return finish(FE.base_features(prepared(spark, sf)))
+
+
+@register("join_semi_clicked", duck_with(PREP_VIEWS, f", {PREPARED_CTES}\nSELECT {BASE_SQL_COLS} FROM prepared "
+                                          "WHERE requestid IN (SELECT requestid FROM prepared WHERE event IS NOT NULL)"))
+def q_semi_clicked(spark, sf):
+    p = prepared(spark, sf)
+    return finish(A.keep_requests_with_event(FE.base_features(p), p))
+
+
+@register("prj_dynamic", duck_with(["search_request"],
+                                   "SELECT * EXCLUDE (checkin, checkout, inserted_at), countryid * 100 + cityid AS geo_key FROM search_request"))
+def q_prj_dynamic(spark, sf):
+    df = view(spark, sf, "search_request")
+    drop = {"checkin", "checkout", "inserted_at"}
+    cols = [F.col(c) for c in df.columns if c not in drop] + [(F.col("countryid") * 100 + F.col("cityid")).alias("geo_key")]
+    return finish(df.select(*cols))
+
+
+MEAN_COLS = ["fprice", "rating", "distance", "rcount"]
+
+
+@register("agg_request_means", duck_with(["search_response"], "SELECT requestid, " + ", ".join(
+    f"avg({c}) AS avg_{c}" for c in MEAN_COLS) + " FROM search_response GROUP BY requestid"))
+def q_request_means(spark, sf):
+    return finish(FE.request_means(view(spark, sf, "search_response"), MEAN_COLS))
+
+
+@register("join_request_mean", duck_with(["search_response"], "SELECT requestid, itemid, " + ", ".join(
+    f"CASE WHEN avg({c}) OVER (PARTITION BY requestid) = 0 THEN NULL ELSE {c} / avg({c}) OVER (PARTITION BY requestid) END AS {c}_ratio"
+    for c in MEAN_COLS) + " FROM search_response"))
+def q_request_mean(spark, sf):
+    df = view(spark, sf, "search_response").select("requestid", "itemid", *MEAN_COLS)
+    return finish(FE.request_ratios(df, MEAN_COLS).select("requestid", "itemid", *[f"{c}_ratio" for c in MEAN_COLS]))
+
+
+STAT_COLS = ["fprice", "rating", "distance", "rcount", "searchtime"]
+
+
+@register("agg_column_means", duck_with(["search_response"], "SELECT " + ", ".join(
+    f"avg({c}) AS {c}" for c in STAT_COLS) + " FROM search_response"))
+def q_column_means(spark, sf):
+    from ..operators.encode import column_means
+    return finish(column_means(view(spark, sf, "search_response"), STAT_COLS))
+
+
+@register("agg_column_stddevs", duck_with(["search_response"], "SELECT " + ", ".join(
+    f"stddev_samp({c}) AS {c}" for c in STAT_COLS) + " FROM search_response"))
+def q_column_stddevs(spark, sf):
+    from ..operators.encode import column_stddevs
+    return finish(column_stddevs(view(spark, sf, "search_response"), STAT_COLS))
+
+
+@register("agg_vocab", duck_with(["timed_event"], """SELECT DISTINCT 'item' AS kind, itemid AS value, cityid FROM timed_event
+UNION ALL SELECT DISTINCT 'type', item_type, cityid FROM timed_event
+UNION ALL SELECT DISTINCT 'city', cityid, cityid FROM timed_event"""))
+def q_vocab(spark, sf):
+    te = view(spark, sf, "timed_event")
+    a = te.select(F.lit("item").alias("kind"), F.col("itemid").alias("value"), "cityid").distinct()
+    b = te.select(F.lit("type").alias("kind"), F.col("item_type").alias("value"), "cityid").distinct()
+    c = te.select(F.lit("city").alias("kind"), F.col("cityid").alias("value"), "cityid").distinct()
+    return finish(a.unionByName(b).unionByName(c))
