@@ -88,9 +88,9 @@ def one_hot(df: DataFrame, col: str, values=PLATFORMS) -> DataFrame:
 
 def hash_bucket(*cols, n: int) -> Column:
     """Stable bucket of a crossed value: md5 of the values joined by '_'
-    (first 15 hex digits as a number) mod n. Same text in DuckDB."""
-    key = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"),
-                                        F.lit("")) for c in cols])
+    (first 15 hex digits as a number) mod n; nulls are skipped by the join.
+    The same text in DuckDB: ('0x' || substr(md5(s), 1, 15))::BIGINT % n."""
+    key = F.concat_ws("_", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint"), F.lit(n))
 
 
@@ -104,7 +104,7 @@ def cross_with_list(df: DataFrame, a: str, arr: str, n: int, out: str) -> DataFr
     (a length-n count vector, summed over the history)."""
     buckets = F.transform(arr, lambda x: hash_bucket(F.col(a), x, n=n))
     counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                         lambda k: F.size(F.filter(buckets, lambda b: b == k)))
+                         lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("bigint"))
     return df.withColumn(out, counts)
 
 
@@ -155,9 +155,18 @@ def embedding_table(emb: DataFrame, vocab: DataFrame, id_col: str = "itemid", co
     return rows.unionByName(zero)
 
 
-def pool_history(df: DataFrame, arr_idx: str, table: DataFrame, out: str, key: str = "requestid") -> DataFrame:
-    """Mean of the vectors of the history indices (padding counts as row 0)."""
-    ex = df.select(key, F.posexplode(arr_idx).alias("_p", "index"))
+def pad(arr, n: int = 10, value=0) -> Column:
+    """Right-pad an index array to length n with the padding index."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+    return F.concat(a, F.array_repeat(F.lit(value), F.greatest(F.lit(n) - F.size(a), F.lit(0))))
+
+
+def pool_history(df: DataFrame, arr_idx: str, table: DataFrame, out: str, key: str = "requestid",
+                 n: int = 10) -> DataFrame:
+    """Mean of the vectors of the history indices, padded to n with index 0
+    (the padding row, which is the mean vector, counts in the mean).
+    Exploded per key and dimension, averaged, rebuilt in dimension order."""
+    ex = df.select(key, F.posexplode(pad(arr_idx, n)).alias("_p", "index"))
     ex = ex.join(table, "index", "left")
     ex = ex.select(key, F.posexplode("vector").alias("_d", "_v"))
     per = ex.groupBy(key, "_d").agg(F.avg("_v").alias("_m"))

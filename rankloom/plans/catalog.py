@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 
-from . import (catalog_assembly, catalog_features, catalog_geo, catalog_history,  # noqa: F401
-               catalog_rates)
+from . import (catalog_assembly, catalog_encode, catalog_features, catalog_geo,  # noqa: F401
+               catalog_history, catalog_rates)
 from .registry import ORACLES, QUERIES, normalise_oracle
 
 SAMPLE_DIR = "/root/testdata/sf0.001"
