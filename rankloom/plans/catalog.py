@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from . import (catalog_assembly, catalog_encode, catalog_features, catalog_geo,  # noqa: F401
-               catalog_history, catalog_rates)
+               catalog_history, catalog_io, catalog_rates)
 from .registry import ORACLES, QUERIES, normalise_oracle
 
 SAMPLE_DIR = "/root/testdata/sf0.001"

@@ -70,3 +70,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     else:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder (never a
+    machine-local temp dir on a cluster)."""
+    import uuid
+    base = checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
