@@ -322,3 +322,12 @@ def q_vocab(spark, sf):
     b = te.select(F.lit("type").alias("kind"), F.col("item_type").alias("value"), "cityid").distinct()
     c = te.select(F.lit("city").alias("kind"), F.col("cityid").alias("value"), "cityid").distinct()
     return finish(a.unionByName(b).unionByName(c))
+
+
+@register("features_full")
+def q_features_full(spark, sf):
+    """The whole training table (rows-only check; every stage has its own oracle)."""
+    from . import pipeline as P
+    raw = CA.assembled(spark, sf)
+    return finish(P.training_table(raw, view(spark, sf, "request_place"), view(spark, sf, "place"),
+                                   view(spark, sf, "item_geo")))

@@ -97,16 +97,41 @@ def with_history(df: DataFrame, hist: DataFrame) -> DataFrame:
     return df
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to the cluster's checkpoint folder and read back: the stage
+    boundary the pull job has anyway, and a lineage cut (a lost executor
+    re-reads the files instead of re-running the pull)."""
+    from ..session import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def training_table(raw: DataFrame, request_place: DataFrame, places: DataFrame, items: DataFrame,
-                   start=None, radius_km: float = 5.0, buckets: int = 10, same_city: bool = True) -> DataFrame:
+                   start=None, radius_km: float = 5.0, buckets: int = 10, same_city: bool = True,
+                   cut_lineage: bool = True) -> DataFrame:
     """Everything up to the model input: features, geo, history, ratios,
-    distance buckets and the known-id filter of the history columns."""
+    distance buckets and the known-id filter of the history columns.
+
+    ``raw`` is read by the base features and by the history (which uses the
+    whole pull), so it is written once (``cut_lineage``); the prepared table
+    feeds the projection, the mean fill, the semi join and three rate tables,
+    so it is persisted (memory, spilling to disk).
+    """
+    from pyspark import StorageLevel
+
     from ..operators import encode as E
-    prepared = prepare(raw, request_place, places, start)
+    if cut_lineage:
+        raw = materialize(raw, "raw_pull")
+    prepared = prepare(raw, request_place, places, start).persist(StorageLevel.MEMORY_AND_DISK)
     df = base_table(prepared)
     df = geo_table(df, items, places, radius_km)
     df = with_history(df, request_histories(raw))
     df = FE.request_ratios(df)
+    if cut_lineage:
+        # the quantile splits and the known-id vocabulary are global passes over
+        # this table: read it from files instead of re-running the plan for each
+        df = materialize(df, "features_stage")
     df = E.quantile_buckets(df, "distance", "distance_buckets", buckets)
     vocab_by = "cityid" if same_city else None
     req = df.select("requestid", "cityid", "clicked_itemid_list_10", "clicked_item_type_list_10").dropDuplicates(["requestid"])
