@@ -11,17 +11,29 @@ from pyspark.sql import types as T
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-# Doubles are snapped to a binary grid of 2^-20 (about 1e-6) before they are
-# compared: multiplying by a power of two is exact, so identical doubles stay
-# identical in both engines, summation-order noise (1e-12 and below) almost
-# never crosses a grid line, and decimal data values (x.xxx5) are never
+# Doubles are snapped to a binary grid before they are compared: 2^-20 (about
+# 1e-6) below 2^20, coarser in steps above (2^-10, 1, 2^10) so large values keep
+# about 40 significant bits. Multiplying by a power of two is exact, so
+# identical doubles stay identical in both engines, summation-order noise
+# almost never crosses a grid line, and decimal data values (x.xxx5) are never
 # exactly on a binary half-step, so rounding ties between engines do not occur.
-GRID = 1048576.0
+STEPS = [(2.0 ** 20, 2.0 ** 20), (2.0 ** 30, 2.0 ** 10), (2.0 ** 40, 1.0)]
+TOP_SCALE = 2.0 ** -10
 
 
 def sig(c):
-    """Snap a double column to the 2^-20 grid (same arithmetic in DuckDB)."""
-    return F.round(c.cast("double") * GRID, 0) / GRID
+    """Snap a double column to the magnitude-dependent grid (same arithmetic in DuckDB)."""
+    x = c.cast("double")
+    e = None
+    for bound, scale in STEPS:
+        v = F.round(x * scale, 0) / scale
+        e = F.when(F.abs(x) < bound, v) if e is None else e.when(F.abs(x) < bound, v)
+    return e.otherwise(F.round(x * TOP_SCALE, 0) / TOP_SCALE)
+
+
+def duck_sig(x: str) -> str:
+    parts = " ".join(f"WHEN abs({x}) < {b!r} THEN round({x} * {sc!r}) / {sc!r}" for b, sc in STEPS)
+    return f"CASE {parts} ELSE round({x} * {TOP_SCALE!r}) / {TOP_SCALE!r} END"
 
 
 def register(name: str, oracle: str | None = None):
@@ -67,11 +79,11 @@ def normalise_oracle(sql: str, sample_dir: str) -> str:
         q = '"' + name.replace('"', '""') + '"'
         t = typ.upper()
         if t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
-            rep.append(f"round(CAST({q} AS DOUBLE) * {GRID}) / {GRID} AS {q}")
+            rep.append(f"{duck_sig(f'CAST({q} AS DOUBLE)')} AS {q}")
         elif t in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER", "BOOLEAN"):
             rep.append(f"CAST({q} AS BIGINT) AS {q}")
         elif t in ("DOUBLE[]", "FLOAT[]"):
-            rep.append(f"list_transform({q}, lambda x: round(CAST(x AS DOUBLE) * {GRID}) / {GRID}) AS {q}")
+            rep.append(f"list_transform({q}, lambda x: {duck_sig('CAST(x AS DOUBLE)')}) AS {q}")
     if not rep:
         return sql
     return f"SELECT * REPLACE ({', '.join(rep)}) FROM (\n{sql}\n) AS _q"
