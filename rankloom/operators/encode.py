@@ -101,11 +101,15 @@ def cross_bucket(df: DataFrame, a: str, b: str, n: int, out: str) -> DataFrame:
 
 def cross_with_list(df: DataFrame, a: str, arr: str, n: int, out: str) -> DataFrame:
     """Cross the candidate value with each history value; count per bucket
-    (a length-n count vector, summed over the history)."""
-    buckets = F.transform(arr, lambda x: hash_bucket(F.col(a), x, n=n))
+    (a length-n count vector, summed over the history).
+
+    The buckets are hashed once into an array column; each of the n slots then
+    counts its matches in that array (no re-hashing per slot)."""
+    tmp = f"_{out}_b"
+    df = df.withColumn(tmp, F.transform(arr, lambda x: hash_bucket(F.col(a), x, n=n)))
     counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                         lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("bigint"))
-    return df.withColumn(out, counts)
+                         lambda k: F.size(F.filter(F.col(tmp), lambda b: b == k)).cast("bigint"))
+    return df.withColumn(out, counts).drop(tmp)
 
 
 def quantile_splits(df: DataFrame, col: str, n: int = 10, accuracy: int = 10000) -> DataFrame:

@@ -3,7 +3,7 @@ clicks of the same request removed, the last ``n`` kept.
 
 Scale design. A plain ``Window.partitionBy(user)`` would put a heavy user (a
 bot, a shared device id) whole into one task. Here the user's clicks are cut
-into time buckets (a day by default):
+into time buckets (an hour by default):
 
 1. inside a bucket, the ordinary bounded frame ``rowsBetween(-frame, -1)``;
 2. per (user, bucket), the bucket's last ``frame`` clicks (same window, so
@@ -32,11 +32,20 @@ def _last(arr: Column, n: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), n)
 
 
+def hour_bucket(df: DataFrame, col: str) -> Column:
+    """Default bucket: the hour of the ordering time (timestamp, or epoch ms)."""
+    t = df.schema[col].dataType.typeName()
+    if t in ("long", "integer", "double", "decimal"):
+        return F.floor(F.col(col) / 3_600_000)
+    return F.date_trunc("hour", F.col(col))
+
+
 def preceding_lists(df: DataFrame, user: str, order: list[str], payload: list[str],
                     frame: int = 20, bucket: Column | None = None) -> DataFrame:
     """Adds ``_prev``: array of struct(payload) of the ``frame`` rows before each
     row of the same user, oldest first, ordered by ``order`` (a total order)."""
-    bucket = F.to_date(F.col(order[0])) if bucket is None else bucket
+    if bucket is None:
+        bucket = hour_bucket(df, order[0])
     item = F.struct(*[F.col(c) for c in payload])
     df = df.withColumn("_bk", bucket)
     w = Window.partitionBy(user, "_bk").orderBy(*order)

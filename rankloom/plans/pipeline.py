@@ -80,8 +80,7 @@ def request_histories(raw: DataFrame, frame: int = 20, n: int = 10) -> DataFrame
     src = clean_log(raw, None)
     src = H.keep_single_booking(src)
     clicks = src.where(F.col("event").isNotNull())
-    h = H.click_history(clicks, "userid", CLICK_ORDER, "requestid", HISTORY_FIELDS, frame, n,
-                        bucket=F.col("searchdate"))
+    h = H.click_history(clicks, "userid", CLICK_ORDER, "requestid", HISTORY_FIELDS, frame, n)
     return H.history_per_request(h, "requestid", CLICK_ORDER)
 
 
@@ -89,9 +88,10 @@ def with_history(df: DataFrame, hist: DataFrame) -> DataFrame:
     """Inner join of the request histories, one row per (item, request),
     list shares / means / spreads, positional history columns."""
     df = df.join(hist, on="requestid", how="inner")
-    rest = [c for c in df.columns if c not in ("itemid", "requestid")]
-    df = A.dedup_key(df.withColumn("_t", target_order()), ["itemid", "requestid"],
-                     ["_t", *[c for c in rest if c != "history"]]).drop("_t")
+    # survivor per (item, request): most informative target, then the other
+    # columns in name order (a total, documented order)
+    rest = sorted(c for c in df.columns if c not in ("itemid", "requestid", "history"))
+    df = A.dedup_key(df.withColumn("_t", target_order()), ["itemid", "requestid"], ["_t", *rest]).drop("_t")
     df = H.history_columns(df, "history", HISTORY_FIELDS)
     df = H.list_features(df)
     return df

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+# oracles whose text needs the sample tables to be generated (column lists read with DESCRIBE)
+LAZY_ORACLES: dict[str, Callable[[str], str]] = {}
 
 # Doubles are snapped to a binary grid before they are compared: 2^-20 (about
 # 1e-6) below 2^20, coarser in steps above (2^-10, 1, 2^10) so large values keep
