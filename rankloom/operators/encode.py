@@ -100,16 +100,26 @@ def cross_bucket(df: DataFrame, a: str, b: str, n: int, out: str) -> DataFrame:
 
 
 def cross_with_list(df: DataFrame, a: str, arr: str, n: int, out: str) -> DataFrame:
-    """Cross the candidate value with each history value; count per bucket
-    (a length-n count vector, summed over the history).
-
-    The buckets are hashed once into an array column; each of the n slots then
-    counts its matches in that array (no re-hashing per slot)."""
-    tmp = f"_{out}_b"
-    df = df.withColumn(tmp, F.transform(arr, lambda x: hash_bucket(F.col(a), x, n=n)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                         lambda k: F.size(F.filter(F.col(tmp), lambda b: b == k)).cast("bigint"))
-    return df.withColumn(out, counts).drop(tmp)
+    """Cross the candidate value with each history value, hashed into n
+    buckets, and count per bucket: a sparse count vector, as two aligned
+    arrays ``<out>_idx`` (ascending buckets) and ``<out>_cnt``.
+
+    Sparse on purpose: at most len(arr) buckets are non-zero, and a dense
+    n-slot array built by a per-slot lambda would re-evaluate the history for
+    every slot (Catalyst inlines the intermediate column into the lambda)."""
+    b = f"_{out}_b"
+    df = df.withColumn(b, F.array_sort(F.transform(arr, lambda x: hash_bucket(F.col(a), x, n=n))))
+    idx = F.array_distinct(F.col(b))
+    cnt = F.transform(idx, lambda d: F.size(F.filter(F.col(b), lambda x: x == d)).cast("bigint"))
+    return df.withColumns({f"{out}_idx": idx, f"{out}_cnt": cnt}).drop(b)
+
+
+def sparse_to_dense(idx, cnt, n: int) -> Column:
+    """Dense length-n vector from (index, count) arrays (for small n only)."""
+    m = F.map_from_arrays(idx if isinstance(idx, Column) else F.col(idx),
+                          cnt if isinstance(cnt, Column) else F.col(cnt))
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")),
+                       lambda k: F.coalesce(F.element_at(m, k), F.lit(0).cast("bigint")))
 
 
 def quantile_splits(df: DataFrame, col: str, n: int = 10, accuracy: int = 10000) -> DataFrame:

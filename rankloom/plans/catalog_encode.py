@@ -121,14 +121,17 @@ def _hist_rows(spark, sf):
     return t.join(per_request(spark, sf), "requestid")
 
 
-@register("enc_cross_type_history", _d(f""", rows AS (SELECT t.event_id, t.item_type,
-       list_transform(req.h, lambda x: {HASH_SQL.format(s="concat_ws('_', CAST(t.item_type AS VARCHAR), CAST(x.item_type AS VARCHAR))", n=196)}) AS b
+@register("enc_cross_type_history", _d(f""", rows AS (SELECT t.event_id,
+       list_sort(list_transform(req.h, lambda x: {HASH_SQL.format(s="concat_ws('_', CAST(t.item_type AS VARCHAR), CAST(x.item_type AS VARCHAR))", n=196)})) AS b
   FROM timed_event t JOIN req USING (requestid))
-SELECT event_id, list_transform(range(196), lambda k: CAST(len(list_filter(b, lambda y: y = k)) AS BIGINT)) AS type_cross_counts
-  FROM rows""".lstrip(", ").replace("rows AS", ", rows AS", 1)))
+SELECT event_id, list_distinct(b) AS d, b FROM rows""".lstrip(", ").replace("rows AS", ", rows AS", 1)
+    .replace("SELECT event_id, list_distinct(b) AS d, b FROM rows", """SELECT event_id, list_sort(list_distinct(b)) AS type_cross_idx,
+       list_transform(list_sort(list_distinct(b)), lambda d: CAST(len(list_filter(b, lambda x: x = d)) AS BIGINT)) AS type_cross_cnt
+  FROM rows""")))
 def q_cross_type(spark, sf):
     df = _hist_rows(spark, sf).withColumn("ht", F.col("history")["item_type"])
-    return finish(E.cross_with_list(df, "item_type", "ht", 196, "type_cross_counts").select("event_id", "type_cross_counts"))
+    return finish(E.cross_with_list(df, "item_type", "ht", 196, "type_cross")
+                  .select("event_id", "type_cross_idx", "type_cross_cnt"))
 
 
 D_EMB = """mv AS (SELECT list(m ORDER BY d) AS v FROM (

@@ -48,6 +48,9 @@ def test_pool_history_pads_with_mean_row(spark):
 
 def test_cross_with_list_counts(spark):
     df = spark.createDataFrame([(3, [3, 3, 4])], "t long, h array<long>")
-    (r,) = E.cross_with_list(df, "t", "h", 196, "c").select("c").collect()
-    assert sum(r.c) == 3 and len(r.c) == 196
+    (r,) = E.cross_with_list(df, "t", "h", 196, "c").select("c_idx", "c_cnt").collect()
+    assert sum(r.c_cnt) == 3 and len(r.c_idx) == 2 and r.c_idx == sorted(r.c_idx)
+    (d,) = df.select(E.sparse_to_dense(F.array(F.lit(5).cast("bigint")), F.array(F.lit(2).cast("bigint")), 196)
+                     .alias("v")).collect()
+    assert len(d.v) == 196 and d.v[5] == 2 and sum(d.v) == 2
     assert F is not None
