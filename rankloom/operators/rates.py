@@ -16,6 +16,7 @@ key x date grid and no Python.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +115,9 @@ def weighted_rates(df: DataFrame, keys: list[str], day: str = "searchdate",
     are left out: a null key never matches when the rates are joined back.
     ``lag_days=1`` excludes the current day (no label leak).
     """
-    counts = daily_counts(df, keys, day, clicked, booked, shown)
+    # the daily aggregate feeds both the date numbering and the window: keep it
+    # (memory, spilling to disk) so the events are scanned and aggregated once
+    counts = daily_counts(df, keys, day, clicked, booked, shown).persist(StorageLevel.MEMORY_AND_DISK)
     idx = date_index(counts, day)
     rates = daily_rates(counts, keys, day)
     for k in keys:
