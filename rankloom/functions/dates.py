@@ -13,8 +13,9 @@ def _c(x) -> Column:
 
 
 def epoch_ms_to_date(c="searchtime") -> Column:
-    """Epoch milliseconds -> calendar date (whole seconds, UTC)."""
-    return F.to_date(F.timestamp_seconds(F.floor(_c(c) / 1000)))
+    """Epoch milliseconds -> UTC calendar date, by day arithmetic (independent
+    of the session time zone)."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(_c(c) / 86_400_000).cast("int"))
 
 
 def clamped_days(later, earlier) -> Column:

@@ -68,9 +68,12 @@ def q_onehot(spark, sf):
     return finish(E.one_hot(df, "platform"))
 
 
-@register("enc_onehot_city")
+@register("enc_onehot_city", duck_with(EMB_VIEWS, f""", {D_VOCAB}
+SELECT t.event_id, list_transform(range(m.n), lambda i: CASE WHEN i = COALESCE(cv.index, 0) THEN 1.0 ELSE 0.0 END)
+       AS city_onehot
+  FROM timed_event t LEFT JOIN cv USING (cityid) CROSS JOIN (SELECT max(index) + 1 AS n FROM cv) m"""))
 def q_onehot_city(spark, sf):
-    """Spark ML one-hot of the city index (rows-only check)."""
+    """Spark ML one-hot of the city index (size = largest index + 1, 0 = unknown)."""
     from pyspark.ml.feature import OneHotEncoder
     from pyspark.ml.functions import vector_to_array
     t = te(spark, sf).select("event_id", "cityid")
