@@ -69,7 +69,7 @@ def q_onehot(spark, sf):
 
 
 @register("enc_onehot_city", duck_with(EMB_VIEWS, f""", {D_VOCAB}
-SELECT t.event_id, list_transform(range(m.n), lambda i: CASE WHEN i = COALESCE(cv.index, 0) THEN 1.0 ELSE 0.0 END)
+SELECT t.event_id, list_transform(range(m.n), lambda i: CASE WHEN i = COALESCE(cv.index, 0) THEN 1e0 ELSE 0e0 END)
        AS city_onehot
   FROM timed_event t LEFT JOIN cv USING (cityid) CROSS JOIN (SELECT max(index) + 1 AS n FROM cv) m"""))
 def q_onehot_city(spark, sf):

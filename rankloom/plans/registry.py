@@ -63,6 +63,9 @@ def finish(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
             c = F.transform(c, lambda x: sig(x))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType,
+                                                                (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("array<bigint>")
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -80,12 +83,16 @@ def normalise_oracle(sql: str, sample_dir: str) -> str:
     for name, typ, *_ in desc:
         q = '"' + name.replace('"', '""') + '"'
         t = typ.upper()
-        if t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
+        if t.endswith("[]"):
+            inner = t[:-2]
+            if inner in ("DOUBLE", "FLOAT", "REAL") or inner.startswith("DECIMAL"):
+                rep.append(f"list_transform({q}, lambda x: {duck_sig('CAST(x AS DOUBLE)')}) AS {q}")
+            elif inner in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT"):
+                rep.append(f"CAST({q} AS BIGINT[]) AS {q}")
+        elif t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
             rep.append(f"{duck_sig(f'CAST({q} AS DOUBLE)')} AS {q}")
         elif t in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER", "BOOLEAN"):
             rep.append(f"CAST({q} AS BIGINT) AS {q}")
-        elif t in ("DOUBLE[]", "FLOAT[]"):
-            rep.append(f"list_transform({q}, lambda x: {duck_sig('CAST(x AS DOUBLE)')}) AS {q}")
     if not rep:
         return sql
     return f"SELECT * REPLACE ({', '.join(rep)}) FROM (\n{sql}\n) AS _q"
