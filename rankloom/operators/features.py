@@ -21,8 +21,12 @@ ZERO_FILL = ["iscitysearch", "item_user_btod", "item_user_ctr", "item_user_br",
              "item_btod", "item_br", "avg_item_btod", "avg_item_br", "avg_item_ctr", "user_abp"]
 
 
-def feature_columns() -> dict:
-    """name -> expression of the base feature projection."""
+def feature_columns(adv_fixed: bool = False) -> dict:
+    """name -> expression of the base feature projection.
+
+    ``advPurchaseWindow`` is search date - check-in clamped at 0, as the source
+    system defines it (normally 0); ``adv_fixed=True`` gives check-in - search
+    date, the days booked in advance."""
     c = F.col
     return {
         "target": target("realised_flag", "event"),
@@ -43,7 +47,8 @@ def feature_columns() -> dict:
         "abp_price_diff": c("fprice") - c("user_abp"),
         "is_weekend_searchDate": D.is_weekend("searchdate"),
         "day_of_week_searchDate": D.day_of_week("searchdate"),
-        "advPurchaseWindow": D.clamped_days("searchdate", "checkin"),
+        "advPurchaseWindow": (D.clamped_days("checkin", "searchdate") if adv_fixed
+                              else D.clamped_days("searchdate", "checkin")),
         "is_nearBy_search": flag(c("nearbysearch") == 1),
         "is_city_search": flag(c("iscitysearch") == 1),
         "vicinity": flag(c("distance") <= 5),
@@ -52,9 +57,9 @@ def feature_columns() -> dict:
     }
 
 
-def base_features(df: DataFrame) -> DataFrame:
+def base_features(df: DataFrame, adv_fixed: bool = False) -> DataFrame:
     """The 43-column feature projection (20 pass-through + 23 derived)."""
-    feats = feature_columns()
+    feats = feature_columns(adv_fixed)
     return df.select(*[F.col(x) for x in PASS_THROUGH], *[e.alias(n) for n, e in feats.items()])
 
 
