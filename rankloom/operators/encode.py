@@ -179,13 +179,16 @@ def pool_history(df: DataFrame, arr_idx: str, table: DataFrame, out: str, key: s
                  n: int = 10) -> DataFrame:
     """Mean of the vectors of the history indices, padded to n with index 0
     (the padding row, which is the mean vector, counts in the mean).
-    Exploded per key and dimension, averaged, rebuilt in dimension order."""
+
+    Exploded to at most n rows per key, joined to the table, regrouped (n
+    vectors per key, bounded) and summed element-wise with zip_with: the
+    vectors stay whole, no row per dimension."""
     ex = df.select(key, F.posexplode(pad(arr_idx, n)).alias("_p", "index"))
     ex = ex.join(table, "index", "left")
-    ex = ex.select(key, F.posexplode("vector").alias("_d", "_v"))
-    per = ex.groupBy(key, "_d").agg(F.avg("_v").alias("_m"))
-    back = per.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_m"))),
-                                            lambda x: x["_m"]).alias(out))
+    back = ex.groupBy(key).agg(F.collect_list("vector").alias("_vs"))
+    zero = F.array_repeat(F.lit(0.0), F.size(F.col("_vs")[0]))
+    total = F.aggregate("_vs", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    back = back.select(key, F.transform(total, lambda x: x / F.size("_vs")).alias(out))
     return df.join(back, key, "left")
 
 
