@@ -69,7 +69,7 @@ def radius_pairs(items: DataFrame, places: DataFrame, radius_km: float = 5.0) ->
 
 
 def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
-                   growth: float = 16.0) -> DataFrame:
+                   growth: float = 4.0) -> DataFrame:
     """(itemid, lat, lng) x (placeid, lat, lng, conversion) -> (itemid, distance_backfill).
 
     Within ``radius_km``: the place with the highest conversion (nulls last;

@@ -54,3 +54,14 @@ def test_cross_with_list_counts(spark):
                      .alias("v")).collect()
     assert len(d.v) == 196 and d.v[5] == 2 and sum(d.v) == 2
     assert F is not None
+
+
+def test_request_ratio_window_equals_self_join(spark):
+    from rankloom.operators.features import request_ratios
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 3, 0.0), ("b", 4, 0.0), ("c", 5, None)],
+                               "requestid string, itemid long, fprice double")
+    got = {r.itemid: r.fprice_ratio for r in request_ratios(df, ["fprice"]).collect()}
+    means = {r.requestid: r.m for r in df.groupBy("requestid").agg(F.avg("fprice").alias("m")).collect()}
+    want = {r.itemid: (None if r.fprice is None or not means[r.requestid] else r.fprice / means[r.requestid])
+            for r in df.collect()}
+    assert got == want

@@ -74,3 +74,15 @@ def test_keep_known_per_city(spark):
     vocab = spark.createDataFrame([(5, 7), (6, 8), (9, 7)], "itemid long, cityid long")
     out = {r.rid: r.ids_known for r in H.keep_known(rows, "ids", vocab, "itemid", "cityid", request="rid").collect()}
     assert out == {1: [5, 0, 9], 2: [0], 3: []}
+
+
+def test_keep_known_equals_per_position_joins(spark):
+    """One explode-join-regroup = the reference's one left join per history position."""
+    rnd = random.Random(5)
+    rows = [(r, rnd.randrange(3), [rnd.randrange(12) for _ in range(rnd.randrange(11))]) for r in range(80)]
+    df = spark.createDataFrame(rows, "rid long, cityid long, ids array<long>")
+    vocab_rows = {(rnd.randrange(12), rnd.randrange(3)) for _ in range(15)}
+    vocab = spark.createDataFrame(sorted(vocab_rows), "itemid long, cityid long")
+    got = {r.rid: r.ids_known for r in H.keep_known(df, "ids", vocab, "itemid", "cityid", request="rid").collect()}
+    want = {rid: [v if (v, c) in vocab_rows else 0 for v in ids] for rid, c, ids in rows}
+    assert got == want
