@@ -50,15 +50,35 @@ def zscore(df: DataFrame, stats: DataFrame, cols: list[str], fill: float | None
     return out.withColumns(z).drop(*[f"{c}__mean" for c in cols], *[f"{c}__std" for c in cols])
 
 
-def vocabulary(values: DataFrame, col: str, name: str = "index") -> DataFrame:
-    """Distinct non-null values numbered 1..n in value order; 0 is reserved
-    for padding and unknown values.
-
-    The distinct values are a catalogue (items, cities, types), bounded by
-    the catalogue and not by the logs; they are numbered in one sorted pass.
+def dense_index(values: DataFrame, col: str, name: str = "index", start: int = 1,
+                partitions: int | None = None) -> DataFrame:
+    """Number the distinct non-null values start, start+1, ... in value order,
+    without moving them into one task.
+
+    The distinct values are range-partitioned and sorted inside each range;
+    each range counts its rows (one row per partition), the counts become
+    offsets (a table of partition-count rows, broadcast), and a value's number
+    is its range's offset plus its position in the range. The ranged table is
+    persisted so the count and the numbering see the same partitions.
     """
+    from pyspark import StorageLevel
     d = values.select(col).where(F.col(col).isNotNull()).distinct()
-    return d.select(col, F.row_number().over(Window.orderBy(col)).alias(name))
+    n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (d.repartitionByRange(n, col).sortWithinPartitions(col)
+               .select(col, F.spark_partition_id().alias("_pid"),
+                       F.monotonically_increasing_id().alias("_mid"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+                  .select(col, (F.col("_off") + local + start).cast("int").alias(name)))
+
+
+def vocabulary(values: DataFrame, col: str, name: str = "index") -> DataFrame:
+    """Distinct non-null values numbered 1..n in value order; 0 is reserved
+    for padding and unknown values (numbered by ranges, see dense_index)."""
+    return dense_index(values, col, name, start=1)
 
 
 def lookup(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None, index: str = "index") -> DataFrame:

@@ -65,3 +65,14 @@ def test_request_ratio_window_equals_self_join(spark):
     want = {r.itemid: (None if r.fprice is None or not means[r.requestid] else r.fprice / means[r.requestid])
             for r in df.collect()}
     assert got == want
+
+
+def test_dense_index_matches_global_numbering(spark):
+    import random
+    from pyspark.sql import Window
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(rnd.randrange(5000),) for _ in range(3000)] + [(None,)], "v long")
+    got = {r["v"]: r["index"] for r in E.dense_index(df, "v", partitions=7).collect()}
+    want = {r["v"]: r["i"] for r in df.where("v is not null").distinct()
+            .select("v", F.row_number().over(Window.orderBy("v")).alias("i")).collect()}
+    assert got == want
