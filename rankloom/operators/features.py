@@ -3,7 +3,7 @@ flags and pass-through columns, the mean fill, and request-relative ratios."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -90,9 +90,13 @@ def request_ratios(df: DataFrame, cols=("fprice", "rating", "distance", "discoun
                    group: str = "requestid") -> DataFrame:
     """value / mean of the value over the candidates of the request.
 
-    A window average: one shuffle by request, one pass over the rows (a
-    grouped aggregate joined back would read the input twice). A request is
-    one result page, so its rows are bounded by the page size.
+    The means are a grouped aggregate (partial aggregation before the
+    shuffle) joined back on the request id: a sort-merge join that AQE splits
+    when one request is huge, or a broadcast when the means are small. Feed
+    it a materialised table, as the pipeline does, so the second read is a
+    file scan.
     """
-    w = Window.partitionBy(group)
-    return df.withColumns({f"{c}_ratio": safe_ratio(F.col(c), F.avg(c).over(w)) for c in cols})
+    m = request_means(df, list(cols), group)
+    out = df.join(m, on=group, how="left")
+    out = out.withColumns({f"{c}_ratio": safe_ratio(F.col(c), F.col(f"avg_{c}")) for c in cols})
+    return out.drop(*[f"avg_{c}" for c in cols])

@@ -127,11 +127,12 @@ def training_table(raw: DataFrame, request_place: DataFrame, places: DataFrame,
     df = base_table(prepared)
     df = geo_table(df, items, places, radius_km)
     df = with_history(df, request_histories(raw))
-    df = FE.request_ratios(df)
     if cut_lineage:
-        # the quantile splits and the known-id vocabulary are global passes over
-        # this table: read it from files instead of re-running the plan for each
+        # the request means, the quantile splits and the known-id vocabulary are
+        # further passes over this table: read it from files instead of
+        # re-running the plan for each
         df = materialize(df, "features_stage")
+    df = FE.request_ratios(df)
     df = E.quantile_buckets(df, "distance", "distance_buckets", buckets)
     vocab_by = "cityid" if same_city else None
     req = df.select("requestid", "cityid", "clicked_itemid_list_10", "clicked_item_type_list_10").dropDuplicates(["requestid"])
