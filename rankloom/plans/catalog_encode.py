@@ -239,7 +239,7 @@ def q_label(spark, sf):
 def q_current_rank(spark, sf):
     df = view(spark, sf, "ranked_response")
     out = RK.rank_within(df, "requestid", ["item_rank", "itemid", "slasherprice", "item_type", "user_abp", "sortby",
-                                           "suppkey", "quantity"], "current_rank")
+                                           "suppkey", "quantity"], "current_rank", skew_safe=True)
     return finish(out.select("requestid", "itemid", "item_rank", "current_rank"))
 
 
@@ -249,5 +249,5 @@ def q_current_rank(spark, sf):
 def q_new_rank(spark, sf):
     df = view(spark, sf, "search_response")
     out = RK.rank_within(df, "requestid", [F.col("fprice").desc_nulls_last(), "itemid", "distance", "rating", "rcount",
-                                           "display_category", "searchtime"], "new_rank")
+                                           "display_category", "searchtime"], "new_rank", skew_safe=True)
     return finish(out.select("requestid", "itemid", "fprice", "new_rank"))

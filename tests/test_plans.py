@@ -48,3 +48,19 @@ def test_invariant_to_input_order(spark, small_dir, key):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_skew_safe_rank_equals_window(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rankloom.operators.rank import rank_within
+    rnd = random.Random(9)
+    rows = [("hot" if rnd.random() < 0.4 else f"r{rnd.randrange(30)}", i, rnd.choice([None, rnd.random()]))
+            for i in range(2000)]
+    df = spark.createDataFrame(rows, "requestid string, itemid long, score double")
+    order = [F.col("score").desc_nulls_last(), F.col("itemid")]
+    a = {r.itemid: r.rk for r in rank_within(df, "requestid", order, "rk").collect()}
+    b = {r.itemid: r.rk for r in rank_within(df, "requestid", order, "rk", skew_safe=True, partitions=9).collect()}
+    assert a == b
