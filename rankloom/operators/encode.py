@@ -15,6 +15,18 @@ from ..functions.vectors import dot
 
 PLATFORMS = ("android_app", "website", "ios_app")   # fixed values: one-hot platform columns
 
+# The 36 numeric model inputs and the 3 flags of the source system
+# (item = the source's hotel), z-scored with saved statistics.
+NUMERIC_FEATURES = [
+    "fprice", "rating", "rcount", "searchtime", "discount_per", "user_abp", "place_popularity_score",
+    "item_btod", "item_user_br", "item_user_ctr", "item_user_btod", "avg_item_ctr", "avg_item_btod",
+    "stayLength", "abp_price_diff", "item_ctr", "item_br", "item_dtob", "item_place_ctr", "item_place_br",
+    "item_place_dtob", "user_cat_ctr", "user_cat_br", "user_cat_dtob", "distance", "item_clicked_rate",
+    "cat_clicked_rate", "fprice_ratio", "rating_ratio", "discount_per_ratio", "clicked_fprice_list_10",
+    "clicked_rating_list_10", "clicked_distance_list_10", "clicked_distance_list_10_std",
+    "clicked_fprice_list_10_std", "clicked_rating_list_10_std"]
+FLAG_FEATURES = ["is_weekend_checkin", "is_weekend_searchDate", "is_city_search"]
+
 
 def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row: mean and sample stddev of every column, one pass."""
@@ -28,7 +40,7 @@ def _exact(df: DataFrame, c: str):
     """Integral columns are averaged as decimals (exact sums: an epoch-ms mean
     summed in doubles loses its last digits)."""
     t = df.schema[c].dataType.typeName()
-    return F.col(c).cast("decimal(38,0)") if t in ("long", "integer", "short", "byte") else F.col(c)
+    return F.col(c).cast("decimal(32,6)") if t in ("long", "integer", "short", "byte") else F.col(c)
 
 
 def column_means(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -214,3 +226,24 @@ def pool_history(df: DataFrame, arr_idx: str, table: DataFrame, out: str, key: s
 
 def embedding_dot(a: str, b: str) -> Column:
     return dot(a, b)
+
+
+def model_input_columns() -> list[str]:
+    """Order of the dense model input: numerics and flags by name, then the
+    platform one-hots (42 columns)."""
+    return sorted(NUMERIC_FEATURES + FLAG_FEATURES) + list(PLATFORMS)
+
+
+def model_input(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """The 42 model inputs as columns: z-scored numerics (null -> 0 = the
+    mean), flags (null -> 0) and the platform one-hot. Training and scoring
+    pass the same saved ``stats`` (one code path for both)."""
+    out = zscore(df, stats, NUMERIC_FEATURES)
+    out = one_hot(out, "platform").fillna(0, subset=FLAG_FEATURES)
+    return out
+
+
+def assemble_input(df: DataFrame, out: str = "features") -> DataFrame:
+    """Spark ML vector of the 42 inputs in ``model_input_columns`` order."""
+    from pyspark.ml.feature import VectorAssembler
+    return VectorAssembler(inputCols=model_input_columns(), outputCol=out).transform(df)

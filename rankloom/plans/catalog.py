@@ -6,10 +6,12 @@ import os
 
 from . import (catalog_assembly, catalog_encode, catalog_features, catalog_geo,  # noqa: F401
                catalog_history, catalog_io, catalog_rates)
-from .catalog_full import full_sql
+from .catalog_full import assemble_sql, full_sql, model_input_sql
 from .registry import LAZY_ORACLES, ORACLES, QUERIES, normalise_oracle
 
 LAZY_ORACLES["features_full"] = full_sql
+LAZY_ORACLES["enc_model_input"] = model_input_sql
+LAZY_ORACLES["enc_assemble"] = assemble_sql
 
 SAMPLE_DIR = "/root/testdata/sf0.001"
 

@@ -327,7 +327,20 @@ def q_vocab(spark, sf):
 @register("features_full")
 def q_features_full(spark, sf):
     """The whole training table (rows-only check; every stage has its own oracle)."""
+    return finish(training(spark, sf))
+
+
+def training(spark, sf):
     from . import pipeline as P
     raw = CA.assembled(spark, sf)
-    return finish(P.training_table(raw, view(spark, sf, "request_place"), view(spark, sf, "place"),
-                                   view(spark, sf, "item_geo")))
+    return P.training_table(raw, view(spark, sf, "request_place"), view(spark, sf, "place"),
+                            view(spark, sf, "item_geo"))
+
+
+@register("enc_model_input")
+def q_model_input(spark, sf):
+    """The 42 model inputs of the training table (z-scored with its own statistics)."""
+    from ..operators import encode as EN
+    df = training(spark, sf)
+    df = EN.model_input(df, EN.column_stats(df, EN.NUMERIC_FEATURES))
+    return finish(df.select("requestid", "itemid", *EN.model_input_columns()))

@@ -119,3 +119,20 @@ k AS (SELECT req.requestid, COALESCE(ki.ki, []) AS ki, COALESCE(kt.kt, []) AS kt
 SELECT b10.* EXCLUDE (clicked_itemid_list_10, clicked_item_type_list_10), {pos_ids}, {pos_types}
   FROM b10 LEFT JOIN k USING (requestid)"""
     return duck_with(VIEWS, body)
+
+
+def model_input_sql(sample_dir: str) -> str:
+    """z-scores of the 36 numerics over the training table, flags, one-hots."""
+    from ..operators.encode import FLAG_FEATURES, NUMERIC_FEATURES, PLATFORMS
+    z = ", ".join(f"COALESCE(CASE WHEN stddev_samp({c}) OVER () = 0 THEN NULL "
+                  f"ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 0) AS {c}"
+                  for c in NUMERIC_FEATURES)
+    flags = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in FLAG_FEATURES)
+    hot = ", ".join(f"CASE WHEN platform = '{p}' THEN 1 ELSE 0 END AS {p}" for p in PLATFORMS)
+    return f"SELECT requestid, itemid, {z}, {flags}, {hot} FROM (\n{full_sql(sample_dir)}\n) AS f"
+
+
+def assemble_sql(sample_dir: str) -> str:
+    from ..operators.encode import model_input_columns
+    cols = ", ".join(f"CAST({c} AS DOUBLE)" for c in model_input_columns())
+    return f"SELECT requestid, itemid, [{cols}] AS features FROM (\n{model_input_sql(sample_dir)}\n) AS m"

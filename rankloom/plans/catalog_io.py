@@ -94,9 +94,14 @@ def ml_frame(spark, sf):
 
 @register("enc_assemble")
 def q_assemble(spark, sf):
+    """The 42 model inputs of the training table as one Spark ML vector
+    (numerics and flags by name, then the platform one-hots)."""
     from pyspark.ml.functions import vector_to_array
-    df = M.assembler(ML_COLS).transform(ml_frame(spark, sf))
-    return finish(df.select("event_id", vector_to_array("features").alias("features")))
+
+    from .catalog_features import training
+    df = training(spark, sf)
+    df = E.assemble_input(E.model_input(df, E.column_stats(df, E.NUMERIC_FEATURES)))
+    return finish(df.select("requestid", "itemid", vector_to_array("features").alias("features")))
 
 
 def _wide(spark, sf):
