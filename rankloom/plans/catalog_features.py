@@ -54,7 +54,6 @@ FLAGS_SQL = """SELECT s.requestid, s.itemid,
 
 @register("fn_flags", duck_with(["search_response", "search_request"], FLAGS_SQL))
 def q_flags(spark, sf):
-    s = L.read_search_response(view(spark, sf, "search_response"))
     s = view(spark, sf, "search_response").select(
         "requestid", "itemid", "distance",
         F.when(F.col("distance").isNull(), 1).otherwise(0).alias("iscitysearch"))

@@ -8,7 +8,6 @@ same way the output normalisation reads column types.
 from __future__ import annotations
 
 from ..fixtures import duck_with
-from . import catalog_assembly as CA
 from .catalog_features import BASE_SQL_COLS, PREPARED_CTES, PREP_VIEWS
 from .catalog_geo import BEST
 from .catalog_rates import rates_ctes
