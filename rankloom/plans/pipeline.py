@@ -62,9 +62,9 @@ def with_rates(df: DataFrame, all_data: DataFrame, lag_days: int = 0) -> DataFra
                          F.when((F.col("iscitysearch") == 0) & (F.col("is_nearBy_search") == 0), 1).otherwise(0))
 
 
-def base_table(prepared: DataFrame, lag_days: int = 0) -> DataFrame:
+def base_table(prepared: DataFrame, lag_days: int = 0, adv_fixed: bool = False) -> DataFrame:
     """Base features, fills, clicked requests only, rolling rates."""
-    df = FE.clean_features(FE.base_features(prepared), prepared)
+    df = FE.clean_features(FE.base_features(prepared, adv_fixed), prepared)
     df = A.keep_requests_with_event(df, prepared)
     return with_rates(df, prepared, lag_days)
 
@@ -109,14 +109,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def training_table(raw: DataFrame, request_place: DataFrame, places: DataFrame, items: DataFrame,
                    start=None, radius_km: float = 5.0, buckets: int = 10, same_city: bool = True,
-                   cut_lineage: bool = True) -> DataFrame:
+                   cut_lineage: bool = True, lag_days: int = 0, adv_fixed: bool = False) -> DataFrame:
     """Everything up to the model input: features, geo, history, ratios,
     distance buckets and the known-id filter of the history columns.
 
     ``raw`` is read by the base features and by the history (which uses the
     whole pull), so it is written once (``cut_lineage``); the prepared table
     feeds the projection, the mean fill, the semi join and three rate tables,
-    so it is persisted (memory, spilling to disk).
+    so it is persisted (memory, spilling to disk). ``lag_days=1`` keeps the
+    current day out of the rolling rates; ``adv_fixed`` counts the booking
+    window as check-in minus search date.
     """
     from pyspark import StorageLevel
 
@@ -124,7 +126,7 @@ def training_table(raw: DataFrame, request_place: DataFrame, places: DataFrame,
     if cut_lineage:
         raw = materialize(raw, "raw_pull")
     prepared = prepare(raw, request_place, places, start).persist(StorageLevel.MEMORY_AND_DISK)
-    df = base_table(prepared)
+    df = base_table(prepared, lag_days, adv_fixed)
     df = geo_table(df, items, places, radius_km)
     df = with_history(df, request_histories(raw))
     if cut_lineage:
