@@ -52,3 +52,14 @@ def test_stream_equals_batch(spark, small_dir, tmp_path):
 def test_shuffle_rows_before_learner(spark, small_dir):
     df = view(spark, small_dir, "timed_event")
     assert df.orderBy(F.rand(42)).count() == df.count()
+
+
+def test_stream_rerun_is_idempotent(spark, small_dir, tmp_path):
+    src = view(spark, small_dir, "timed_event").select("event_id", "requestid", "itemid", "rating", "distance")
+    src.repartition(2, "requestid").write.parquet(str(tmp_path / "in"))
+    order = dict(new_order=[F.col("score").desc(), F.col("event_id")], current_order=[F.col("event_id")])
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), src.schema, IO._stream_scorer)
+    score_files(*args, **order)
+    first = spark.read.parquet(str(tmp_path / "out")).count()
+    score_files(*args, **order)          # same checkpoint: nothing new, nothing duplicated
+    assert spark.read.parquet(str(tmp_path / "out")).count() == first == src.count()
