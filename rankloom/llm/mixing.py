@@ -135,21 +135,24 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = MAX_REPEATS)
     return taken
 
 
-def mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED, id_col: str = "doc_id",
-        ) -> DataFrame:
-    """id, size, source_size, target, repeats and taken of every row.
+def _marks(docs: DataFrame, sources, id_col: str, seed: int) -> dict:
+    """Columns the selection works on: pattern, hash and hash bin of a row."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    return {"_mix_p": F.to_json(F.array_sort(F.array_distinct(sources))), "_mix_h": h,
+            "_mix_b": F.pmod(h, F.lit(BINS)).cast("int")}
+
+
+def plan_mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED,
+             id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(sizes, rule): the narrow table of all rows, and for each pattern what to take.
 
     ``sources`` is an array column (a document may belong to several), ``size``
     a count column. ``weights`` maps a source to its weight; without it the
-    sources, by code point and null last, weigh 1, 2, 3, repeating. For a
-    document of several sources, source_size and target are those of the first.
+    sources, by code point and null last, weigh 1, 2, 3, repeating.
     """
     spark = docs.sparkSession
-    sized = materialise(docs.select(
-        F.col(id_col).alias("_mix_id"), F.to_json(F.array_sort(F.array_distinct(sources))).alias("_mix_p"),
-        F.coalesce(size, F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("_mix_h")
-    ).withColumn("_mix_b", F.pmod("_mix_h", F.lit(BINS)).cast("int")), "mix-sizes")
+    sized = materialise(docs.select(F.col(id_col).alias("_mix_id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"),
+                                    *[c.alias(n) for n, c in _marks(docs, sources, id_col, seed).items()]), "mix-sizes")
     sums = sized.groupBy("_mix_p").agg(F.sum("size").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -173,36 +176,60 @@ def mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int =
                .agg(F.min(F.struct("_mix_b", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
                .select("_mix_p", "rest", F.col("c._mix_b").alias("cut_b"), F.col("c.before").alias("before")))
     # only the bin at the cut is ordered: about 1 / BINS of a pattern
-    inside = (sized.join(cut, "_mix_p").where("_mix_b = cut_b")
-                   .withColumn("upto", F.col("before") + F.sum("size").over(
-                       Window.partitionBy("_mix_p").orderBy("_mix_h", "_mix_id"))))
-    edge = (inside.where("upto <= rest").groupBy("_mix_p")
-                  .agg(F.max(F.struct("_mix_h", "_mix_id")).alias("edge"), F.max("upto").alias("got")))
-    cut = (cut.join(edge, "_mix_p", "left")
-              .withColumn("gap", F.col("rest") - F.coalesce("got", "before"))
-              .select("_mix_p", "cut_b", "edge", "gap"))
+    inside = sized.join(cut, "_mix_p").where("_mix_b = cut_b").withColumn(
+        "upto", F.col("before") + F.sum("size").over(Window.partitionBy("_mix_p").orderBy("_mix_h")))
+    edge = inside.where("upto <= rest").groupBy("_mix_p").agg(F.max("_mix_h").alias("edge"), F.max("upto").alias("got"))
+    cut = cut.join(edge, "_mix_p", "left").select("_mix_p", "cut_b", "edge",
+                                                  (F.col("rest") - F.coalesce("got", "before")).alias("gap"))
     cut = materialise(cut, "mix-cut")
-    chosen = (F.col("_mix_b") < F.coalesce("cut_b", F.lit(BINS))) | (
-        (F.col("_mix_b") == F.col("cut_b")) & F.coalesce(F.struct("_mix_h", "_mix_id") <= F.col("edge"), F.lit(False)))
     fills = cut.select("_mix_p", "gap", F.array().cast("array<bigint>").alias("fills"))
-    left = sized.join(cut.select("_mix_p", "cut_b", "edge"), "_mix_p").where(~chosen & (F.col("size") > 0))
-    for _ in range(FILLS):
+    left = sized.join(cut.select("_mix_p", "cut_b", "edge"), "_mix_p").where(~_before_cut() & (F.col("size") > 0))
+    for _ in range(FILLS):  # the largest document that fits the gap, a few times
         fit = (left.join(fills, "_mix_p").where("size <= gap AND NOT array_contains(fills, _mix_h)")
-                   .groupBy("_mix_p", "gap", "fills", "_mix_h").agg(F.sum("size").alias("n")).where("n <= gap")
+                   .groupBy("_mix_p", "gap", "_mix_h").agg(F.sum("size").alias("n")).where("n <= gap")
                    .groupBy("_mix_p").agg(F.max(F.struct("n", "_mix_h")).alias("best")))
-        fills = fills.join(fit, "_mix_p", "left").select(
+        fills = materialise(fills.join(fit, "_mix_p", "left").select(
             "_mix_p", (F.col("gap") - F.coalesce("best.n", F.lit(0))).alias("gap"),
             F.when(F.col("best").isNull(), F.col("fills"))
-             .otherwise(F.concat("fills", F.array("best._mix_h"))).alias("fills"))
-        fills = materialise(fills, "mix-fill")
+             .otherwise(F.concat("fills", F.array("best._mix_h"))).alias("fills")), "mix-fill")
     rule = plan.join(cut.drop("gap"), "_mix_p", "left").join(fills.drop("gap"), "_mix_p", "left")
-    out = sized.join(rule, "_mix_p").withColumn("repeats", F.col("base") + F.when(
-        (F.col("rest") > 0) & (chosen | F.coalesce(F.array_contains("fills", F.col("_mix_h")), F.lit(False))),
-        1).otherwise(0))
+    return sized, materialise(rule, "mix-rule")
+
+
+def _before_cut():
+    """Whether a row (its hash and bin) lies before its pattern's cut."""
+    return (F.col("_mix_b") < F.coalesce("cut_b", F.lit(BINS))) | F.coalesce(
+        (F.col("_mix_b") == F.col("cut_b")) & (F.col("_mix_h") <= F.col("edge")), F.lit(False))
+
+
+def _repeats():
+    more = (F.col("rest") > 0) & (_before_cut() | F.coalesce(F.array_contains("fills", F.col("_mix_h")), F.lit(False)))
+    return F.col("base") + F.when(more, 1).otherwise(0)
+
+
+def mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED,
+        id_col: str = "doc_id") -> DataFrame:
+    """id, size, source_size, target, repeats and taken of every row (see ``plan_mix``).
+
+    For a document of several sources, source_size and target are those of the first.
+    """
+    sized, rule = plan_mix(docs, sources, size, weights, seed, id_col)
+    out = sized.join(F.broadcast(rule), "_mix_p").withColumn("repeats", _repeats())  # at most MAX_PATTERNS rows
     return out.select(F.col("_mix_id").alias(id_col), "size", "source_size", "target", "repeats",
                       (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def mixed(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED,
+          id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, unchanged."""
+    _, rule = plan_mix(docs, sources, size, weights, seed, id_col)
+    marks = _marks(docs, sources, id_col, seed)
+    out = docs.select("*", *[c.alias(n) for n, c in marks.items()]).join(F.broadcast(rule), "_mix_p")
+    out = out.withColumn("repeats", _repeats()).where("repeats > 0")
+    return out.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(
+        *[docs[c] for c in docs.columns])
+
+
 def _scaled(wanted: list[float], total: int) -> list[float]:
     """Overlapping sources count a document more than once; their quotas share the real total."""
     whole = sum(wanted)

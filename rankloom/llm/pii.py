@@ -159,14 +159,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.mapInArrow(run, f"`{id_col}` {kind}, spans {SPANS_TYPE}")
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with the spans of ``text_col`` replaced."""
+def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The same rows and columns with the spans of ``text_col`` replaced; ``length_col`` follows where a text changed."""
     at = docs.columns.index(text_col)
+    size_at = docs.columns.index(length_col) if length_col else None
 
     def run(batches):
         for b in slices(batches):
-            texts = pa.array([redact(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
-            yield b.set_column(at, b.schema.field(at), texts)
+            before = b.column(at).to_pylist()
+            after = [redact(t) for t in before]
+            b = b.set_column(at, b.schema.field(at), pa.array(after, b.schema.field(at).type))
+            if size_at is not None:
+                sizes = [n if x == y else len(y) for n, x, y in zip(b.column(size_at).to_pylist(), before, after)]
+                b = b.set_column(size_at, b.schema.field(size_at), pa.array(sizes, b.schema.field(size_at).type))
+            yield b
 
     return docs.mapInArrow(run, docs.schema)
 

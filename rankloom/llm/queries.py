@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, links, mixing, pii, quality, tokens
-from . import bpe
+from . import ann, bpe, chat, links, minhash, mixing, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_pii": pii.op2_pii,
+    "op3_minhash": minhash.op3_minhash,
     "op4_mixing": mixing.op4_mixing,
     "op5_url_filters": links.op5_url_filters,
+    "op6_nearest_neighbours": ann.op6_nearest_neighbours,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_token_counts": tokens.op10_token_counts,
 }
