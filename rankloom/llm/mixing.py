@@ -224,10 +224,9 @@ def mixed(docs: DataFrame, sources, size, weights: dict | None = None, seed: int
     """The rows of ``docs`` as often as the mix takes them, unchanged."""
     _, rule = plan_mix(docs, sources, size, weights, seed, id_col)
     marks = _marks(docs, sources, id_col, seed)
-    out = docs.select("*", *[c.alias(n) for n, c in marks.items()]).join(F.broadcast(rule), "_mix_p")
-    out = out.withColumn("repeats", _repeats()).where("repeats > 0")
-    return out.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(
-        *[docs[c] for c in docs.columns])
+    packed = docs.select(F.struct("*").alias("_mix_row"), *[c.alias(n) for n, c in marks.items()])
+    out = packed.join(F.broadcast(rule), "_mix_p").withColumn("repeats", _repeats()).where("repeats > 0")
+    return out.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_mix_row.*")
 
 
 def _scaled(wanted: list[float], total: int) -> list[float]:

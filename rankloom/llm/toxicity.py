@@ -45,15 +45,21 @@ BLOCK = 64
 THRESHOLD = 0.7
 SEED = 11
 STEM = 5
+DENSE = 1
 PRIOR = 2.0  # weight of the label share in a vote
 
 _WORD = re.compile(r"\w+").findall
 
 
 def words(text: str | None) -> list[str]:
-    """Terms of a text: its lower-cased words, and the stem (first STEM letters) of longer ones."""
+    """Terms of a text: its lower-cased words, their stems (first STEM letters), and the dense stems.
+
+    A stem is dense when it comes twice or more and in DENSE % of the words or
+    more; a rate marks a text where a single chance occurrence does not.
+    """
     found = _WORD(text.lower()) if text else []
-    return found + ["^" + w[:STEM] for w in found if len(w) > STEM]
+    stems = ["^" + w[:STEM] for w in found if len(w) >= STEM]
+    return found + stems + [t + "+" for t, n in Counter(stems).items() if n > 1 and 100 * n >= DENSE * len(found)]
 
 
 def held_out(id_col) -> Column:
@@ -146,16 +152,17 @@ class Model:
 
 
 def monotone(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing fit of labels to raw by pooling neighbours that violate the order."""
+    """Non-decreasing fit of labels to raw by pooling neighbours that violate the order: each pool's ends and value."""
     order = np.argsort(raw, kind="stable")
-    pools: list[list[float]] = []
+    pools: list[list[float]] = []  # toxic weight, weight, least raw, largest raw
     for x, y, w in zip(raw[order], labels[order], weights[order]):
-        pools.append([w * y, w, w * x])
-        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+        pools.append([w * y, w, x, x])
+        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
             last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return (np.array([p[2] / p[1] for p in pools]),
-            np.maximum.accumulate([(p[0] + 0.5 * PRIOR * weights.min()) / (p[1] + PRIOR * weights.min()) for p in pools]))
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
+    few = PRIOR * weights.min()
+    value = np.maximum.accumulate([(p[0] + 0.5 * few) / (p[1] + few) for p in pools])
+    return np.array([x for p in pools for x in p[2:]]), np.repeat(value, 2)
 
 
 def draw(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> tuple[DataFrame, dict[int, int]]:

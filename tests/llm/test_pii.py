@@ -1,0 +1,63 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rankloom.llm import pii
+
+# The base patterns as the contract words them.
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, pattern in CONTRACT.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True,
+                  "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], pii.ORDER[s[0]]))
+
+
+def check(text):
+    got = [s[:3] for s in pii.find(text) if s[0] in pii.BASE_KINDS]
+    assert got == brute(text), text
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "@", ".", "b.co", "-", " ", "1", "255", "256", "4111 1111 1111 1111", "+1 (", ")",
+                                 "1.2.3.4", "+", "%", "é", "000"]), max_size=14).map("".join))
+def test_base_spans_as_the_patterns_say(text):
+    check(text)
+
+
+def test_cases():
+    for text in ("a@b.c@d.e", "a@b@c.d.", "1.2.3.4.5.6.7.8", "4111-1111-1111-1111", "+1 (787) 555-1710 +44 20 7946 0958",
+                 "0001.02.3.4", "x@y", "@a.b", "1" * 3000, "5 " * 3000):
+        check(text)
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert [s[0] for s in pii.find("konto DE89 3704 0044 0532 0130 00 GUT")] == ["iban"]
+    assert not pii.find("konto DE88 3704 0044 0532 0130 00")
+    assert [s[0] for s in pii.find("her social security number 123-45-6789")] == ["ssn"] and not pii.find("part 123-45-6789")
+    assert pii.redact("mail a.b@c.de now") == "mail <EMAIL> now"
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    rows = {(r.doc_id, len(r.spans)) for r in pii.find_pii(odd_docs).collect()}
+    assert pii.find_pii(odd_docs).count() == odd_docs.count() and all(n == 0 for _, n in rows)
+    out = pii.redact_pii(odd_docs, "text", "n_chars")
+    assert out.schema == odd_docs.schema and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
+    changed = spark.createDataFrame([(1, "see a@b.cd", 10)], "doc_id long, text string, n_chars long")
+    assert tuple(pii.redact_pii(changed, "text", "n_chars").first()) == (1, "see <EMAIL>", 11)
+    assert pii.find_pii(no_docs).count() == 0
+
+
+def test_long_runs_are_linear():
+    pii.find("1" * 200_000 + " " + "a" * 200_000 + "@" + "+1 " * 100_000 + "9." * 100_000)
