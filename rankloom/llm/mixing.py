@@ -12,7 +12,7 @@ shared folder. Only sums for each pattern reach the driver, bounded by
 pattern: its hash space is cut into ``BINS``, bins are summed before the
 shuffle, whole bins are taken and only the one bin at the cut is ordered. The
 gap left by the last document is then filled with the largest documents that
-fit.
+fit, ``FILLS`` times (at most ``FILL_MOST`` of one size).
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; an empty table gives no rows; repeated rows with one id are
@@ -36,6 +36,7 @@ MAX_PATTERNS = 100_000
 BINS = 4096
 SEED = 20_240_517
 FILLS = 3
+FILL_MOST = 500
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = MAX_REPEATS) -> list[float]:
@@ -184,14 +185,17 @@ def plan_mix(docs: DataFrame, sources, size, weights: dict | None = None, seed:
     cut = materialise(cut, "mix-cut")
     fills = cut.select("_mix_p", "gap", F.array().cast("array<bigint>").alias("fills"))
     left = sized.join(cut.select("_mix_p", "cut_b", "edge"), "_mix_p").where(~_before_cut() & (F.col("size") > 0))
-    for _ in range(FILLS):  # the largest document that fits the gap, a few times
-        fit = (left.join(fills, "_mix_p").where("size <= gap AND NOT array_contains(fills, _mix_h)")
-                   .groupBy("_mix_p", "gap", "_mix_h").agg(F.sum("size").alias("n")).where("n <= gap")
-                   .groupBy("_mix_p").agg(F.max(F.struct("n", "_mix_h")).alias("best")))
+    left = materialise(left.groupBy("_mix_p", "_mix_h").agg(F.sum("size").alias("size")), "mix-left")
+    for _ in range(FILLS):
+        some = left.join(fills, "_mix_p").where("size <= gap AND NOT array_contains(fills, _mix_h)")
+        top = some.groupBy("_mix_p").agg(F.max("size").alias("size"))
+        ranked = some.join(top, ["_mix_p", "size"]).withColumn(
+            "n", F.row_number().over(Window.partitionBy("_mix_p").orderBy("_mix_h")))
+        fit = (ranked.where((F.col("n") <= F.floor(F.col("gap") / F.col("size"))) & (F.col("n") <= FILL_MOST))
+                     .groupBy("_mix_p").agg(F.sum("size").alias("got"), F.collect_list("_mix_h").alias("more")))
         fills = materialise(fills.join(fit, "_mix_p", "left").select(
-            "_mix_p", (F.col("gap") - F.coalesce("best.n", F.lit(0))).alias("gap"),
-            F.when(F.col("best").isNull(), F.col("fills"))
-             .otherwise(F.concat("fills", F.array("best._mix_h"))).alias("fills")), "mix-fill")
+            "_mix_p", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"),
+            F.when(F.col("more").isNull(), F.col("fills")).otherwise(F.concat("fills", "more")).alias("fills")), "mix-fill")
     rule = plan.join(cut.drop("gap"), "_mix_p", "left").join(fills.drop("gap"), "_mix_p", "left")
     return sized, materialise(rule, "mix-rule")
 
