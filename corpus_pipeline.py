@@ -43,9 +43,7 @@ def mix_sources(spark, docs, sf_dir):
 def encode(spark, docs, sf_dir):
     import public_tokenizers as known
     share_code(spark)
-    path = known.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode_ids(bpe.encode_texts(docs, path, known.PATTERN), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+    return bpe.round_trip(docs, known.path("byte_bpe_multi_50k.tiktoken"), known.PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

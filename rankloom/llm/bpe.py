@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import gather, slices, table
 
-MEMO = 400_000
+MEMO = 250_000
 MEMO_BYTES = 64
 _ENDLESS = 1 << 62
 
@@ -233,28 +233,20 @@ def _ship(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``ids`` (array of int) of every row."""
-    raw = _ship(docs.sparkSession, path)
-
+def _encoding(raw, pattern: str, id_col: str):
     def run(batches):
         encode = encoder(raw.value, pattern)
-        for b in slices(batches, 128):
+        for b in slices(batches, 128, text=1):
             rows = [encode(t) if t else [] for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(rows) + 1, dtype=np.int32)
             np.cumsum([len(r) for r in rows], out=offsets[1:])
             flat = np.fromiter(chain.from_iterable(rows), dtype=np.int32, count=int(offsets[-1]))
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), ids], [id_col, "ids"])
+    return run
 
-    df = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    return df.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>")
-
-
-def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """id, ids and ``decoded`` (binary) of every row of ``encode_texts``."""
-    raw = _ship(encoded.sparkSession, path)
 
+def _decoding(raw, id_col: str):
     def run(batches):
         ranks = read_ranks(raw.value)
         tokens = sorted(ranks, key=ranks.get)
@@ -262,6 +254,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
         size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         size[[ranks[t] for t in tokens]] = [len(t) for t in tokens]
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        del ranks, tokens
         for b in slices(batches, 128):
             ids = b.column(1)
             flat = ids.flatten().to_numpy(zero_copy_only=False)
@@ -270,17 +263,41 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
             out = pa.Array.from_buffers(pa.large_binary(), len(ids), [
                 None, pa.py_buffer(np.ascontiguousarray(at[ends])), pa.py_buffer(data)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids, out], [id_col, "ids", "decoded"])
+    return run
+
 
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    df = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    return df, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>"
+
+
+def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ``ids`` (array of int) of every row."""
+    df, schema = _texts(docs, id_col, text_col)
+    return df.mapInArrow(_encoding(_ship(docs.sparkSession, path), pattern, id_col), schema)
+
+
+def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
+    """id, ids and ``decoded`` (binary) of every row of ``encode_texts``."""
+    df = encoded.select(id_col, "ids")
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, decoded binary"
+    return df.mapInArrow(_decoding(_ship(encoded.sparkSession, path), id_col), schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, ids and ``decoded`` of every row: both steps in one pass, so one worker for each task."""
+    raw = _ship(docs.sparkSession, path)
+    df, schema = _texts(docs, id_col, text_col)
+    encode, decode = _encoding(raw, pattern, id_col), _decoding(raw, id_col)
+    return df.mapInArrow(lambda batches: decode(encode(batches)), schema + ", decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode the ids again, and give both digests for each document."""
-    decoded = decode_ids(encode_texts(docs, path, pattern), path)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_byte_bpe(spark, sf_dir):

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into short ones, so a batch of long texts stays small once decoded."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, text: int | None = None,
+           size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into short ones: at most ``rows`` rows and, with the index of a
+    ``text`` column, about ``size`` bytes of it (one row at least), so that what is
+    worked out for each byte of a slice stays small."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        if text is None:
+            starts = np.arange(0, batch.num_rows, rows)
+        else:
+            lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            block = np.cumsum(lengths) // size
+            new = np.flatnonzero(np.diff(block)) + 1
+            starts = np.unique(np.concatenate([new, np.arange(0, batch.num_rows, rows)]))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(int(a), int(b - a))
 
 
 def word_count(text) -> Column:

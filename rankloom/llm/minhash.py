@@ -93,7 +93,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _prints(id_col: str, bands: int):
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, text=1):
             hashes, offsets = shingle_sets(b.column(1))
             size = np.diff(offsets)
             some = size > 0
@@ -114,7 +114,7 @@ def _prints(id_col: str, bands: int):
 
 
 def _sets(batches):
-    for b in slices(batches):
+    for b in slices(batches, text=1):
         hashes, offsets = shingle_sets(b.column(1))
         values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
         yield pa.RecordBatch.from_arrays([b.column(0), values], ["node", "shingles"])

@@ -150,7 +150,7 @@ def redact(text: str | None) -> str | None:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``spans`` (array of kind, start, end, score) for every row."""
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, text=1):
             spans = [[dict(zip(("kind", "start", "end", "score"), s)) for s in find(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _SPANS)], [id_col, "spans"])
 
@@ -165,7 +165,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None =
     size_at = docs.columns.index(length_col) if length_col else None
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, text=at):
             before = b.column(at).to_pylist()
             after = [redact(t) for t in before]
             b = b.set_column(at, b.schema.field(at), pa.array(after, b.schema.field(at).type))

@@ -188,7 +188,7 @@ def _surprise(toxic: float, clean: float, share: float) -> float:
 def choose_terms(examples: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
     """Terms that mark a class: beyond chance over all terms tested, and by FACTOR."""
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, text=0):
             rows = [sorted(set(words(t))) for t in b.column("text").to_pylist()]
             labels = np.repeat(b.column("label").to_numpy(zero_copy_only=False), [len(r) for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([w for r in rows for w in r], pa.string()),
@@ -212,7 +212,7 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
     """Documents that hold each term, and all documents: partial counts of each task are summed by Spark."""
     def run(batches):
         wanted, seen, n = frozenset(terms), Counter(), 0
-        for b in slices(batches):
+        for b in slices(batches, text=0):
             for text in b.column(0).to_pylist():
                 seen.update(wanted.intersection(words(text)))
             n += b.num_rows
@@ -276,7 +276,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches):
         m = shared.value
-        for b in slices(batches):
+        for b in slices(batches, text=1):
             out = [m.score(t) for t in b.column(1).to_pylist()]
             evidence = [[{"id": int(m.index.ids[n]), "cosine": s} for n, s in e[:3]] for _, e in out]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()),
@@ -294,7 +294,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, text=at):
             yield b.filter(pa.array([shared.value.score(t)[0] < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
