@@ -15,11 +15,12 @@ def _c(x) -> Column:
 def list_share(arr, value) -> Column:
     """Share of the elements equal to ``value``: hits / (n + 1e-8).
 
-    Compared as doubles. Empty list -> 0; null list or null value -> null.
+    Compared in the ids' own type, so large and string ids stay apart. Empty
+    list -> 0; null list or null value -> null.
     """
-    v = _c(value).cast("double")
+    v = _c(value)
     a = _c(arr)
-    hits = F.size(F.filter(a, lambda x: x.cast("double") == v))
+    hits = F.size(F.filter(a, lambda x: x == v))
     return F.when(v.isNotNull() & a.isNotNull(), hits / (F.size(a) + F.lit(EPS)))
 
 

@@ -185,11 +185,11 @@ def quantile_discretizer(df: DataFrame, col: str, out: str, n: int = 10, rel_err
 
 
 def mean_vector(emb: DataFrame, col: str = "embedding") -> DataFrame:
-    """One row: element-wise mean of all vectors (per position, distributed)."""
-    ex = emb.select(F.posexplode(col).alias("_p", "_v"))
-    per = ex.groupBy("_p").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    return per.agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))),
-                               lambda x: x["_m"]).alias("mean_vector"))
+    """One row: element-wise mean of all vectors, one average per position in a single aggregate."""
+    n = emb.agg(F.max(F.size(col))).first()[0] or 0
+    means = emb.agg(*[F.avg(F.get(F.col(col), F.lit(p)).cast("double")).alias(f"_m{p}") for p in range(n)] or
+                    [F.lit(None).alias("_m")])
+    return means.select(F.array(*[f"_m{p}" for p in range(n)]).cast("array<double>").alias("mean_vector"))
 
 
 def embedding_table(emb: DataFrame, vocab: DataFrame, id_col: str = "itemid", col: str = "embedding",
@@ -212,16 +212,20 @@ def pool_history(df: DataFrame, arr_idx: str, table: DataFrame, out: str, key: s
     """Mean of the vectors of the history indices, padded to n with index 0
     (the padding row, which is the mean vector, counts in the mean).
 
-    Exploded to at most n rows per key, joined to the table, regrouped (n
-    vectors per key, bounded) and summed element-wise with zip_with: the
-    vectors stay whole, no row per dimension."""
-    ex = df.select(key, F.posexplode(pad(arr_idx, n)).alias("_p", "index"))
-    ex = ex.join(table, "index", "left")
-    back = ex.groupBy(key).agg(F.collect_list("vector").alias("_vs"))
-    zero = F.array_repeat(F.lit(0.0), F.size(F.col("_vs")[0]))
-    total = F.aggregate("_vs", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    back = back.select(key, F.transform(total, lambda x: x / F.size("_vs")).alias(out))
-    return df.join(back, key, "left")
+    Only known ids are exploded and joined; the padding is added as
+    (missing slots) x (row 0), a one-row vector, so index 0 is no join key.
+    The vectors of a key are summed in the order of their positions.
+    """
+    zero = table.where(F.col("index") == 0).select(F.col("vector").alias("_zero"))
+    ex = df.select(key, F.posexplode(F.filter(arr_idx, lambda i: i != 0)).alias("_p", "index"))
+    ex = ex.join(table, "index")
+    back = ex.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "vector"))).alias("_vs"))
+    out_df = df.join(back, key, "left").join(F.broadcast(zero))  # one row
+    known = F.coalesce(F.transform("_vs", lambda x: x["vector"]), F.array().cast("array<array<double>>"))
+    slots = F.greatest(F.lit(n), F.size(arr_idx))
+    padding = F.transform("_zero", lambda z: z * (slots - F.size(known)))
+    total = F.aggregate(known, padding, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    return out_df.withColumn(out, F.transform(total, lambda x: x / slots)).drop("_vs", "_zero")
 
 
 def embedding_dot(a: str, b: str) -> Column:

@@ -79,8 +79,8 @@ def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
     items = _xyz(items.select("itemid", "lat", "lng").where(F.col("lat").isNotNull() & F.col("lng").isNotNull()),
                  "lat", "lng")
     places = dedup_key(places.select("placeid", "lat", "lng", "conversion")
-                             .withColumn("_nc", -F.col("conversion")),
-                       ["placeid"], ["_nc", "lat", "lng"]).drop("_nc")
+                             .withColumns({"_no": F.col("conversion").isNull(), "_nc": -F.col("conversion")}),
+                       ["placeid"], ["_no", "_nc", "lat", "lng"]).drop("_no", "_nc")
     places = _xyz(places.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()), "lat", "lng")
 
     h0 = chord(radius_km) * 1.001

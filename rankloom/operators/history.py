@@ -136,10 +136,13 @@ def keep_known(df: DataFrame, arr: str, vocab: DataFrame, value: str, by: str |
     ex = ex.join(v, on=keys, how="left")
     kept = F.when(F.col("_known"), F.col(value)).otherwise(F.lit(pad).cast(df.schema[arr].dataType.elementType))
     rebuilt = (ex.where(F.col("_pos").isNotNull())
-                 .groupBy(request)
+                 .groupBy(F.col(request).alias("_rq"), *([F.col(by).alias("_by")] if by else []))
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", kept.alias("v")))),
                                   lambda x: x["v"]).alias(f"{arr}_known")))
-    out = df.join(rebuilt, on=request, how="left")
+    same = F.col(request) == F.col("_rq")
+    if by:  # a request seen under several ``by`` values keeps a list for each
+        same = same & F.col(by).eqNullSafe(F.col("_by"))
+    out = df.join(rebuilt, same, "left").drop("_rq", "_by")
     empty = F.array().cast(df.schema[arr].dataType)
     return out.withColumn(f"{arr}_known", F.when(F.col(arr).isNotNull(),
                                                  F.coalesce(F.col(f"{arr}_known"), empty)))

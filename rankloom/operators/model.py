@@ -43,9 +43,8 @@ def fit_wide(df: DataFrame, cols: list[str], label: str = "label", reg: float =
 def fit_deep(df: DataFrame, cols: list[str], label: str = "label", layers=None, seed: int = 42,
              max_iter: int = 50, negative_fraction: float | None = None) -> PipelineModel:
     """Assemble + MLP; negatives kept with probability ``negative_fraction``
-    (default: the inverse class weight) by a seeded stratified sample."""
-    frac = negative_fraction if negative_fraction is not None else CLASS_WEIGHTS[0] / CLASS_WEIGHTS[1] * 50
-    frac = min(1.0, frac)
+    (default 50 / 175: fifty times the inverse class weight) by a seeded stratified sample."""
+    frac = min(1.0, 50 * CLASS_WEIGHTS[0] / CLASS_WEIGHTS[1] if negative_fraction is None else negative_fraction)
     sample = df.sampleBy(label, fractions={0: frac, 1: 1.0}, seed=seed)
     hidden = layers or DEEP_LAYERS
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[len(cols), *hidden, 2],

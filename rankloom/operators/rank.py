@@ -33,9 +33,11 @@ def rank_within(df: DataFrame, group: str, order: list, name: str, skew_safe: bo
                 .persist(StorageLevel.MEMORY_AND_DISK))
     parts = ranged.groupBy("_pid", group).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     parts = parts.withColumn("_off", F.sum("_n").over(Window.partitionBy(group).orderBy("_pid")) - F.col("_n"))
-    out = ranged.join(parts, on=["_pid", group], how="inner")
+    # a null group is a group like any other
+    parts = parts.withColumnsRenamed({"_pid": "_pid2", group: "_group2"})
+    out = ranged.join(parts, (F.col("_pid") == F.col("_pid2")) & F.col(group).eqNullSafe(F.col("_group2")))
     out = out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_first") + 1).cast("int"))
-    return out.drop("_pid", "_mid", "_pos", "_first", "_n", "_off")
+    return out.drop("_pid", "_mid", "_pos", "_first", "_n", "_off", "_pid2", "_group2")
 
 
 def rank_by_score(df: DataFrame, group: str = "requestid", score: str = "score",

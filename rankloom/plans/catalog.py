@@ -21,20 +21,8 @@ def all_queries():
 
 
 def all_oracles(sample_dir: str = SAMPLE_DIR) -> dict[str, str]:
-    out = {}
-    todo = dict(ORACLES)
-    if os.path.isdir(sample_dir):
-        for k, gen in LAZY_ORACLES.items():
-            try:
-                todo[k] = gen(sample_dir)
-            except Exception:  # noqa: BLE001 - leave the key rows-only
-                pass
-    for k, sql in todo.items():
-        if os.path.isdir(sample_dir):
-            try:
-                out[k] = normalise_oracle(sql, sample_dir)
-                continue
-            except Exception:  # noqa: BLE001 - fall back to the raw text
-                pass
-        out[k] = sql
-    return out
+    """Every oracle text, normalised by the column types of the sample tables. A broken text raises."""
+    if not os.path.isdir(sample_dir):
+        raise FileNotFoundError(f"sample tables for the oracle texts: {sample_dir}")
+    todo = ORACLES | {k: gen(sample_dir) for k, gen in LAZY_ORACLES.items()}
+    return {k: normalise_oracle(sql, sample_dir) for k, sql in todo.items()}

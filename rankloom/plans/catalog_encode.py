@@ -12,7 +12,7 @@ from ..operators import encode as E
 from ..operators import rank as RK
 from . import catalog_assembly as CA
 from .catalog_history import _d, per_request
-from .registry import finish, register
+from .registry import by_position, finish, register, sql_by_position
 
 Z_COLS = ["fprice", "distance", "rating"]
 HASH_SQL = "('0x' || substr(md5({s}), 1, 15))::BIGINT % {n}"
@@ -148,17 +148,19 @@ def emb_table(spark, sf):
     return E.embedding_table(view(spark, sf, "item_embedding"), item_vocab(spark, sf))
 
 
-@register("agg_mean_vector", duck_with(["item_embedding"], f", {D_EMB.split(',' + chr(10) + 'tab AS')[0]}\nSELECT v AS mean_vector FROM mv"))
+@register("agg_mean_vector", sql_by_position(duck_with(
+    ["item_embedding"], f", {D_EMB.split(',' + chr(10) + 'tab AS')[0]}\nSELECT v FROM mv"), "v"))
 def q_mean_vector(spark, sf):
-    return finish(E.mean_vector(view(spark, sf, "item_embedding")))
+    return by_position(E.mean_vector(view(spark, sf, "item_embedding")), "mean_vector")
 
 
-@register("enc_embedding_lookup", duck_with(EMB_VIEWS, f""", {D_VOCAB}, {D_EMB}
-SELECT t.event_id, tab.v AS item_vec FROM timed_event t LEFT JOIN iv USING (itemid) JOIN tab ON tab.index = COALESCE(iv.index, 0)"""))
+@register("enc_embedding_lookup", sql_by_position(duck_with(EMB_VIEWS, f""", {D_VOCAB}, {D_EMB}
+SELECT t.event_id, tab.v FROM timed_event t LEFT JOIN iv USING (itemid) JOIN tab ON tab.index = COALESCE(iv.index, 0)"""),
+    "v", "event_id"))
 def q_emb_lookup(spark, sf):
     t = E.lookup(te(spark, sf).select("event_id", "itemid"), "itemid", item_vocab(spark, sf))
     tab = emb_table(spark, sf)
-    return finish(t.join(tab, t["itemid_idx"] == tab["index"]).select("event_id", F.col("vector").alias("item_vec")))
+    return by_position(t.join(tab, t["itemid_idx"] == tab["index"]), "vector", "event_id")
 
 
 D_POOL = """hidx AS (SELECT r.requestid, list_transform(r.h, lambda x: x.itemid) AS ids FROM req r),
@@ -194,9 +196,9 @@ req AS (SELECT requestid, h FROM (SELECT *, row_number() OVER (PARTITION BY requ
 {body}""")
 
 
-@register("enc_history_pool", _pool_sql("SELECT requestid, pooled FROM pooled"))
+@register("enc_history_pool", sql_by_position(_pool_sql("SELECT requestid, pooled FROM pooled"), "pooled", "requestid"))
 def q_pool(spark, sf):
-    return finish(pooled(spark, sf))
+    return by_position(pooled(spark, sf), "pooled", "requestid")
 
 
 @register("enc_embedding_dot", _pool_sql("""SELECT t.event_id, list_dot_product(tab.v, p.pooled) AS history_affinity

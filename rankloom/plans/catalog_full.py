@@ -134,4 +134,6 @@ def model_input_sql(sample_dir: str) -> str:
 def assemble_sql(sample_dir: str) -> str:
     from ..operators.encode import model_input_columns
     cols = ", ".join(f"CAST({c} AS DOUBLE)" for c in model_input_columns())
-    return f"SELECT requestid, itemid, [{cols}] AS features FROM (\n{model_input_sql(sample_dir)}\n) AS m"
+    from .registry import sql_by_position
+    return sql_by_position(f"SELECT requestid, itemid, [{cols}] AS features FROM (\n{model_input_sql(sample_dir)}\n) AS m",
+                           "features", "requestid", "itemid")

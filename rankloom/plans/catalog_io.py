@@ -17,7 +17,7 @@ from ..sources import logs as L
 from ..sources import sinks as S
 from ..streaming.scoring import score_files
 from .catalog_history import per_request
-from .registry import finish, register
+from .registry import by_position, finish, register
 
 PLACE_SCHEMA = T.StructType([T.StructField("placeid", T.LongType()), T.StructField("lat", T.DoubleType()),
                              T.StructField("lng", T.DoubleType()), T.StructField("popularity", T.LongType()),
@@ -101,7 +101,8 @@ def q_assemble(spark, sf):
     from .catalog_features import training
     df = training(spark, sf)
     df = E.assemble_input(E.model_input(df, E.column_stats(df, E.NUMERIC_FEATURES)))
-    return finish(df.select("requestid", "itemid", vector_to_array("features").alias("features")))
+    return by_position(df.select("requestid", "itemid", vector_to_array("features").alias("features")), "features",
+                       "requestid", "itemid")
 
 
 def _wide(spark, sf):

@@ -137,12 +137,15 @@ def training_table(raw: DataFrame, request_place: DataFrame, places: DataFrame,
     df = FE.request_ratios(df)
     df = E.quantile_buckets(df, "distance", "distance_buckets", buckets)
     vocab_by = "cityid" if same_city else None
-    req = df.select("requestid", "cityid", "clicked_itemid_list_10", "clicked_item_type_list_10").dropDuplicates(["requestid"])
-    k1 = H.keep_known(req, "clicked_itemid_list_10", df.select("itemid", "cityid"), "itemid", vocab_by)
-    k2 = H.keep_known(req, "clicked_item_type_list_10", df.select("item_type", "cityid"), "item_type", vocab_by)
-    known = k1.select("requestid", "clicked_itemid_list_10_known").join(
-        k2.select("requestid", "clicked_item_type_list_10_known"), "requestid")
-    df = df.join(known, "requestid", "left")
+    # a request's list is one and the same in all its rows; the city it is filtered by is the row's own
+    req = df.select("requestid", "cityid", "clicked_itemid_list_10", "clicked_item_type_list_10").dropDuplicates(
+        ["requestid", "cityid"])
+    known = H.keep_known(req, "clicked_itemid_list_10", df.select("itemid", "cityid"), "itemid", vocab_by)
+    known = H.keep_known(known, "clicked_item_type_list_10", df.select("item_type", "cityid"), "item_type", vocab_by)
+    known = known.select(F.col("requestid").alias("_rq"), F.col("cityid").alias("_by"), "clicked_itemid_list_10_known",
+                         "clicked_item_type_list_10_known")
+    df = df.join(known, (F.col("requestid") == F.col("_rq")) & F.col("cityid").eqNullSafe(F.col("_by")),
+                 "left").drop("_rq", "_by")
     df = H.positional_columns(df, "clicked_itemid_list_10_known", "clicked_itemid")
     df = H.positional_columns(df, "clicked_item_type_list_10_known", "clicked_item_type")
     df = df.fillna(0, subset=[f"clicked_itemid_{i}" for i in range(1, 11)]

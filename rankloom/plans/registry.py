@@ -13,31 +13,6 @@ ORACLES: dict[str, str] = {}
 # oracles whose text needs the sample tables to be generated (column lists read with DESCRIBE)
 LAZY_ORACLES: dict[str, Callable[[str], str]] = {}
 
-# Doubles are snapped to a binary grid before they are compared: 2^-20 (about
-# 1e-6) below 2^20, coarser in steps above (2^-10, 1, 2^10) so large values keep
-# about 40 significant bits. Multiplying by a power of two is exact, so
-# identical doubles stay identical in both engines, summation-order noise
-# almost never crosses a grid line, and decimal data values (x.xxx5) are never
-# exactly on a binary half-step, so rounding ties between engines do not occur.
-STEPS = [(2.0 ** 20, 2.0 ** 20), (2.0 ** 30, 2.0 ** 10), (2.0 ** 40, 1.0)]
-TOP_SCALE = 2.0 ** -10
-
-
-def sig(c):
-    """Snap a double column to the magnitude-dependent grid (same arithmetic in DuckDB)."""
-    x = c.cast("double")
-    e = None
-    for bound, scale in STEPS:
-        v = F.round(x * scale, 0) / scale
-        e = F.when(F.abs(x) < bound, v) if e is None else e.when(F.abs(x) < bound, v)
-    return e.otherwise(F.round(x * TOP_SCALE, 0) / TOP_SCALE)
-
-
-def duck_sig(x: str) -> str:
-    parts = " ".join(f"WHEN abs({x}) < {b!r} THEN round({x} * {sc!r}) / {sc!r}" for b, sc in STEPS)
-    return f"CASE {parts} ELSE round({x} * {TOP_SCALE!r}) / {TOP_SCALE!r} END"
-
-
 def register(name: str, oracle: str | None = None):
     """Register a Spark builder (spark, sf_dir) -> DataFrame under ``name``."""
     def deco(fn):
@@ -51,18 +26,16 @@ def register(name: str, oracle: str | None = None):
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Round doubles and widen integers so both engines hash the same values."""
+    """Widen integers, booleans and floats to the types the oracles return; no value changes."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = sig(c)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+        if isinstance(f.dataType, T.FloatType):
+            c = c.cast("double")
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
             c = c.cast("bigint")
-        elif isinstance(f.dataType, T.BooleanType):
-            c = c.cast("bigint")
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, lambda x: sig(x))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.FloatType):
+            c = c.cast("array<double>")
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType,
                                                                 (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("array<bigint>")
@@ -70,12 +43,24 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def by_position(df: DataFrame, vector: str, *keys: str) -> DataFrame:
+    """A computed vector as rows (keys, position from 1, value), so each value compares as a scalar."""
+    return df.select(*keys, F.posexplode(vector).alias("p", "value")).select(
+        *keys, (F.col("p") + 1).cast("bigint").alias("position"), F.col("value").cast("double").alias("value"))
+
+
+def sql_by_position(sql: str, vector: str, *keys: str) -> str:
+    """The same rows from an oracle that returns whole vectors."""
+    cols = "".join(k + ", " for k in keys)
+    return (f"SELECT {cols}CAST(generate_subscripts({vector}, 1) AS BIGINT) AS position, "
+            f"CAST(unnest({vector}) AS DOUBLE) AS value FROM (\n{sql}\n) AS _v")
+
+
 def normalise_oracle(sql: str, sample_dir: str) -> str:
     """Wrap an oracle text with the same normalisation ``finish`` applies.
 
     Column types are read with DESCRIBE against the small sample tables (types
-    do not depend on the data). Doubles / decimals are rounded, integers become
-    BIGINT, float lists are rounded element-wise.
+    do not depend on the data). Integers become BIGINT, floats and decimals DOUBLE.
     """
     con = _duck_con(sample_dir)
     desc = con.execute(f"DESCRIBE {sql}").fetchall()
@@ -85,12 +70,12 @@ def normalise_oracle(sql: str, sample_dir: str) -> str:
         t = typ.upper()
         if t.endswith("[]"):
             inner = t[:-2]
-            if inner in ("DOUBLE", "FLOAT", "REAL") or inner.startswith("DECIMAL"):
-                rep.append(f"list_transform({q}, lambda x: {duck_sig('CAST(x AS DOUBLE)')}) AS {q}")
+            if inner in ("FLOAT", "REAL") or inner.startswith("DECIMAL"):
+                rep.append(f"CAST({q} AS DOUBLE[]) AS {q}")
             elif inner in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT"):
                 rep.append(f"CAST({q} AS BIGINT[]) AS {q}")
-        elif t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
-            rep.append(f"{duck_sig(f'CAST({q} AS DOUBLE)')} AS {q}")
+        elif t in ("FLOAT", "REAL") or t.startswith("DECIMAL"):
+            rep.append(f"CAST({q} AS DOUBLE) AS {q}")
         elif t in ("INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER", "BOOLEAN"):
             rep.append(f"CAST({q} AS BIGINT) AS {q}")
     if not rep:

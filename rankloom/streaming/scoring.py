@@ -29,14 +29,16 @@ def score_and_rank(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], grou
 
 
 def score_files(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: StructType,
-                scorer: Callable[[DataFrame], DataFrame], files_per_batch: int = 1,
+                scorer: Callable[[DataFrame], DataFrame], files_per_batch: int | None = None,
                 available_now: bool = True, **rank_args):
-    """Run the stream; with ``available_now`` it processes what is there and stops."""
+    """Run the stream, with all waiting files in a batch unless ``files_per_batch`` limits them; with ``available_now`` it processes what is there and stops."""
     def batch(df: DataFrame, batch_id: int) -> None:
         score_and_rank(df, scorer, **rank_args).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
-    w = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(in_dir)
-         .writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
+    r = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        r = r.option("maxFilesPerTrigger", files_per_batch)
+    w = (r.parquet(in_dir).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     q = w.start()
     if available_now:

@@ -14,7 +14,7 @@ ORACLES = E.oracle_sql()
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else (0.0 if v == 0 else v)
+        return "nan" if math.isnan(v) else v if math.isinf(v) else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):
@@ -42,7 +42,12 @@ def test_matches_oracle(spark, small_dir, con, key):
     assert sorted(names) == cols
     order = [names.index(c) for c in cols]
     want = collections.Counter(tuple(norm(row[i]) for i in order) for row in rel.fetchall())
-    assert got == want
+    if got != want:  # nine digits may still round apart: pair the rows that are left over by their values
+        left, right = (sorted((x - y).elements(), key=str) for x, y in ((got, want), (want, got)))
+        assert len(left) == len(right)
+        for a, b in zip(left, right):
+            for x, y in zip(a, b):
+                assert x == y or (isinstance(x, float) and math.isclose(x, y, rel_tol=1e-8)), (a, b)
 
 
 def test_every_query_runs_rows_only(spark, small_dir):
