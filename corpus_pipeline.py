@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, minhash, mixing, pii, toxicity
-from rankloom.llm.common import materialise, share_code, table, word_count
+from rankloom.llm.common import materialise, prepare, table, word_count
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -27,22 +27,23 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    share_code(spark)
+    prepare(spark)
     return minhash.drop_near_duplicates(docs, 80)
 
 
 def redact_personal_data(spark, docs, sf_dir):
-    share_code(spark)
+    prepare(spark)
     return pii.redact_pii(docs, "text", "n_chars")
 
 
 def mix_sources(spark, docs, sf_dir):
+    prepare(spark)
     return mixing.mixed(docs, F.array("source"), word_count(F.col("text")))
 
 
 def encode(spark, docs, sf_dir):
     import public_tokenizers as known
-    share_code(spark)
+    prepare(spark)
     return bpe.round_trip(docs, known.path("byte_bpe_multi_50k.tiktoken"), known.PATTERN).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -22,7 +22,6 @@ each; no rows give no rows; only the id and text columns are read.
 from __future__ import annotations
 
 import base64
-import zlib
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import gather, slices, table
 
-MEMO = 250_000
+MEMO = 200_000
 MEMO_BYTES = 64
 _ENDLESS = 1 << 62
 
@@ -216,18 +215,6 @@ class Encoder:
         return list(chain.from_iterable([known(p) or piece(p) for p in self.split(text)]))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(raw: bytes, pattern: str) -> Encoder:
-    """The encoder of this worker process, built once for each vocabulary."""
-    key = (zlib.crc32(raw), len(raw), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(raw, pattern)
-    return _ENCODERS[key]
-
-
 def _ship(spark, path: str):
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -235,7 +222,7 @@ def _ship(spark, path: str):
 
 def _encoding(raw, pattern: str, id_col: str):
     def run(batches):
-        encode = encoder(raw.value, pattern)
+        encode = Encoder(raw.value, pattern)  # of this task alone, so an idle worker holds no memo
         for b in slices(batches, 128, text=1):
             rows = [encode(t) if t else [] for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(rows) + 1, dtype=np.int32)

@@ -18,18 +18,27 @@ SPACES = " \t\n\x0b\x0c\r"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 
 
-def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if they have it nowhere else."""
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What Python workers need of the session.
+
+    They import this package from where the driver has it, if they have it
+    nowhere else, and get Arrow batches of at most ``BATCH_BYTES``, which
+    bounds the memory of both sides when texts are long.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read by Spark (any path Spark can open)."""
-    share_code(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
