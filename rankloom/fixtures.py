@@ -13,6 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+def _logged(key: str) -> str:
+    """A log time (yyyymmddhh text) over 97 days, two of them before the pull
+    window of the checks and three behind it, so the window drops rows."""
+    return f"replace(CAST(DATE '2019-11-01' + CAST(({key}) % 97 - 2 AS INT) AS STRING), '-', '') || '00' AS inserted_at"
+
+
 VIEWS: dict[str, str] = {
     # request log: one row per search
     "search_request": """
@@ -34,7 +40,7 @@ SELECT CAST(l_orderkey AS STRING) AS requestid, l_partkey AS itemid,
        l_linenumber AS item_rank,
        p_size % 7 AS item_type, c_acctbal AS user_abp,
        CASE WHEN l_linestatus = 'F' THEN 'popularity' ELSE 'price' END AS sortby,
-       l_suppkey AS suppkey, l_quantity AS quantity
+       l_suppkey AS suppkey, l_quantity AS quantity, """ + _logged("l_orderkey + l_partkey") + """
   FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {orders} ON l_orderkey = o_orderkey
   JOIN {customer} ON o_custkey = c_custkey""",
     # clicks, bookings, impressions per candidate
@@ -43,7 +49,7 @@ SELECT l_partkey AS itemid,
        CASE WHEN l_suppkey % 50 = 0 THEN '-' ELSE CAST(l_orderkey AS STRING) END AS requestid,
        CASE WHEN l_returnflag = 'R' THEN l_orderkey * 100 + l_linenumber END AS bookingid,
        CASE l_returnflag WHEN 'R' THEN 'booking' WHEN 'A' THEN 'hotel_details_page' ELSE 'hotel_impression' END AS event,
-       'model' || CAST(l_suppkey % 5 AS STRING) AS dmodel
+       'model' || CAST(l_suppkey % 5 AS STRING) AS dmodel, """ + _logged("l_orderkey + l_suppkey") + """
   FROM {lineitem}""",
     # price, rating, distance, epoch-ms search time over 90 days
     "search_response": """
@@ -51,7 +57,8 @@ SELECT CAST(l_orderkey AS STRING) AS requestid, l_partkey AS itemid,
        CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE (l_suppkey % 97) / 10e0 END AS distance,
        CASE WHEN l_suppkey % 89 = 7 THEN NULL ELSE l_extendedprice * (1e0 - l_discount) END AS fprice,
        1e0 + (l_partkey % 41) / 10e0 AS rating, l_quantity AS rcount, l_partkey % 5 AS display_category,
-       1572566400123 + (l_orderkey % 90) * 86400000 + (l_orderkey % 24) * 3600000 AS searchtime
+       1572566400123 + (l_orderkey % 90) * 86400000 + (l_orderkey % 24) * 3600000 AS searchtime,
+       """ + _logged("l_orderkey + 2 * l_partkey") + """
   FROM {lineitem}""",
     # booking status
     "booking_base": """
@@ -66,7 +73,8 @@ SELECT CAST(l_orderkey AS STRING) AS requestid, l_partkey AS itemid,
        CAST(floor(l_quantity / 10e0) AS BIGINT) AS bookingcount,
        2 * CAST(l_quantity AS BIGINT) - 2 AS userimpressioncount,
        CAST(floor(l_quantity / 2e0) AS BIGINT) AS userdetailcount,
-       CAST(floor(l_quantity / 5e0) AS BIGINT) AS userbookingcount
+       CAST(floor(l_quantity / 5e0) AS BIGINT) AS userbookingcount,
+       """ + _logged("l_orderkey + 3 * l_partkey") + """
   FROM {lineitem}""",
     "request_place": """
 SELECT CAST(o_orderkey AS STRING) AS requestid, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 10 END AS placeid

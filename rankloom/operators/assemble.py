@@ -3,13 +3,14 @@
 All joins are equi-joins written without hints: AQE turns a join into a
 broadcast at run time only when the measured side is below
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (the size check), and keeps
-the sort-merge join, with skew splitting, otherwise. The request-keyed joins
-(J1-J4, J7) share the ``requestid`` clustering.
+the sort-merge join, with skew splitting, otherwise. The joined table moves
+twice behind the candidates: once to (request, item), where events, search
+attributes and user counters meet it, and once to the item of the totals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import logs
@@ -17,8 +18,10 @@ from ..sources import logs
 EVENT_KINDS = ("hotel_details_page", "booking", "hotel_impression")
 
 
-def event_counts(events: DataFrame, kinds=EVENT_KINDS) -> DataFrame:
-    """count(event) per (item, event) over the known kinds, placeholders dropped."""
+def event_counts(events: DataFrame, kinds=EVENT_KINDS, start: str | None = None,
+                 end: str | None = None) -> DataFrame:
+    """count(event) per (item, event) over the known kinds in [start, end), placeholders dropped."""
+    events = logs.in_window(events, "inserted_at", start, end)
     df = logs.drop_sentinel(events.where(F.col("event").isin(list(kinds))), ["requestid"])
     return df.groupBy("itemid", "event").agg(F.count("event").alias("eventCount"))
 
@@ -42,20 +45,28 @@ def with_realised_flag(df: DataFrame, realised: DataFrame) -> DataFrame:
     return df.join(flag, on="bookingid", how="left")
 
 
+def realised_flags(flags: DataFrame, realised: DataFrame) -> DataFrame:
+    """The realised flag on the event rows. Rows without a booking cannot match,
+    so they stay out of the join: a null key never gathers them in one task."""
+    booked = with_realised_flag(flags.where(F.col("bookingid").isNotNull()), realised)
+    other = flags.where(F.col("bookingid").isNull()).withColumn("realised_flag", F.lit(None).cast("int"))
+    return booked.unionByName(other)
+
+
 def assemble_impressions(requests: DataFrame, clicked: DataFrame, responses: DataFrame,
                          flags: DataFrame, search: DataFrame, realised: DataFrame,
                          item_totals: DataFrame, user_counts: DataFrame) -> DataFrame:
     """The fact table: clicked requests x shown candidates, with their events,
     search-time attributes, realised flag, item totals and user counters.
     Rows without both prices are dropped."""
+    candidate = ["requestid", "itemid"]
     df = requests.join(clicked, on="requestid", how="inner")                    # J1
     df = df.join(responses, on="requestid", how="inner")                        # J2
-    df = df.join(flags, on=["requestid", "itemid"], how="left")                 # J3
-    df = df.join(search, on=["requestid", "itemid"], how="left")                # J4
-    df = with_realised_flag(df, realised)                                       # J5
-    df = df.join(item_totals, on="itemid", how="left")                          # J6
-    df = df.join(user_counts, on=["requestid", "itemid"], how="left")           # J7
-    return df.where(F.col("fprice").isNotNull() & F.col("slasherprice").isNotNull())
+    df = df.join(realised_flags(flags, realised), on=candidate, how="left")     # J5 on the events, J3
+    df = df.join(search, on=candidate, how="left")                              # J4
+    df = df.join(user_counts, on=candidate, how="left")                         # J7
+    df = df.where(F.col("fprice").isNotNull() & F.col("slasherprice").isNotNull())
+    return df.join(item_totals, on="itemid", how="left")                        # J6
 
 
 def dedup_key(df: DataFrame, keys: list[str], order: list[str] | None = None,
@@ -97,9 +108,3 @@ def place_popularity(places: DataFrame) -> DataFrame:
     from ..functions.flags import place_score
     p = dedup_key(places.select("placeid", "conversion", "popularity"), ["placeid"])
     return p.withColumn("place_popularity_score", place_score("conversion", "popularity"))
-
-
-def row_number_dedup(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Window form of the dedup (for callers that need a mixed sort order)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

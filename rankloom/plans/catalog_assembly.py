@@ -9,32 +9,33 @@ from ..operators import assemble as A
 from ..sources import logs as L
 from .registry import finish, register
 
-# pull window of the checks: the whole fixture range (3 months) and all countries
+# pull window of the checks (3 months; every log but the requests has rows outside it) and all countries
 START, END = "2019110100", "2020020100"
 COUNTRIES = [0, 1, 2, 3, 4]
 BOOK_START, BOOK_END = "1998-01-01", "2001-01-01"
+WINDOW = f"inserted_at >= '{START}' AND inserted_at < '{END}'"
 
 SQL = {
     "requests": f"""SELECT DISTINCT requestid, userid, checkin, checkout, platform, placeid, cityid, countryid,
        nearbysearch, inserted_at FROM search_request
- WHERE inserted_at >= '{START}' AND inserted_at < '{END}' AND countryid IN ({', '.join(map(str, COUNTRIES))})
+ WHERE {WINDOW} AND countryid IN ({', '.join(map(str, COUNTRIES))})
    AND requestid IS NOT NULL AND userid IS NOT NULL""",
-    "responses": """SELECT DISTINCT requestid, itemid, slasherprice, item_rank AS rank, item_type, user_abp
-  FROM ranked_response WHERE sortby = 'popularity' AND requestid IS NOT NULL AND itemid IS NOT NULL""",
-    "clicked": """SELECT requestid, min(dmodel) AS dmodel FROM device_event
- WHERE event = 'hotel_details_page' GROUP BY requestid""",
-    "flags": """SELECT DISTINCT itemid, requestid, bookingid, event FROM device_event
- WHERE event IN ('booking', 'hotel_details_page') AND requestid <> '-'""",
-    "search": """SELECT DISTINCT requestid, itemid, distance, fprice, rating,
+    "responses": f"""SELECT DISTINCT requestid, itemid, slasherprice, item_rank AS rank, item_type, user_abp
+  FROM ranked_response WHERE {WINDOW} AND sortby = 'popularity' AND requestid IS NOT NULL AND itemid IS NOT NULL""",
+    "clicked": f"""SELECT requestid, min(dmodel) AS dmodel FROM device_event
+ WHERE {WINDOW} AND event = 'hotel_details_page' GROUP BY requestid""",
+    "flags": f"""SELECT DISTINCT itemid, requestid, bookingid, event FROM device_event
+ WHERE {WINDOW} AND event IN ('booking', 'hotel_details_page') AND requestid <> '-'""",
+    "search": f"""SELECT DISTINCT requestid, itemid, distance, fprice, rating,
        CASE WHEN distance IS NULL THEN 1 ELSE 0 END AS iscitysearch, CAST(rcount AS DOUBLE) AS rcount,
-       searchtime, display_category FROM search_response""",
+       searchtime, display_category FROM search_response WHERE {WINDOW}""",
     "realised": f"""SELECT bookingid FROM booking_base WHERE status IN (1, 2)
    AND created_at >= TIMESTAMP '{BOOK_START}' AND created_at < TIMESTAMP '{BOOK_END}'""",
-    "user_counts": """SELECT DISTINCT requestid, itemid, impressioncount, detailcount, bookingcount,
-       userimpressioncount, userdetailcount, userbookingcount FROM user_item_counts WHERE requestid <> '-'""",
+    "user_counts": f"""SELECT DISTINCT requestid, itemid, impressioncount, detailcount, bookingcount,
+       userimpressioncount, userdetailcount, userbookingcount FROM user_item_counts WHERE {WINDOW} AND requestid <> '-'""",
     "item_city": "SELECT DISTINCT itemid, cityid AS cityid_item FROM item_geo",
-    "event_counts": """SELECT itemid, event, COUNT(event) AS eventCount FROM device_event
- WHERE event IN ('hotel_details_page', 'booking', 'hotel_impression') AND requestid <> '-'
+    "event_counts": f"""SELECT itemid, event, COUNT(event) AS eventCount FROM device_event
+ WHERE {WINDOW} AND event IN ('hotel_details_page', 'booking', 'hotel_impression') AND requestid <> '-'
  GROUP BY itemid, event""",
 }
 SQL["item_totals"] = f"""SELECT itemid,
@@ -51,13 +52,13 @@ def sources(spark, sf):
     v = {n: view(spark, sf, n) for n in VIEWS}
     return {
         "requests": L.read_requests(v["search_request"], START, END, COUNTRIES),
-        "responses": L.read_responses(v["ranked_response"]),
-        "clicked": L.read_clicked(v["device_event"]),
-        "flags": L.read_event_flags(v["device_event"]),
-        "search": L.read_search_response(v["search_response"]),
+        "responses": L.read_responses(v["ranked_response"], start=START, end=END),
+        "clicked": L.read_clicked(v["device_event"], start=START, end=END),
+        "flags": L.read_event_flags(v["device_event"], start=START, end=END),
+        "search": L.read_search_response(v["search_response"], START, END),
         "realised": L.read_realised(v["booking_base"], BOOK_START, BOOK_END),
-        "user_counts": L.read_user_counts(v["user_item_counts"]),
-        "item_totals": A.item_event_totals(A.event_counts(v["device_event"])),
+        "user_counts": L.read_user_counts(v["user_item_counts"], START, END),
+        "item_totals": A.item_event_totals(A.event_counts(v["device_event"], start=START, end=END)),
     }
 
 
@@ -74,7 +75,7 @@ for key, name in [("src_requests", "requests"), ("src_responses", "responses"),
 register("src_item_city", duck_with(["item_geo"], SQL["item_city"]))(
     lambda spark, sf: finish(L.read_item_city(view(spark, sf, "item_geo"))))
 register("agg_event_counts", duck_with(VIEWS, SQL["event_counts"]))(
-    lambda spark, sf: finish(A.event_counts(view(spark, sf, "device_event"))))
+    lambda spark, sf: finish(A.event_counts(view(spark, sf, "device_event"), start=START, end=END)))
 register("agg_pivot_events", duck_with(VIEWS, SQL["item_totals"]))(_src("item_totals"))
 
 

@@ -194,7 +194,7 @@ def q_ded_full(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY requestid ORDER BY itemid NULLS FIRST, bookingid NULLS FIRST,
                                  event NULLS FIRST, dmodel NULLS FIRST) AS rn FROM device_event) WHERE rn = 1"""))
 def q_ded_key(spark, sf):
-    df = view(spark, sf, "device_event")
+    df = view(spark, sf, "device_event").drop("inserted_at")
     return finish(A.dedup_key(df, ["requestid"], ["itemid", "bookingid", "event", "dmodel"]))
 
 
@@ -332,8 +332,9 @@ def q_features_full(spark, sf):
 def training(spark, sf):
     from . import pipeline as P
     raw = CA.assembled(spark, sf)
+    # the assembled table joins distinct inputs and keeps all their columns: a set already
     return P.training_table(raw, view(spark, sf, "request_place"), view(spark, sf, "place"),
-                            view(spark, sf, "item_geo"))
+                            view(spark, sf, "item_geo"), dedup=False)
 
 
 @register("enc_model_input")

@@ -45,49 +45,64 @@ def known_users(df: DataFrame, col: str = "userid") -> DataFrame:
     return df.where(F.col(col).isNotNull() & ~F.col(col).isin("", " "))
 
 
+def distinct_by(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows, clustered by ``keys``: the rows are shuffled once, and a
+    later join on these keys finds them in place."""
+    return df.repartition(*keys).distinct()
+
+
 def read_requests(raw: DataFrame, start: str | None = None, end: str | None = None,
-                  countries: list | None = None) -> DataFrame:
-    """Search requests in [start, end) of ``inserted_at`` for the given countries."""
-    df = raw.select("requestid", "userid", "checkin", "checkout", "platform", "placeid",
-                    "cityid", "countryid", "nearbysearch", "inserted_at")
-    df = in_window(df, "inserted_at", start, end)
+                  countries: list | None = None, extra: tuple = ()) -> DataFrame:
+    """Search requests in [start, end) of ``inserted_at`` for the given countries.
+
+    ``extra`` names further columns to carry; like every column of a reader,
+    they take part in the distinct.
+    """
+    df = in_window(raw, "inserted_at", start, end).select(
+        "requestid", "userid", "checkin", "checkout", "platform", "placeid",
+        "cityid", "countryid", "nearbysearch", "inserted_at", *extra)
     if countries is not None:
         df = df.where(F.col("countryid").isin(list(countries)))
-    return df.dropna(subset=["requestid", "userid"]).distinct()
+    return distinct_by(df.dropna(subset=["requestid", "userid"]), ["requestid"])
 
 
-def read_responses(raw: DataFrame, sort_mode: str = "popularity") -> DataFrame:
-    """Candidates of requests ranked by the algorithm (``sortby`` = popularity)."""
-    df = raw.where(F.col("sortby") == sort_mode).select(
+def read_responses(raw: DataFrame, sort_mode: str = "popularity", start: str | None = None,
+                   end: str | None = None, extra: tuple = ()) -> DataFrame:
+    """Candidates logged in [start, end) of requests ranked by the algorithm (``sortby`` = popularity)."""
+    df = in_window(raw, "inserted_at", start, end).where(F.col("sortby") == sort_mode).select(
         "requestid", "itemid", "slasherprice", F.col("item_rank").alias("rank"),
-        "item_type", "user_abp")
-    return df.dropna(subset=["requestid", "itemid"]).distinct()
+        "item_type", "user_abp", *extra)
+    return distinct_by(df.dropna(subset=["requestid", "itemid"]), ["requestid"])
 
 
-def read_clicked(events: DataFrame, event: str = "hotel_details_page") -> DataFrame:
-    """Requests with at least one details-page event, one device model each.
+def read_clicked(events: DataFrame, event: str = "hotel_details_page", start: str | None = None,
+                 end: str | None = None) -> DataFrame:
+    """Requests with at least one details-page event in [start, end), one device model each.
 
     The survivor among several models is the smallest name (deterministic);
     a plain aggregate, so duplicates collapse map-side before the shuffle.
     """
-    return (events.where(F.col("event") == event)
-                  .groupBy("requestid").agg(F.min("dmodel").alias("dmodel")))
+    return (in_window(events, "inserted_at", start, end).where(F.col("event") == event)
+            .groupBy("requestid").agg(F.min("dmodel").alias("dmodel")))
 
 
-def read_event_flags(events: DataFrame, kinds=("booking", "hotel_details_page")) -> DataFrame:
-    """Distinct (item, request, booking, event) for clicks and bookings."""
-    df = events.where(F.col("event").isin(list(kinds)))
+def read_event_flags(events: DataFrame, kinds=("booking", "hotel_details_page"), start: str | None = None,
+                     end: str | None = None) -> DataFrame:
+    """Distinct (item, request, booking, event) for clicks and bookings in [start, end)."""
+    df = in_window(events, "inserted_at", start, end).where(F.col("event").isin(list(kinds)))
     df = drop_sentinel(df, ["requestid"])
-    return df.select("itemid", "requestid", "bookingid", "event").distinct()
+    return distinct_by(df.select("itemid", "requestid", "bookingid", "event"), ["requestid", "itemid"])
 
 
-def read_search_response(raw: DataFrame) -> DataFrame:
-    """Price, rating, distance, city-search flag and search time per candidate."""
-    return raw.select(
+def read_search_response(raw: DataFrame, start: str | None = None, end: str | None = None,
+                         extra: tuple = ()) -> DataFrame:
+    """Price, rating, distance, city-search flag and search time per candidate shown in [start, end)."""
+    df = in_window(raw, "inserted_at", start, end).select(
         "requestid", "itemid", "distance", "fprice", "rating",
         F.when(F.col("distance").isNull(), 1).otherwise(0).alias("iscitysearch"),
         F.col("rcount").cast("double").alias("rcount"),
-        "searchtime", "display_category").distinct()
+        "searchtime", "display_category", *extra)
+    return distinct_by(df, ["requestid", "itemid"])
 
 
 def read_realised(bookings: DataFrame, start_date: str | None = None,
@@ -103,11 +118,12 @@ def read_realised(bookings: DataFrame, start_date: str | None = None,
     return df.select("bookingid")
 
 
-def read_user_counts(raw: DataFrame) -> DataFrame:
-    """User x item counters; placeholder ids dropped."""
-    df = drop_sentinel(raw, ["itemid", "requestid"])
-    return df.select("requestid", "itemid", "impressioncount", "detailcount", "bookingcount",
-                     "userimpressioncount", "userdetailcount", "userbookingcount").distinct()
+def read_user_counts(raw: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """User x item counters logged in [start, end); placeholder ids dropped."""
+    df = drop_sentinel(in_window(raw, "inserted_at", start, end), ["itemid", "requestid"])
+    return distinct_by(df.select("requestid", "itemid", "impressioncount", "detailcount", "bookingcount",
+                                 "userimpressioncount", "userdetailcount", "userbookingcount"),
+                       ["requestid", "itemid"])
 
 
 def read_item_city(items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as E
 from rankloom.fixtures import view
 from rankloom.plans import catalog_assembly as CA
+from rankloom.operators import assemble as A
 from rankloom.sources import logs as L
 
 PLAN_KEYS = ["assemble_impressions", "win_rates_item", "win_history_per_request", "top_place_per_item",
@@ -34,6 +35,55 @@ def test_request_filter_pushed_to_scan(spark, small_dir, tmp_path):
     assert "In(countryid" in pushed
 
 
+@pytest.mark.parametrize("name,read", [
+    ("ranked_response", L.read_responses), ("device_event", L.read_clicked), ("device_event", L.read_event_flags),
+    ("device_event", A.event_counts), ("search_response", L.read_search_response), ("user_item_counts", L.read_user_counts)])
+def test_window_pushed_to_each_log(spark, small_dir, tmp_path, name, read):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    d = str(tmp_path / name)
+    view(spark, small_dir, name).write.parquet(d)
+    raw = spark.read.parquet(d)
+    df = read(raw, start=CA.START, end=CA.END)
+    p = plan(df)
+    pushed = p[p.index("PushedFilters"):]
+    assert f"GreaterThanOrEqual(inserted_at,{CA.START})" in pushed and f"LessThan(inserted_at,{CA.END})" in pushed
+    assert raw.where(f"inserted_at < '{CA.START}'").count() and raw.where(f"inserted_at >= '{CA.END}'").count()
+
+
+def test_assembly_moves_the_joined_table_twice(spark, small_dir):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(CA.assembled(spark, small_dir)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # joins from the top: totals, counters, search, events, candidates. The joined table is the
+    # left child, whose lines directly below a join show whether it moves before it
+    joins = [i for i, x in enumerate(lines) if "SortMergeJoin" in x]
+
+    def moves(i):  # whether the left child of a join is reached through an exchange
+        depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+        for x in lines[i + 1:]:
+            d = len(x) - len(x.lstrip(" :+-"))
+            if d <= depth or "SortMergeJoin" in x:
+                return False
+            if "Exchange" in x:
+                return True
+            depth = d
+        return False
+
+    assert sum(moves(i) for i in joins[:4]) == 2 and moves(joins[0]) and not moves(joins[1]) and not moves(joins[2])
+
+
+def test_training_table_releases_its_intermediates(spark, small_dir):
+    from rankloom.plans.catalog_features import training
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    training(spark, small_dir).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
 def test_no_cartesian_in_assembly_and_geo(spark, small_dir):
     for key in ("assemble_impressions", "top_place_per_item", "join_geo_radius"):
         assert "CartesianProduct" not in plan(E.queries()[key](spark, small_dir))
