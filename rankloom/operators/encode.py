@@ -51,12 +51,21 @@ def column_stddevs(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*[F.stddev_samp(c).alias(c) for c in cols])
 
 
+NEAR_MEAN = 1e-12  # relative
+
+
 def zscore(df: DataFrame, stats: DataFrame, cols: list[str], fill: float | None = 0.0) -> DataFrame:
     """(x - mean) / stddev with saved statistics; nulls (and a zero stddev)
-    become ``fill`` (0 = the mean)."""
+    become ``fill`` (0 = the mean). A value within ``NEAR_MEAN`` of the mean is the
+    mean: the difference left there is the rounding of the sum, which depends
+    on the order of rows."""
     out = df.crossJoin(F.broadcast(stats.select(*[F.col(f"{c}__mean") for c in cols],
                                                 *[F.col(f"{c}__std") for c in cols])))
-    z = {c: F.try_divide(F.col(c).cast("double") - F.col(f"{c}__mean"), F.col(f"{c}__std")) for c in cols}
+    z = {}
+    for c in cols:
+        mean = F.col(f"{c}__mean")
+        away = F.col(c).cast("double") - mean
+        z[c] = F.try_divide(F.when(F.abs(away) <= NEAR_MEAN * F.abs(mean), 0.0).otherwise(away), F.col(f"{c}__std"))
     if fill is not None:
         z = {c: F.coalesce(e, F.lit(fill)) for c, e in z.items()}
     return out.withColumns(z).drop(*[f"{c}__mean" for c in cols], *[f"{c}__std" for c in cols])
@@ -71,15 +80,15 @@ def dense_index(values: DataFrame, col: str, name: str = "index", start: int = 1
     each range counts its rows (one row per partition), the counts become
     offsets (a table of partition-count rows, broadcast), and a value's number
     is its range's offset plus its position in the range. The ranged table is
-    persisted so the count and the numbering see the same partitions.
+    written, so the count and the numbering see the same ranges.
     """
-    from pyspark import StorageLevel
+    from ..session import materialize
     d = values.select(col).where(F.col(col).isNotNull()).distinct()
     n = partitions or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (d.repartitionByRange(n, col).sortWithinPartitions(col)
                .select(col, F.spark_partition_id().alias("_pid"),
-                       F.monotonically_increasing_id().alias("_mid"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
+                       F.monotonically_increasing_id().alias("_mid")))
+    ranged = materialize(ranged, "vocabulary")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)

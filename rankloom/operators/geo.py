@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
+from ..session import hold
 from .assemble import dedup_key
 
 OFFSETS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
@@ -92,8 +92,8 @@ def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
     # persisted (memory and disk; rebuilt from lineage if an executor goes) so
     # the next level does not recompute it, and the loop stops as soon as no
     # item is open: at most log_growth(2 / h0) levels, one small action each.
-    best = best.persist(StorageLevel.MEMORY_AND_DISK)
-    pending = items.join(best.select("itemid"), "itemid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+    best = hold(best)
+    pending = hold(items.join(best.select("itemid"), "itemid", "left_anti"))
     found = [best]
     h = h0
     while not pending.isEmpty():
@@ -103,11 +103,11 @@ def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
         nearest = cand.groupBy("itemid").agg(
             F.min_by(F.struct("dist", "_chord"), F.struct("dist", "placeid")).alias("_b"))
         ok = nearest if top else nearest.where(F.col("_b._chord") <= h)
-        ok = ok.select("itemid", F.col("_b.dist").alias("distance_backfill")).persist(StorageLevel.MEMORY_AND_DISK)
+        ok = hold(ok.select("itemid", F.col("_b.dist").alias("distance_backfill")))
         found.append(ok)
         if top:
             break
-        pending = pending.join(ok.select("itemid"), "itemid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        pending = hold(pending.join(ok.select("itemid"), "itemid", "left_anti"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -93,13 +93,10 @@ def positional_columns(df: DataFrame, arr: str, name: str, n: int = 10) -> DataF
     return df.withColumns({f"{name}_{i + 1}": F.get(F.col(arr), i) for i in range(n)})
 
 
-def list_features(df: DataFrame, item: str = "itemid", item_type: str = "item_type") -> DataFrame:
-    """History shares of the candidate's id / type; mean and spread of the
-    history's price, distance and rating."""
-    cols = {
-        "item_clicked_rate": list_share("clicked_itemid_list_10", item),
-        "cat_clicked_rate": list_share("clicked_item_type_list_10", item_type),
-    }
+def list_spreads(df: DataFrame) -> DataFrame:
+    """Mean and spread of the history's price, distance and rating. They depend on
+    the request alone, so a table of one row per request can carry them."""
+    cols = {}
     for f in ("fprice", "distance", "rating"):
         cols[f"clicked_{f}_list_10_std"] = list_std(f"clicked_{f}_list_10")
         cols[f"_mean_{f}"] = list_mean(f"clicked_{f}_list_10")
@@ -110,6 +107,17 @@ def list_features(df: DataFrame, item: str = "itemid", item_type: str = "item_ty
     return df
 
 
+def list_shares(df: DataFrame, item: str = "itemid", item_type: str = "item_type") -> DataFrame:
+    """History shares of the candidate's id and type."""
+    return df.withColumns({"item_clicked_rate": list_share("clicked_itemid_list_10", item),
+                           "cat_clicked_rate": list_share("clicked_item_type_list_10", item_type)})
+
+
+def list_features(df: DataFrame, item: str = "itemid", item_type: str = "item_type") -> DataFrame:
+    """``list_shares`` and ``list_spreads`` of rows that carry the whole lists."""
+    return list_spreads(list_shares(df, item, item_type))
+
+
 def single_booking_requests(df: DataFrame, request: str = "requestid", booking: str = "bookingid") -> DataFrame:
     """Requests with fewer than two distinct bookings."""
     return (df.groupBy(request).agg(F.countDistinct(booking).alias("booking_flag_count"))

@@ -22,6 +22,12 @@ L2 = 0.01
 DEEP_LAYERS = [64, 32, 16, 8]
 
 
+def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+    """Rows in a seeded random order that does not depend on how they arrive:
+    sorted by a hash of the ``keys``, then by the keys (a range sort, no single task)."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+
+
 def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
     """Numeric columns in sorted name order, nulls must be filled before."""
     return VectorAssembler(inputCols=sorted(cols), outputCol=out, handleInvalid="keep")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -29,8 +30,8 @@ def rank_within(df: DataFrame, group: str, order: list, name: str, skew_safe: bo
     keys = [F.col(group).asc_nulls_first(), *[_col(o) for o in order]]
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-                .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+                .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    ranged = materialize(ranged, "ranged")  # both branches must see the same ranges
     parts = ranged.groupBy("_pid", group).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     parts = parts.withColumn("_off", F.sum("_n").over(Window.partitionBy(group).orderBy("_pid")) - F.col("_n"))
     # a null group is a group like any other

@@ -16,11 +16,11 @@ key x date grid and no Python.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import safe_ratio
+from ..session import hold
 
 RATES = ("ctr", "br", "dtob")
 
@@ -106,7 +106,7 @@ def rolling_lower_bound(df: DataFrame, keys: list[str], order: str, values: list
 
 def weighted_rates(df: DataFrame, keys: list[str], day: str = "searchdate",
                    clicked: Column | None = None, booked: Column | None = None,
-                   shown: str = "fprice", prefix: str = "hotel", days: int = 7,
+                   shown: str = "fprice", prefix: str = "item", days: int = 7,
                    z: float = 1.282, lag_days: int = 0) -> DataFrame:
     """Rolling weighted lower bound of ctr, br and dtob for one key set.
 
@@ -115,9 +115,21 @@ def weighted_rates(df: DataFrame, keys: list[str], day: str = "searchdate",
     are left out: a null key never matches when the rates are joined back.
     ``lag_days=1`` excludes the current day (no label leak).
     """
-    # the daily aggregate feeds both the date numbering and the window: keep it
-    # (memory, spilling to disk) so the events are scanned and aggregated once
-    counts = daily_counts(df, keys, day, clicked, booked, shown).persist(StorageLevel.MEMORY_AND_DISK)
+    # the daily aggregate feeds both the date numbering and the window: hold it
+    # so the events are scanned and aggregated once
+    counts = hold(daily_counts(df, keys, day, clicked, booked, shown))
+    return rates_of_counts(counts, keys, day, prefix, days, z, lag_days)
+
+
+def roll_up(counts: DataFrame, keys: list[str], day: str = "searchdate") -> DataFrame:
+    """Daily counts of fewer keys, summed from those of more keys."""
+    return counts.groupBy(day, *keys).agg(*[F.sum(c).cast("bigint").alias(c) for c in (
+        "booking_count", "details_count", "impression_count")])
+
+
+def rates_of_counts(counts: DataFrame, keys: list[str], day: str = "searchdate", prefix: str = "item",
+                    days: int = 7, z: float = 1.282, lag_days: int = 0) -> DataFrame:
+    """The rates of ``weighted_rates`` from daily counts (read twice, so hold them)."""
     idx = date_index(counts, day)
     rates = daily_rates(counts, keys, day)
     for k in keys:

@@ -52,7 +52,9 @@ def q_lookup(spark, sf):
 
 
 @register("enc_zscore", duck_with(["timed_event"], "SELECT event_id, " + ", ".join(
-    f"COALESCE(CASE WHEN stddev_samp({c}) OVER () = 0 THEN NULL ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 0) AS {c}"
+    f"COALESCE(CASE WHEN stddev_samp({c}) OVER () = 0 THEN NULL "
+    f"WHEN abs({c} - avg({c}) OVER ()) <= {E.NEAR_MEAN} * abs(avg({c}) OVER ()) THEN 0 "
+    f"ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 0) AS {c}"
     for c in Z_COLS) + " FROM timed_event"))
 def q_zscore(spark, sf):
     t = te(spark, sf)

@@ -122,8 +122,9 @@ SELECT b10.* EXCLUDE (clicked_itemid_list_10, clicked_item_type_list_10), {pos_i
 
 def model_input_sql(sample_dir: str) -> str:
     """z-scores of the 36 numerics over the training table, flags, one-hots."""
-    from ..operators.encode import FLAG_FEATURES, NUMERIC_FEATURES, PLATFORMS
+    from ..operators.encode import FLAG_FEATURES, NEAR_MEAN, NUMERIC_FEATURES, PLATFORMS
     z = ", ".join(f"COALESCE(CASE WHEN stddev_samp({c}) OVER () = 0 THEN NULL "
+                  f"WHEN abs({c} - avg({c}) OVER ()) <= {NEAR_MEAN} * abs(avg({c}) OVER ()) THEN 0 "
                   f"ELSE ({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () END, 0) AS {c}"
                   for c in NUMERIC_FEATURES)
     flags = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in FLAG_FEATURES)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixtures import duck_with, view
+from ..operators import assemble as A
 from ..operators import encode as E
 from ..operators import history as H
 from ..operators import model as M
@@ -50,6 +51,38 @@ def q_csv_roundtrip(spark, sf):
     return finish(L.read_csv(spark, d, PLACE_SCHEMA))
 
 
+@register("src_csv_names", duck_with(["place"], "SELECT * FROM place"))
+def q_csv_names(spark, sf):
+    """A file without a header line takes its names from the schema."""
+    d = scratch_path(spark, "src_csv_names")
+    S.write_csv(view(spark, sf, "place"), d, header=False)
+    return finish(L.read_csv(spark, d, PLACE_SCHEMA, header=False))
+
+
+@register("snk_vocab", duck_with(["timed_event"], """SELECT itemid, row_number() OVER (ORDER BY itemid) AS index
+  FROM (SELECT DISTINCT itemid FROM timed_event WHERE itemid IS NOT NULL)"""))
+def q_snk_vocab(spark, sf):
+    """A vocabulary saved for scoring jobs and read back."""
+    d = scratch_path(spark, "snk_vocab")
+    S.save_vocabulary(E.vocabulary(view(spark, sf, "timed_event"), "itemid"), d)
+    return finish(L.read_parquet(spark, d))
+
+
+@register("ded_first", duck_with(["timed_event"], """SELECT itemid, event_id, cityid, fprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY itemid ORDER BY event_id) AS rn FROM timed_event) WHERE rn = 1"""))
+def q_ded_first(spark, sf):
+    """The first row of each item by an explicit input order."""
+    df = view(spark, sf, "timed_event").select("itemid", "event_id", "cityid", "fprice")
+    return finish(A.dedup_first_by_order(df, ["itemid"], "event_id"))
+
+
+@register("smp_shuffle", duck_with(["timed_event"], "SELECT event_id, requestid, itemid, fprice FROM timed_event"))
+def q_shuffle(spark, sf):
+    """Seeded order before a learner: the same rows (pytest checks the order)."""
+    df = view(spark, sf, "timed_event").select("event_id", "requestid", "itemid", "fprice")
+    return finish(M.shuffled(df, ["event_id"]))
+
+
 # ---- streaming: score newly arrived files, rank per request -------------------
 
 STREAM_SCORE = "2 * rating - COALESCE(distance, 0) / 10"

@@ -1,8 +1,9 @@
 """The end-to-end feature plan: raw fact table -> training table.
 
-One lazy DataFrame plan; Catalyst sees it whole. Optional cut points write a
-table into the cluster's checkpoint folder (``checkpoint=True``), which is
-how a long lineage survives lost executors.
+``training_table`` runs jobs while it is built: it writes the pulled table and
+the feature stage into the cluster's checkpoint folder (``cut_lineage``), which
+is how a long lineage survives lost executors, and settles the distance levels
+one after another.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..operators import features as FE
 from ..operators import geo as G
 from ..operators import history as H
 from ..operators import rates as R
+from ..session import hold, materialize, releasing
 from ..sources import logs as L
 
 HISTORY_FIELDS = ("itemid", "item_type", "fprice", "distance", "rating")
@@ -52,8 +54,10 @@ def prepare(raw: DataFrame, request_place: DataFrame, places: DataFrame, start=N
 def with_rates(df: DataFrame, all_data: DataFrame, lag_days: int = 0) -> DataFrame:
     """Join the three rolling-rate tables and apply the city-search fallback."""
     df = df.drop("item_ctr", "item_br", "item_dtob")
+    counts = {p: hold(R.daily_counts(all_data, RATE_KEYS[p])) for p in ("item_place", "user_cat")}
+    counts["item"] = R.roll_up(counts["item_place"], RATE_KEYS["item"])
     for prefix, keys in RATE_KEYS.items():
-        r = R.weighted_rates(all_data, keys, prefix=prefix, lag_days=lag_days)
+        r = R.rates_of_counts(counts[prefix], keys, prefix=prefix, lag_days=lag_days)
         df = df.join(r, on=[*keys, "searchdate"], how="left")
     city_no_place = (F.col("iscitysearch") == 1) & F.col("placeid").isNull()
     df = df.withColumns({f"item_place_{r}": fallback(city_no_place, f"item_{r}", f"item_place_{r}")
@@ -70,14 +74,16 @@ def base_table(prepared: DataFrame, lag_days: int = 0, adv_fixed: bool = False)
 
 
 def geo_table(df: DataFrame, items: DataFrame, places: DataFrame, radius_km: float = 5.0) -> DataFrame:
-    """Distance backfill for city searches, then same-city candidates only."""
-    df = G.backfill_distance(df, G.place_distance(items, places, radius_km))
+    """Distance backfill for city searches, then same-city candidates only. An item
+    listed at several points takes its first by latitude, then longitude."""
+    points = A.dedup_key(items.select("itemid", "lat", "lng"), ["itemid"])
+    df = G.backfill_distance(df, G.place_distance(points, places, radius_km))
     return G.same_city(df, L.read_item_city(items))
 
 
-def request_histories(raw: DataFrame, frame: int = 20, n: int = 10) -> DataFrame:
+def request_histories(raw: DataFrame, frame: int = 20, n: int = 10, dedup: bool = True) -> DataFrame:
     """History per request from the whole pull (no start date)."""
-    src = clean_log(raw, None)
+    src = clean_log(raw, None, dedup)
     src = H.keep_single_booking(src)
     clicks = src.where(F.col("event").isNotNull())
     h = H.click_history(clicks, "userid", CLICK_ORDER, "requestid", HISTORY_FIELDS, frame, n)
@@ -85,55 +91,58 @@ def request_histories(raw: DataFrame, frame: int = 20, n: int = 10) -> DataFrame
 
 
 def with_history(df: DataFrame, hist: DataFrame) -> DataFrame:
-    """Inner join of the request histories, one row per (item, request),
-    list shares / means / spreads, positional history columns."""
-    df = df.join(hist, on="requestid", how="inner")
+    """One row per (item, request), inner join of the request histories, list
+    shares / means / spreads, positional history columns."""
     # survivor per (item, request): most informative target, then the other
-    # columns in name order (a total, documented order)
-    rest = sorted(c for c in df.columns if c not in ("itemid", "requestid", "history"))
+    # columns in name order (a total, documented order); the history is the
+    # request's, so it joins the survivors only
+    rest = sorted(c for c in df.columns if c not in ("itemid", "requestid"))
     df = A.dedup_key(df.withColumn("_t", target_order()), ["itemid", "requestid"], ["_t", *rest]).drop("_t")
-    df = H.history_columns(df, "history", HISTORY_FIELDS)
-    df = H.list_features(df)
-    return df
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the cluster's checkpoint folder and read back: the stage
-    boundary the pull job has anyway, and a lineage cut (a lost executor
-    re-reads the files instead of re-running the pull)."""
-    from ..session import scratch_path
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    hist = H.list_spreads(H.history_columns(hist, "history", HISTORY_FIELDS))
+    return H.list_shares(df.join(hist, on="requestid", how="inner"))
 
 
 def training_table(raw: DataFrame, request_place: DataFrame, places: DataFrame, items: DataFrame,
                    start=None, radius_km: float = 5.0, buckets: int = 10, same_city: bool = True,
-                   cut_lineage: bool = True, lag_days: int = 0, adv_fixed: bool = False) -> DataFrame:
+                   cut_lineage: bool = True, lag_days: int = 0, adv_fixed: bool = False,
+                   dedup: bool = True) -> DataFrame:
     """Everything up to the model input: features, geo, history, ratios,
     distance buckets and the known-id filter of the history columns.
 
     ``raw`` is read by the base features and by the history (which uses the
     whole pull), so it is written once (``cut_lineage``); the prepared table
-    feeds the projection, the mean fill, the semi join and three rate tables,
-    so it is persisted (memory, spilling to disk). ``lag_days=1`` keeps the
-    current day out of the rolling rates; ``adv_fixed`` counts the booking
-    window as check-in minus search date.
+    feeds the projection, the mean fill, the semi join and two daily counts,
+    so it is persisted (memory, spilling to disk) and released once the feature
+    stage is written; without ``cut_lineage`` it stays until the caller leaves a
+    ``releasing`` block. ``lag_days=1`` keeps the current day out of the rolling
+    rates; ``adv_fixed`` counts the booking window as check-in minus search
+    date; ``dedup=False`` says that ``raw`` has no repeated rows.
     """
-    from pyspark import StorageLevel
-
-    from ..operators import encode as E
-    if cut_lineage:
-        raw = materialize(raw, "raw_pull")
-    prepared = prepare(raw, request_place, places, start).persist(StorageLevel.MEMORY_AND_DISK)
-    df = base_table(prepared, lag_days, adv_fixed)
-    df = geo_table(df, items, places, radius_km)
-    df = with_history(df, request_histories(raw))
-    if cut_lineage:
+    if dedup:
+        raw = raw.distinct()
+    if not cut_lineage:
+        return _model_features(_feature_stage(raw, request_place, places, items, start, radius_km, lag_days, adv_fixed),
+                               buckets, same_city)
+    raw = materialize(raw, "raw_pull")
+    with releasing():
         # the request means, the quantile splits and the known-id vocabulary are
         # further passes over this table: read it from files instead of
         # re-running the plan for each
-        df = materialize(df, "features_stage")
+        df = materialize(_feature_stage(raw, request_place, places, items, start, radius_km, lag_days, adv_fixed),
+                         "features_stage")
+    return _model_features(df, buckets, same_city)
+
+
+def _feature_stage(raw, request_place, places, items, start, radius_km, lag_days, adv_fixed) -> DataFrame:
+    """Base features, rates, geo and history of a pull without repeated rows."""
+    prepared = hold(prepare(raw, request_place, places, start, dedup=False))
+    df = geo_table(base_table(prepared, lag_days, adv_fixed), items, places, radius_km)
+    return with_history(df, request_histories(raw, dedup=False))
+
+
+def _model_features(df: DataFrame, buckets: int, same_city: bool) -> DataFrame:
+    """Request ratios, distance buckets and the known-id filter of the history columns."""
+    from ..operators import encode as E
     df = FE.request_ratios(df)
     df = E.quantile_buckets(df, "distance", "distance_buckets", buckets)
     vocab_by = "cityid" if same_city else None

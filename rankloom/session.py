@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of the library expects. ANSI stays on (Spark 4 default):
 # operators use try_divide / F.get / try_cast where the reference relied on
@@ -80,3 +82,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write to the cluster's checkpoint folder and read back: a stage boundary
+    and a lineage cut (a lost executor re-reads the files, and every branch
+    over the result sees the same rows in the same partitions' numbering)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Persist an intermediate (memory, spilling to disk) until ``releasing`` ends."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(df)
+    return df
+
+
+@contextmanager
+def releasing():
+    """Unpersist what was held inside; for blocks that end in a written table."""
+    mark = len(_HELD)
+    try:
+        yield
+    finally:
+        for df in _HELD[mark:]:
+            df.unpersist()
+        del _HELD[mark:]

@@ -49,11 +49,6 @@ def test_stream_equals_batch(spark, small_dir, tmp_path):
     assert sorted(map(repr, streamed.select(cols).collect())) == sorted(map(repr, batch.select(cols).collect()))
 
 
-def test_shuffle_rows_before_learner(spark, small_dir):
-    df = view(spark, small_dir, "timed_event")
-    assert df.orderBy(F.rand(42)).count() == df.count()
-
-
 def test_stream_rerun_is_idempotent(spark, small_dir, tmp_path):
     src = view(spark, small_dir, "timed_event").select("event_id", "requestid", "itemid", "rating", "distance")
     src.repartition(2, "requestid").write.parquet(str(tmp_path / "in"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rankloom import session
 from rankloom.functions.lists import list_share
-from rankloom.operators import encode, geo, history, rank
+from rankloom.operators import assemble, encode, geo, history, model, rank
 
 
 def test_skew_safe_rank_keeps_null_groups(spark):
@@ -46,6 +46,31 @@ def test_pool_adds_padding_without_joining_it(spark):
     assert means == [5 / 3, 3.0]
 
 
+def test_ranges_do_not_rest_on_a_cache(spark):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 3 AS STRING) AS g")
+    ranked = rank.rank_within(df, "g", ["id"], "n", skew_safe=True, partitions=5)
+    vocab = encode.dense_index(df, "id", partitions=7)
+    spark.catalog.clearCache()
+    assert all(r.n == r.id // 3 + 1 for r in ranked.collect())
+    assert all(r["index"] == r.id + 1 for r in vocab.collect())
+
+
+def test_shuffle_is_seeded_and_whatever_the_arrival(spark):
+    df = spark.range(500)
+    a = [r.id for r in model.shuffled(df, ["id"]).collect()]
+    b = [r.id for r in model.shuffled(df.orderBy(F.desc("id")).repartition(7), ["id"]).collect()]
+    c = [r.id for r in model.shuffled(df, ["id"], seed=1).collect()]
+    assert a == b and sorted(a) == list(range(500)) and a != c and a != sorted(a)
+
+
+def test_realised_flag_keeps_events_without_a_booking(spark):
+    flags = spark.createDataFrame([(1, "a", 10, "booking"), (1, "a", None, "hotel_details_page"), (2, "b", 11, "booking")],
+                                  "itemid long, requestid string, bookingid long, event string")
+    realised = spark.createDataFrame([(10,), (10,), (None,)], "bookingid long")
+    got = sorted((r.itemid, r.event, r.realised_flag) for r in assemble.realised_flags(flags, realised).collect())
+    assert got == [(1, "booking", 1), (1, "hotel_details_page", None), (2, "booking", None)]
+
+
 def test_a_cluster_needs_a_shared_checkpoint_folder():
     class Conf:
         def get(self, key, default=None):
