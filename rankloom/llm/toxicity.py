@@ -2,50 +2,48 @@
 
 Fit. At most ``EXAMPLES`` labelled rows of each class are drawn by a seeded
 hash (a documented bound; labels come only from rows whose crc32 of the id as
-text mod 3 is not 1). Terms are kept when they mark one class beyond chance
-and by a clear factor, tested with class weights that restore the real label
-shares. Inverse document frequencies count all documents.
-
-Score. A text's TF-IDF vector over those terms is compared with the examples
-by exact cosine, found through an inverted index whose posting lists hold the
-maximum weight of each block of examples: blocks are visited by their upper
-bound until none can reach the k best (ties at the last place all count).
+text mod 3 is not 1). Every drawn example is kept with all its terms. A term
+weighs its inverse document frequency, which counts all documents, times one
+plus the nats by which its share of toxic examples differs from that of all,
+so terms that mark either class lead and none is left out.
+
+Score. A text's vector over those terms is compared with every example by
+exact cosine through an inverted index (ties at the last of the k best places
+all count).
 Their votes, weighted by closeness, are mapped to a probability by a monotone
 curve fitted on the examples themselves, each left out in turn.
 
 Only the bounded model is broadcast; texts are scored whole, where they are
 scanned, without a shuffle. The id is never an input of a score.
 
-Defined results: null, empty and term-free texts get the label share of the
-term-free examples; repeated rows are scored each; several labels of one id
+Defined results: null and empty texts and those without a known term get the
+label share of the examples without words; repeated rows are scored each; several labels of one id
 count as toxic if any says so; without labels of both classes every score is
 the share of toxic labels (0 without any); no rows give no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, table
 
 EXAMPLES = 3000
-MAX_TERMS = 2000
-FACTOR = 4.0
-CHANCE = 0.5
 NEAREST = 15
-BLOCK = 64
 THRESHOLD = 0.7
 SEED = 11
 STEM = 5
 DENSE = 1
+HEAVY = 128  # terms held as a table, which bounds its size
+TOGETHER = 64  # texts scored in one product
 PRIOR = 2.0  # weight of the label share in a vote
 
 _WORD = re.compile(r"\w+").findall
@@ -66,65 +64,80 @@ def held_out(id_col) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def _sorted_unique(counts: Counter, terms: dict[str, int]) -> dict[int, int]:
-    return {terms[w]: n for w, n in counts.items() if w in terms}
+def _known(text: str | None, terms: dict[str, int]) -> dict[int, int]:
+    """Number and count of the known terms of a text."""
+    return {terms[w]: n for w, n in Counter(words(text)).items() if w in terms}
+
+
+def packed(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(list(counts), dtype=np.int64), np.array(list(counts.values()), dtype=np.int64)
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors in block-max posting lists."""
+    """Examples as unit vectors in one posting list of each term."""
 
-    idf: np.ndarray
+    idf: np.ndarray  # weight of each term
     labels: np.ndarray
     weights: np.ndarray
     ids: np.ndarray
-    lists: list = field(default_factory=list)  # of each term: (examples, weights, block starts, block maxima)
+    first: np.ndarray  # of each term: where its list starts
+    at: np.ndarray  # examples of the lists
+    unit: np.ndarray  # their components
+    place: np.ndarray  # of each term: its row in the table, or -1
+    table: np.ndarray  # components of the terms with the longest lists, for every example
 
     @classmethod
     def build(cls, vectors: list[dict[int, int]], idf, labels, weights, ids) -> Index:
-        out = cls(idf, labels, weights, ids)
-        rows = [[] for _ in idf]
-        for n, counts in enumerate(vectors):
-            terms, unit = out.vector(counts)
-            for t, w in zip(terms, unit):
-                rows[t].append((n, w))
-        blocks = -(-len(vectors) // BLOCK)
-        for postings in rows:
-            at = np.array([n for n, _ in postings], dtype=np.int64)
-            w = np.array([x for _, x in postings], dtype=np.float64)
-            starts = np.searchsorted(at, np.arange(blocks + 1) * BLOCK)
-            top = np.zeros(blocks)
-            np.maximum.at(top, at // BLOCK, w)
-            out.lists.append((at, w, starts, top))
-        return out
+        flat = lambda parts: np.array([x for v in vectors for x in parts(v)], dtype=np.int64)
+        return cls.packed(np.array([len(v) for v in vectors]), flat(dict.keys), flat(dict.values), idf, labels, weights, ids)
 
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        terms = sorted(counts)
-        w = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in terms])
-        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
+    @classmethod
+    def packed(cls, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf, labels, weights, ids) -> Index:
+        """Of the examples' terms and counts, one example after another; none is empty."""
+        w = (1 + np.log(counts)) * idf[terms]
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        w /= np.sqrt(np.bincount(row, w * w, len(lengths)))[row]
+        n = np.bincount(terms, minlength=len(idf))
+        heavy = np.argsort(-n, kind="stable")[:HEAVY]
+        place = np.full(len(idf), -1)
+        place[heavy] = np.arange(len(heavy))
+        table = np.zeros((len(heavy), len(lengths)))
+        listed = place[terms] < 0
+        table[place[terms[~listed]], row[~listed]] = w[~listed]
+        terms, row, w = terms[listed], row[listed], w[listed]
+        order = np.argsort(terms, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(idf)))])
+        return cls(idf, labels, weights, ids, first, row[order], w[order], place, table)
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, examples) cosines of (terms, counts) with every example."""
+        out = np.zeros((len(queries), len(self.ids)))
+        inner = np.zeros((len(queries), len(self.table)))
+        for n, (terms, counts) in enumerate(queries):
+            w = (1 + np.log(counts)) * self.idf[terms]
+            w /= np.sqrt((w * w).sum())
+            at = self.place[terms]
+            inner[n, at[at >= 0]] = w[at >= 0]
+            terms, w = terms[at < 0], w[at < 0]
+            lo, hi = self.first[terms], self.first[terms + 1]
+            parts = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist())]
+            if parts:
+                out[n] = np.bincount(np.concatenate([self.at[p] for p in parts]),
+                                     np.concatenate([self.unit[p] for p in parts]) * np.repeat(w, hi - lo), len(self.ids))
+        return out + inner @ self.table
 
     def nearest(self, counts: dict[int, int], k: int = NEAREST, without: int = -1) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest with a common term, ties at the last place included."""
-        terms, unit = self.vector(counts)
-        if not terms:
-            return []
-        bound = sum(w * self.lists[t][3] for t, w in zip(terms, unit))
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, unit):
-                at, weight, starts, _ = self.lists[t]
-                part = slice(starts[b], starts[b + 1])
-                score[at[part] - b * BLOCK] += w * weight[part]
-            found += [(float(score[n]), int(b * BLOCK + n)) for n in np.flatnonzero(score > 0) if b * BLOCK + n != without]
-            if len(found) >= k:
-                found.sort(key=lambda x: (-x[0], x[1]))
-                least = found[k - 1][0]
-                found = [x for x in found if x[0] >= least - 1e-12]
-        return [(n, s) for s, n in sorted(found, key=lambda x: (-x[0], x[1]))]
+        return self.closest(self.cosines([packed(counts)])[0], k, without) if counts else []
+
+    @staticmethod
+    def closest(score: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[int, float]]:
+        if without >= 0:
+            score[without] = 0
+        least = np.partition(score, -k)[-k] - 1e-12 if len(score) > k else 0.0
+        found = np.flatnonzero((score >= least) & (score > 0))
+        return [(int(n), float(score[n])) for n in found[np.argsort(-score[found], kind="stable")]]
 
 
 @dataclass
@@ -140,15 +153,17 @@ class Model:
         labels = self.index.labels[[n for n, _ in near]]
         return float(((votes * labels).sum() + PRIOR * self.share) / (votes.sum() + PRIOR))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """Calibrated score and its evidence (examples and cosines)."""
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Calibrated score and its evidence (examples and cosines) of each text."""
         if self.index is None:
-            return self.share, []
-        found = [w for w in words(text) if w in self.terms]
-        near = self.index.nearest(_sorted_unique(Counter(found), self.terms)) if found else []
-        if not near:
-            return self.blank, []
-        return float(np.interp(self.raw(near), *self.steps)), near
+            return [(self.share, [])] * len(texts)
+        out = []
+        for first in range(0, len(texts), TOGETHER):
+            known = [_known(t, self.terms) for t in texts[first:first + TOGETHER]]
+            rows = iter(self.index.cosines([packed(c) for c in known if c]))
+            for near in (self.index.closest(next(rows)) if c else [] for c in known):
+                out.append((float(np.interp(self.raw(near), *self.steps)), near) if near else (self.blank, []))
+        return out
 
 
 def monotone(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,16 +192,15 @@ def draw(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") ->
     return materialise(some[0].unionByName(some[1]), "toxicity-drawn"), total
 
 
-def _surprise(toxic: float, clean: float, share: float) -> float:
-    """Nats by which a term's toxic share differs from ``share``."""
+def surprise(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Nats by which the toxic share of each term's examples differs from ``share``."""
     n = toxic + clean
-    p = toxic / n
-    parts = [x * math.log(x / y) for x, y in ((p, share), (1 - p, 1 - share)) if x > 0]
-    return n * sum(parts)
+    part = lambda x, y: x * np.log(np.where(x > 0, x, n) / (n * y))
+    return np.maximum(part(toxic, share) + part(clean, 1 - share), 0)
 
 
-def choose_terms(examples: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
-    """Terms that mark a class: beyond chance over all terms tested, and by FACTOR."""
+def count_terms(examples: DataFrame) -> pa.Table:
+    """term, toxic and clean: in how many examples of each class every term stands."""
     def run(batches):
         for b in slices(batches, text=0):
             rows = [sorted(set(words(t))) for t in b.column("text").to_pylist()]
@@ -194,35 +208,32 @@ def choose_terms(examples: DataFrame, n_clean: int, n_toxic: int) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([w for r in rows for w in r], pa.string()),
                                               pa.array(labels, pa.int32())], ["term", "label"])
 
-    counts = (examples.select("text", "label").mapInArrow(run, "term string, label int").groupBy("term")
-                      .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")))
-    counts = materialise(counts.where("toxic + clean > 1"), "toxicity-terms")
-    tested = counts.count()
-    share = n_toxic / (n_toxic + n_clean)
-    needed = math.log(max(tested, 1) / CHANCE)
-    lift = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    marked = counts.where((lift >= FACTOR) & (F.col("toxic") * -math.log(share) >= needed))
-    return [w for _, w in sorted(((_surprise(r["toxic"], r["clean"], share), r["term"]) for r in
-                                  marked.orderBy(F.desc("toxic"), "term").limit(4 * MAX_TERMS).collect()),
-                                 key=lambda x: (-x[0], x[1]))
-            if _ >= needed][:MAX_TERMS]
-
-
-def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[dict[str, int], int]:
+    counts = examples.select("text", "label").mapInArrow(run, "term string, label int").groupBy("term").agg(
+        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    return counts.toArrow().sort_by("term")
+
+
+def document_frequencies(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents: partial counts of each task are summed by Spark."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
     def run(batches):
-        wanted, seen, n = frozenset(terms), Counter(), 0
+        known, n = shared.value, 0
+        seen = np.zeros(len(known), dtype=np.int64)
         for b in slices(batches, text=0):
             for text in b.column(0).to_pylist():
-                seen.update(wanted.intersection(words(text)))
+                seen[[known[w] for w in set(words(text)) if w in known]] += 1
             n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([n, *seen.values()], pa.int64())],
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], n), pa.int64())],
                                          ["term", "n"])
 
-    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long")
-                .groupBy("term").agg(F.sum("n").alias("n")).collect())
-    found = {r["term"]: r["n"] for r in rows}
-    return {t: found.get(t, 0) for t in terms}, found.get("", 0)
+    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term int, n long")
+                .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+    at, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(len(terms), dtype=np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -237,34 +248,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn_of = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not drawn_of.get(0) or not drawn_of.get(1):
         return Model({}, None, share)
-    chosen = choose_terms(examples, drawn_of[0], drawn_of[1])
-    terms = {w: n for n, w in enumerate(chosen)}
-    seen, n_docs = document_frequencies(docs, chosen, text_col)
-    idf = np.array([math.log((1 + n_docs) / (1 + seen[w])) + 1 for w in chosen])
+    counted = count_terms(examples)
+    terms = {w: n for n, w in enumerate(counted.column("term").to_pylist())}
+    seen, n_docs = document_frequencies(docs, terms, text_col)
+    toxic, clean = (counted.column(c).to_numpy().astype(np.float64) for c in ("toxic", "clean"))
+    idf = np.log((1 + n_docs) / (1 + seen)) + 1
+    idf *= 1 + surprise(toxic, clean, drawn_of[1] / (drawn_of[0] + drawn_of[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches):
         for b in slices(batches):
-            counts = [_sorted_unique(Counter(words(t)), terms) for t in b.column("text").to_pylist()]
+            counts = [_known(t, shared.value) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
 
-    rows = examples.select("id", "label", "text").mapInArrow(run, "id long, label int, terms array<int>, counts array<int>")
-    blank = rows.where("size(terms) = 0").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    # the bounded sample with all its terms
+    rows = examples.select("id", "label", "text").mapInArrow(run, "id long, label int, terms array<int>, counts array<int>").toArrow()
+    lengths = pc.list_value_length(rows.column("terms")).to_numpy()
+    labels = rows.column("label").to_numpy()
     weight = {c: total[c] / drawn_of[c] for c in (0, 1)}
-    none = {r["label"]: r["n"] * weight[r["label"]] for r in blank}
+    none = {c: weight[c] * int(((lengths == 0) & (labels == c)).sum()) for c in (0, 1)}
     floor = PRIOR * min(weight.values())
-    blank = (none.get(1, 0) + floor * share) / (sum(none.values()) + floor)
-    # counts over the chosen terms of the bounded sample; the sort keeps like examples in one block
-    held = sorted(rows.where("size(terms) > 0").collect(), key=lambda r: (sorted(r["terms"]), r["id"]))
-    if not held:
+    blank = (none[1] + floor * share) / (none[0] + none[1] + floor)
+    held = rows.filter(pa.array(lengths > 0))
+    if not held.num_rows:
         return Model({}, None, share)
-    vectors = [dict(zip(r["terms"], r["counts"])) for r in held]
-    y = np.array([r["label"] for r in held], dtype=np.float64)
-    w = np.array([weight[r["label"]] for r in held])
-    index = Index.build(vectors, idf, y, w, np.array([r["id"] for r in held]))
+    held = held.sort_by("id")
+    lengths = pc.list_value_length(held.column("terms")).to_numpy()
+    at, counts = (pc.list_flatten(held.column(c)).to_numpy().astype(np.int64) for c in ("terms", "counts"))
+    y = held.column("label").to_numpy().astype(np.float64)
+    w = np.where(y == 1, weight[1], weight[0])
+    index = Index.packed(lengths, at, counts, idf, y, w, held.column("id").to_numpy())
     model = Model(terms, index, share, blank)
-    left_out = [(model.raw(near) if (near := index.nearest(v, without=n)) else share) for n, v in enumerate(vectors)]
+    ends = np.cumsum(lengths)
+    left_out = []
+    for first in range(0, len(y), TOGETHER):
+        some = range(first, min(first + TOGETHER, len(y)))
+        score = index.cosines([(at[ends[k] - lengths[k]:ends[k]], counts[ends[k] - lengths[k]:ends[k]]) for k in some])
+        near = [index.closest(row, without=k) for k, row in zip(some, score)]
+        left_out += [model.raw(found) if found else share for found in near]
     model.steps = monotone(np.array(left_out), y, w)
     return model
 
@@ -277,7 +300,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         m = shared.value
         for b in slices(batches, text=1):
-            out = [m.score(t) for t in b.column(1).to_pylist()]
+            out = m.scores(b.column(1).to_pylist())
             evidence = [[{"id": int(m.index.ids[n]), "cosine": s} for n, s in e[:3]] for _, e in out]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()),
                                               pa.array(evidence, near)], [id_col, "score", "evidence"])
@@ -295,7 +318,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches):
         for b in slices(batches, text=at):
-            yield b.filter(pa.array([shared.value.score(t)[0] < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([p < THRESHOLD for p, _ in shared.value.scores(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

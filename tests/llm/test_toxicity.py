@@ -61,3 +61,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
         got = toxicity.score_texts(odd_docs, toxicity.fit(odd_docs, some)).collect()
         assert len(got) == odd_docs.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score_texts(no_docs, toxicity.fit(no_docs, labels)).count() == 0
+
+
+def test_every_example_is_indexed(spark):
+    rnd = random.Random(5)
+    rows = [(k, " ".join(rnd.sample([f"word{n}" for n in range(200)], 12) + ["vile"] * (k % 10 == 0)), int(k % 10 == 0)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.drop("toxic"), df.drop("text"))
+    learnt = [k for k, *_ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sorted(model.index.ids.tolist()) == learnt
+    assert set(model.terms) == {w for k, t, _ in rows if k in learnt for w in toxicity.words(t)}
+    for r in toxicity.score_texts(df, model).collect():
+        assert r.evidence and (r.doc_id not in learnt or (r.evidence[0].id, round(r.evidence[0].cosine, 9)) == (r.doc_id, 1.0))
