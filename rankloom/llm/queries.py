@@ -1,8 +1,8 @@
-"""The ten ``opN_*`` queries of this subpackage and their DuckDB texts."""
+"""The ``opN_*`` queries of this subpackage and their DuckDB texts."""
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, links, minhash, mixing, pii, quality, tokens, toxicity
+from . import ann, bpe, chat, decontamination, lexical, links, minhash, mixing, pii, quality, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_token_counts": tokens.op10_token_counts,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 
 ORACLES = {
     "op1_chat_formatting": chat.oracle(),
     "op5_url_filters": links.oracle(),
     "op9_quality_rules": quality.oracle(),
+    "op11_decontamination": decontamination.oracle(),
+    "op13_lexical_search": lexical.oracle(),
 }
