@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
+from .ranges import quantile_values, value_ranks
 
 PLATFORMS = ("android_app", "website", "ios_app")   # fixed values: one-hot platform columns
 
@@ -163,21 +164,26 @@ def sparse_to_dense(idx, cnt, n: int) -> Column:
                        lambda k: F.coalesce(F.element_at(m, k), F.lit(0).cast("bigint")))
 
 
-def quantile_splits(df: DataFrame, col: str, n: int = 10, accuracy: int = 10000) -> DataFrame:
+def quantile_splits(df: DataFrame, col: str, n: int = 10, accuracy: int | None = None) -> DataFrame:
     """One row ``splits``: -inf, the n-1 inner quantiles, +inf, equal points merged.
-    NaN and null are left out of the quantiles."""
-    probs = [i / n for i in range(1, n)]
-    q = (df.where(F.col(col).isNotNull() & ~F.isnan(col))
-           .agg(F.percentile_approx(col, probs, accuracy).alias("_q")))
-    return q.select(F.array_distinct(F.concat(F.array(F.lit(float("-inf"))), F.col("_q").cast("array<double>"),
-                                              F.array(F.lit(float("inf"))))).alias("splits"))
-
-
-def quantile_buckets(df: DataFrame, col: str, out: str, n: int = 10, accuracy: int = 10000) -> DataFrame:
-    """Bucket index = number of inner split points <= x (0..k-1); NaN gets
+    NaN and null are left out of the quantiles. The points are exact order
+    statistics, unless an ``accuracy`` asks for an approximate single pass (off by
+    1 / accuracy of the rows in rank)."""
+    ends = [F.array(F.lit(float(x))) for x in ("-inf", "inf")]
+    if accuracy is None:
+        q = quantile_values(df, col, n).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))),
+                                                        lambda x: x["value"].cast("double")).alias("_q"))
+    else:
+        q = (df.where(F.col(col).isNotNull() & ~F.isnan(col))
+               .agg(F.percentile_approx(col, [i / n for i in range(1, n)], accuracy).cast("array<double>").alias("_q")))
+    inner = F.coalesce("_q", F.array().cast("array<double>"))
+    return q.select(F.array_distinct(F.concat(ends[0], inner, ends[1])).alias("splits"))
+
+
+def bucket_by(df: DataFrame, col: str, splits: DataFrame, out: str) -> DataFrame:
+    """Bucket index = number of inner split points <= x (0..k-1) by saved ``splits`` (one row); NaN gets
     the extra bucket k (kept), null stays null."""
-    s = quantile_splits(df, col, n, accuracy)
-    j = df.crossJoin(F.broadcast(s))
+    j = df.crossJoin(F.broadcast(splits))
     inner = F.slice("splits", 2, F.size("splits") - 2)
     b = F.size(F.filter(inner, lambda t: t <= F.col(col)))
     nb = F.size("splits") - 1
@@ -185,6 +191,11 @@ def quantile_buckets(df: DataFrame, col: str, out: str, n: int = 10, accuracy: i
                          .when(F.isnan(col), nb).otherwise(b).cast("double")).drop("splits")
 
 
+def quantile_buckets(df: DataFrame, col: str, out: str, n: int = 10, accuracy: int | None = None) -> DataFrame:
+    """``bucket_by`` the quantiles of the column itself."""
+    return bucket_by(df, col, quantile_splits(df, col, n, accuracy), out)
+
+
 def quantile_discretizer(df: DataFrame, col: str, out: str, n: int = 10, rel_error: float = 0.001):
     """Spark ML QuantileDiscretizer with invalid values kept (fit + transform)."""
     from pyspark.ml.feature import QuantileDiscretizer
@@ -193,20 +204,37 @@ def quantile_discretizer(df: DataFrame, col: str, out: str, n: int = 10, rel_err
     return qd.fit(df).transform(df)
 
 
+def discretizer_splits(df: DataFrame, col: str, n: int = 10, rel_error: float = 0.001) -> list[float]:
+    """The inner split points that the QuantileDiscretizer chooses."""
+    from pyspark.ml.feature import QuantileDiscretizer
+    qd = QuantileDiscretizer(numBuckets=n, inputCol=col, outputCol="_b", relativeError=rel_error, handleInvalid="keep")
+    return [float(x) for x in qd.fit(df).getSplits()[1:-1]]
+
+
+def rank_errors(df: DataFrame, col: str, splits: list[float], n: int) -> DataFrame:
+    """(k, value, rank_error): how far, as a share of the rows, each split's ranks are from k / n (0: its rows include it)."""
+    ranked = value_ranks(df, col)
+    total = ranked.agg(F.sum("n").alias("_all"))
+    points = df.sparkSession.createDataFrame(list(enumerate(splits, 1)), "k int, value double")
+    j = points.join(ranked, points["value"] == ranked[col]).crossJoin(F.broadcast(total))
+    aim = F.col("k") * F.col("_all") / n
+    off = F.greatest(F.lit(0.0), F.col("before_n") + 1 - aim - 1, aim - F.col("before_n") - F.col("n")) / F.col("_all")
+    return j.select("k", "value", off.alias("rank_error"))
+
+
 def mean_vector(emb: DataFrame, col: str = "embedding") -> DataFrame:
-    """One row: element-wise mean of all vectors, one average per position in a single aggregate."""
-    n = emb.agg(F.max(F.size(col))).first()[0] or 0
-    means = emb.agg(*[F.avg(F.get(F.col(col), F.lit(p)).cast("double")).alias(f"_m{p}") for p in range(n)] or
-                    [F.lit(None).alias("_m")])
-    return means.select(F.array(*[f"_m{p}" for p in range(n)]).cast("array<double>").alias("mean_vector"))
+    """One row: element-wise mean of all vectors, one average per position."""
+    cells = emb.select(F.posexplode(col).alias("_p", "_e")).groupBy("_p").agg(F.avg(F.col("_e").cast("double")).alias("_m"))
+    return cells.agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda x: x["_m"]).alias("mean_vector"))
 
 
 def embedding_table(emb: DataFrame, vocab: DataFrame, id_col: str = "itemid", col: str = "embedding",
                     index: str = "index") -> DataFrame:
-    """index -> vector; row 0 (padding / unknown) is the mean vector."""
-    rows = emb.join(vocab, id_col).select(F.col(index).alias("index"),
+    """(index, id, vector); row 0 (padding / unknown, no id) is the mean vector."""
+    rows = emb.join(vocab, id_col).select(F.col(index).alias("index"), id_col,
                                           F.col(col).cast("array<double>").alias("vector"))
-    zero = mean_vector(emb, col).select(F.lit(0).alias("index"), F.col("mean_vector").alias("vector"))
+    none = F.lit(None).cast(emb.schema[id_col].dataType)
+    zero = mean_vector(emb, col).select(F.lit(0).alias("index"), none.alias(id_col), F.col("mean_vector").alias("vector"))
     return rows.unionByName(zero)
 
 
@@ -217,24 +245,26 @@ def pad(arr, n: int = 10, value=0) -> Column:
 
 
 def pool_history(df: DataFrame, arr_idx: str, table: DataFrame, out: str, key: str = "requestid",
-                 n: int = 10) -> DataFrame:
-    """Mean of the vectors of the history indices, padded to n with index 0
+                 n: int = 10, by: str = "index") -> DataFrame:
+    """Mean of the vectors of the history, padded to n with index 0
     (the padding row, which is the mean vector, counts in the mean).
 
-    Only known ids are exploded and joined; the padding is added as
-    (missing slots) x (row 0), a one-row vector, so index 0 is no join key.
-    The vectors of a key are summed in the order of their positions.
+    ``by`` names the column of ``table`` (index, vector) that the history holds: its
+    index, or the id itself, which saves mapping the history to indices first. What
+    is not in the table counts as index 0; it is added as (missing slots) x (row 0), a
+    one-row vector, so index 0 is no join key. The list is exploded once, and the
+    vectors of a key are summed in the order of their positions.
     """
     zero = table.where(F.col("index") == 0).select(F.col("vector").alias("_zero"))
-    ex = df.select(key, F.posexplode(F.filter(arr_idx, lambda i: i != 0)).alias("_p", "index"))
-    ex = ex.join(table, "index")
-    back = ex.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "vector"))).alias("_vs"))
-    out_df = df.join(back, key, "left").join(F.broadcast(zero))  # one row
-    known = F.coalesce(F.transform("_vs", lambda x: x["vector"]), F.array().cast("array<array<double>>"))
-    slots = F.greatest(F.lit(n), F.size(arr_idx))
-    padding = F.transform("_zero", lambda z: z * (slots - F.size(known)))
-    total = F.aggregate(known, padding, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    return out_df.withColumn(out, F.transform(total, lambda x: x / slots)).drop("_vs", "_zero")
+    known = table.where(F.col("index") != 0).select(F.col(by).alias("_id"), "vector")
+    ex = df.select(F.col(key).alias("_key"), F.posexplode(arr_idx).alias("_p", "_id")).join(known, "_id")
+    back = ex.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_p", "vector"))).alias("_vs"))
+    out_df = df.join(back, df[key] == back["_key"], "left").join(F.broadcast(zero))  # one row
+    found = F.coalesce(F.transform("_vs", lambda x: x["vector"]), F.array().cast("array<array<double>>"))
+    slots = F.greatest(F.lit(n), F.coalesce(F.size(arr_idx), F.lit(0)))
+    padding = F.transform("_zero", lambda z: z * (slots - F.size(found)))
+    total = F.aggregate(found, padding, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
+    return out_df.withColumn(out, F.transform(total, lambda x: x / slots)).drop("_key", "_vs", "_zero")
 
 
 def embedding_dot(a: str, b: str) -> Column:

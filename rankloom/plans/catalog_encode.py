@@ -106,6 +106,14 @@ def q_buckets(spark, sf):
     return finish(buckets(spark, sf).select("requestid", "itemid", "distance", "distance_buckets"))
 
 
+@register("bkt_ml_rank_error", "SELECT unnest(range(1, 10)) AS k, 1 AS within")
+def q_buckets_ml_error(spark, sf):
+    """Whether each split of the approximate discretizer lies within 0.001 of the rows of its exact rank."""
+    df = view(spark, sf, "search_response").select("distance")
+    splits = E.discretizer_splits(df, "distance", 10, 0.001)
+    return finish(E.rank_errors(df, "distance", splits, 10).select("k", (F.col("rank_error") <= 0.001).alias("within")))
+
+
 @register("bkt_distance_ml")
 def q_buckets_ml(spark, sf):
     """Spark ML QuantileDiscretizer path (approximate, rows-only check)."""
@@ -162,7 +170,7 @@ SELECT t.event_id, tab.v FROM timed_event t LEFT JOIN iv USING (itemid) JOIN tab
 def q_emb_lookup(spark, sf):
     t = E.lookup(te(spark, sf).select("event_id", "itemid"), "itemid", item_vocab(spark, sf))
     tab = emb_table(spark, sf)
-    return by_position(t.join(tab, t["itemid_idx"] == tab["index"]), "vector", "event_id")
+    return by_position(t.join(tab.drop("itemid"), t["itemid_idx"] == tab["index"]), "vector", "event_id")
 
 
 D_POOL = """hidx AS (SELECT r.requestid, list_transform(r.h, lambda x: x.itemid) AS ids FROM req r),
@@ -177,10 +185,8 @@ pooled AS (SELECT requestid, list(m ORDER BY d) AS pooled FROM (SELECT requestid
 
 
 def pooled(spark, sf):
-    req = per_request(spark, sf).withColumn("ids", F.col("history")["itemid"]).select("requestid", "ids")
-    req = E.lookup_array(req, "ids", item_vocab(spark, sf), "idx")
-    req = req.withColumn("idx", F.coalesce("idx", F.array().cast("array<int>")))
-    return E.pool_history(req, "idx", emb_table(spark, sf), "pooled").select("requestid", "pooled")
+    req = per_request(spark, sf).withColumn("ids", F.coalesce(F.col("history")["itemid"], F.array().cast("array<bigint>")))
+    return E.pool_history(req.select("requestid", "ids"), "ids", emb_table(spark, sf), "pooled", by="itemid").select("requestid", "pooled")
 
 
 def _pool_sql(body: str) -> str:
@@ -209,7 +215,7 @@ def q_pool(spark, sf):
 def q_dot(spark, sf):
     t = E.lookup(te(spark, sf).select("event_id", "requestid", "itemid"), "itemid", item_vocab(spark, sf))
     tab = emb_table(spark, sf)
-    t = t.join(tab, t["itemid_idx"] == tab["index"]).join(pooled(spark, sf), "requestid")
+    t = t.join(tab.drop("itemid"), t["itemid_idx"] == tab["index"]).join(pooled(spark, sf), "requestid")
     return finish(t.select("event_id", E.embedding_dot("vector", "pooled").alias("history_affinity")))
 
 
