@@ -1,22 +1,19 @@
-"""Weighted click/booking classifiers, scoring and quality report (Spark ML).
+"""Class weights, layers, seeded order and the quality report of the click/booking classifiers.
 
-The reference trains one joint wide-and-deep network on a single machine;
-here the two halves are separate distributed learners: a weighted logistic
-regression on the encoded features (the wide part, class weights 1 : 175,
-L2 0.01) and a multilayer perceptron 64-32-16-8 (the deep tower), which takes
-no weight column, so negatives are down-sampled with a fixed seed instead.
+The reference trains one joint wide-and-deep network on a single machine; here the
+two halves are separate distributed learners over the input of ``learner``: a
+weighted logistic regression (the wide part, class weights 1 : 175, L2 0.01) and a
+multilayer perceptron 64-32-16-8 (the deep tower), which takes no weight column, so
+its rows are repeated as often as their class weighs.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import auc
+
 CLASS_WEIGHTS = {0: 1.0, 1: 175.0}   # fixed values: weight of no-action vs booked candidates
 L2 = 0.01
 DEEP_LAYERS = [64, 32, 16, 8]
@@ -28,62 +25,15 @@ def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
 
 
-def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
-    """Numeric columns in sorted name order, nulls must be filled before."""
-    return VectorAssembler(inputCols=sorted(cols), outputCol=out, handleInvalid="keep")
-
-
-def with_weights(df: DataFrame, label: str = "label", weights=None, out: str = "weight") -> DataFrame:
-    w = weights or CLASS_WEIGHTS
-    return df.withColumn(out, F.when(F.col(label) == 1, F.lit(w[1])).otherwise(F.lit(w[0])))
-
-
-def fit_wide(df: DataFrame, cols: list[str], label: str = "label", reg: float = L2,
-             max_iter: int = 50) -> PipelineModel:
-    """Assemble + weighted logistic regression (distributed L-BFGS)."""
-    lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg,
-                            maxIter=max_iter, standardization=False)
-    return Pipeline(stages=[assembler(cols), lr]).fit(with_weights(df, label))
-
-
-def fit_deep(df: DataFrame, cols: list[str], label: str = "label", layers=None, seed: int = 42,
-             max_iter: int = 50, negative_fraction: float | None = None) -> PipelineModel:
-    """Assemble + MLP; negatives kept with probability ``negative_fraction``
-    (default 50 / 175: fifty times the inverse class weight) by a seeded stratified sample."""
-    frac = min(1.0, 50 * CLASS_WEIGHTS[0] / CLASS_WEIGHTS[1] if negative_fraction is None else negative_fraction)
-    sample = df.sampleBy(label, fractions={0: frac, 1: 1.0}, seed=seed)
-    hidden = layers or DEEP_LAYERS
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=label, layers=[len(cols), *hidden, 2],
-                                         seed=seed, maxIter=max_iter)
-    return Pipeline(stages=[assembler(cols), mlp]).fit(sample)
-
-
-def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
-    """Probability of the positive class as a double column."""
-    p = model.transform(df)
-    return p.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
-
-
-
-def coefficients(model: PipelineModel, cols: list[str]) -> list[tuple[str, float]]:
-    """(feature, weight) of a fitted wide model; the intercept last."""
-    lr = model.stages[-1]
-    names = sorted(cols)
-    return list(zip(names, [float(x) for x in lr.coefficients])) + [("intercept", float(lr.intercept))]
-
-
 def report(pred: DataFrame, label: str = "label", score_col: str = "score",
            prediction: str = "prediction") -> DataFrame:
     """Confusion counts per (label, prediction) with precision / recall / F1
-    of the positive class and the AUC alongside (one small aggregate each)."""
-    auc = BinaryClassificationEvaluator(rawPredictionCol=score_col, labelCol=label,
-                                        metricName="areaUnderROC").evaluate(pred)
+    of the positive class and the exact AUC alongside (one small aggregate each)."""
+    area = auc(pred, label, score_col)
     counts = pred.groupBy(label, prediction).count()
-    tp = F.sum(F.when((F.col(label) == 1) & (F.col(prediction) == 1), F.col("count")).otherwise(0))
-    fp = F.sum(F.when((F.col(label) == 0) & (F.col(prediction) == 1), F.col("count")).otherwise(0))
-    fn = F.sum(F.when((F.col(label) == 1) & (F.col(prediction) == 0), F.col("count")).otherwise(0))
-    m = counts.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    hits = lambda y, p: F.sum(F.when((F.col(label) == y) & (F.col(prediction) == p), F.col("count")).otherwise(0))
+    m = counts.agg(hits(1, 1).alias("tp"), hits(0, 1).alias("fp"), hits(1, 0).alias("fn"))
     m = m.select(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                  F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     m = m.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    return counts.crossJoin(F.broadcast(m)).withColumn("auc", F.lit(auc))
+    return counts.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(area))     # one row each

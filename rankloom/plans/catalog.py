@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 from . import (catalog_assembly, catalog_encode, catalog_features, catalog_geo,  # noqa: F401
-               catalog_history, catalog_io, catalog_rates)
+               catalog_history, catalog_io, catalog_learner, catalog_rates)
 from .catalog_full import assemble_sql, full_sql, model_input_sql
 from .registry import LAZY_ORACLES, ORACLES, QUERIES, normalise_oracle
 

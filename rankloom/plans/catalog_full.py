@@ -120,8 +120,8 @@ SELECT b10.* EXCLUDE (clicked_itemid_list_10, clicked_item_type_list_10), {pos_i
     return duck_with(VIEWS, body)
 
 
-def model_input_sql(sample_dir: str) -> str:
-    """z-scores of the 36 numerics over the training table, flags, one-hots."""
+def z_columns() -> str:
+    """z-scores of the 36 numerics over the rows at hand, flags, one-hots."""
     from ..operators.encode import FLAG_FEATURES, NEAR_MEAN, NUMERIC_FEATURES, PLATFORMS
     z = ", ".join(f"COALESCE(CASE WHEN stddev_samp({c}) OVER () = 0 THEN NULL "
                   f"WHEN abs({c} - avg({c}) OVER ()) <= {NEAR_MEAN} * abs(avg({c}) OVER ()) THEN 0 "
@@ -129,7 +129,11 @@ def model_input_sql(sample_dir: str) -> str:
                   for c in NUMERIC_FEATURES)
     flags = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in FLAG_FEATURES)
     hot = ", ".join(f"CASE WHEN platform = '{p}' THEN 1 ELSE 0 END AS {p}" for p in PLATFORMS)
-    return f"SELECT requestid, itemid, {z}, {flags}, {hot} FROM (\n{full_sql(sample_dir)}\n) AS f"
+    return f"{z}, {flags}, {hot}"
+
+
+def model_input_sql(sample_dir: str) -> str:
+    return f"SELECT requestid, itemid, {z_columns()} FROM (\n{full_sql(sample_dir)}\n) AS f"
 
 
 def assemble_sql(sample_dir: str) -> str:

@@ -1,5 +1,4 @@
-"""Checked queries: sinks read back, CSV round trip, streaming scoring,
-and the Spark ML learners (rows-only checks)."""
+"""Checked queries: sinks read back, CSV round trip, streaming scoring, the assembled input."""
 
 from __future__ import annotations
 
@@ -9,15 +8,11 @@ from pyspark.sql import types as T
 from ..fixtures import duck_with, view
 from ..operators import assemble as A
 from ..operators import encode as E
-from ..operators import history as H
 from ..operators import model as M
-from ..operators import rank as RK
-from ..operators import rates as R
 from ..session import scratch_path
 from ..sources import logs as L
 from ..sources import sinks as S
 from ..streaming.scoring import score_files
-from .catalog_history import per_request
 from .registry import by_position, finish, register
 
 PLACE_SCHEMA = T.StructType([T.StructField("placeid", T.LongType()), T.StructField("lat", T.DoubleType()),
@@ -108,23 +103,6 @@ def q_stream(spark, sf):
     return finish(out.select("requestid", "event_id", "itemid", "score", "new_rank", "current_rank"))
 
 
-# ---- Spark ML on the event features (rows-only checks) ------------------------
-
-ML_COLS = ["fprice", "rating", "distance", "item_ctr", "item_br", "item_dtob", "item_clicked_rate",
-           "clicked_fprice_list_10", "clicked_rating_list_10"]
-
-
-def ml_frame(spark, sf):
-    """Event rows with rolling rates, history features, z-scored, label = booked."""
-    te = view(spark, sf, "timed_event")
-    df = te.join(R.weighted_rates(te, ["itemid"], prefix="item"), ["itemid", "searchdate"], "left")
-    hist = H.history_columns(per_request(spark, sf), "history")
-    df = df.join(hist, "requestid", "left")
-    df = H.list_features(df)
-    df = df.withColumn("label", (F.col("event") == "booking").cast("int")).fillna(0, subset=["label"])
-    return E.zscore(df, E.column_stats(df, ML_COLS), ML_COLS)
-
-
 @register("enc_assemble")
 def q_assemble(spark, sf):
     """The 42 model inputs of the training table as one Spark ML vector
@@ -136,43 +114,3 @@ def q_assemble(spark, sf):
     df = E.assemble_input(E.model_input(df, E.column_stats(df, E.NUMERIC_FEATURES)))
     return by_position(df.select("requestid", "itemid", vector_to_array("features").alias("features")), "features",
                        "requestid", "itemid")
-
-
-def _wide(spark, sf):
-    df = ml_frame(spark, sf)
-    return df, M.fit_wide(df, ML_COLS)
-
-
-@register("ml_wide_fit")
-def q_wide_fit(spark, sf):
-    _, model = _wide(spark, sf)
-    rows = M.coefficients(model, ML_COLS)
-    return spark.createDataFrame(rows, "feature string, coefficient double")
-
-
-@register("ml_deep_fit")
-def q_deep_fit(spark, sf):
-    df = ml_frame(spark, sf)
-    model = M.fit_deep(df, ML_COLS, max_iter=30)
-    return finish(M.score(model, df).select("event_id", "requestid", "label", "score"))
-
-
-@register("ml_score")
-def q_score(spark, sf):
-    df, model = _wide(spark, sf)
-    return finish(M.score(model, df).select("event_id", "requestid", "itemid", "label", "score"))
-
-
-@register("ml_rank")
-def q_rank(spark, sf):
-    df, model = _wide(spark, sf)
-    s = M.score(model, df).withColumn("rank", F.col("event_id"))
-    return finish(RK.rank_by_score(s, "requestid", "score", "rank", "itemid")
-                  .select("requestid", "event_id", "itemid", "score", "new_rank", "current_rank"))
-
-
-@register("ml_report")
-def q_report(spark, sf):
-    df, model = _wide(spark, sf)
-    pred = M.score(model, df)
-    return finish(M.report(pred))
