@@ -7,23 +7,25 @@ cell size h puts every place closer than chord h to an item into the item's
 table is the small side) and joined to items on the cell id: an equi-join.
 
 * radius branch: one level, h = chord(radius), then an exact distance filter;
-* nearest branch (items with nothing in the radius): levels of growing h;
-  an item is settled at the first level whose best candidate lies within h
-  (anything outside the neighbourhood is farther than h), the rest go on.
-  The last level spans the whole sphere, so every item is settled exactly.
+* nearest branch (items with nothing in the radius): a pyramid of cells, each
+  cut into 4 x 4 x 4 on the next level, empty ones left out. An item starts at
+  the root and keeps, of the children of its cells, those whose least distance
+  is not above the smallest greatest distance of any: only such a cell can
+  hold the nearest place. It meets the places of its last cells alone.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_KM, haversine_km
-from ..session import hold
+from ..session import materialize
 from .assemble import dedup_key
 
+FAN = 4    # children of a pyramid cell on each axis (a power of 2: shifts below are by 2 bits)
 OFFSETS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
 
@@ -48,16 +50,11 @@ def _spread(places: DataFrame, h: float) -> DataFrame:
 
 
 def _candidates(items: DataFrame, places: DataFrame, h: float) -> DataFrame:
-    it = _cells(items, h).select("itemid", "lat", "lng", "_cx", "_cy", "_cz", "_x", "_y", "_z")
+    it = _cells(items, h).select("itemid", "lat", "lng", "_cx", "_cy", "_cz")
     pl = _spread(places, h).select("placeid", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"),
-                                   "conversion", "_cx", "_cy", "_cz",
-                                   F.col("_x").alias("p_x"), F.col("_y").alias("p_y"), F.col("_z").alias("p_z"))
+                                   "conversion", "_cx", "_cy", "_cz")
     j = it.join(pl, on=["_cx", "_cy", "_cz"], how="inner")
-    return j.withColumns({
-        "dist": haversine_km("lat", "lng", "p_lat", "p_lng"),
-        "_chord": F.sqrt((F.col("_x") - F.col("p_x")) ** 2 + (F.col("_y") - F.col("p_y")) ** 2
-                         + (F.col("_z") - F.col("p_z")) ** 2),
-    })
+    return j.withColumn("dist", haversine_km("lat", "lng", "p_lat", "p_lng"))
 
 
 def radius_pairs(items: DataFrame, places: DataFrame, radius_km: float = 5.0) -> DataFrame:
@@ -68,8 +65,42 @@ def radius_pairs(items: DataFrame, places: DataFrame, radius_km: float = 5.0) ->
     return c.where(F.col("dist") <= radius_km).select("itemid", "placeid", "dist")
 
 
-def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
-                   growth: float = 4.0) -> DataFrame:
+def _box(axis: str, size: float):
+    """(least, greatest) distance of a coordinate to the cell's range on that axis."""
+    low = F.col(f"_c{axis}") * size - 1
+    before, behind = low - F.col(f"_{axis}"), F.col(f"_{axis}") - (low + size)
+    return F.greatest(before, behind, F.lit(0.0)), F.greatest(F.abs(before), F.abs(behind))
+
+
+def nearest_pairs(items: DataFrame, places: DataFrame, leaf: float) -> DataFrame:
+    """Every (item, place) pair in which the place can be the item's nearest, with ``dist``.
+
+    Both sides carry their point on the unit sphere. Cells of the last level are
+    at most ``leaf`` wide. The two top levels hold at most 64 and 4,096 cells, so
+    they are broadcast; below, Spark decides from the measured size.
+    """
+    levels = max(1, math.ceil(math.log(2 / leaf, FAN)))
+    top = FAN ** levels
+    at = {f"_l{a}": F.least(F.floor((F.col(f"_{a}") + 1) / (2 / top)), F.lit(top - 1)).cast("bigint") for a in "xyz"}
+    places = places.withColumns(at)
+    kept = items.select("itemid", "lat", "lng", "_x", "_y", "_z", *[F.lit(0).cast("bigint").alias(f"_c{a}") for a in "xyz"])
+    for level in range(1, levels + 1):
+        size = 2 / FAN ** level
+        cells = places.select(*[F.shiftright(f"_l{a}", 2 * (levels - level)).alias(f"_n{a}") for a in "xyz"]).distinct()
+        cells = cells.withColumns({f"_c{a}": F.shiftright(f"_n{a}", 2) for a in "xyz"})
+        kept = kept.join(F.broadcast(cells) if level <= 2 else cells, ["_cx", "_cy", "_cz"])
+        kept = kept.withColumns({f"_c{a}": F.col(f"_n{a}") for a in "xyz"}).drop("_nx", "_ny", "_nz")
+        boxes = [_box(a, size) for a in "xyz"]
+        kept = kept.withColumns({"_low": sum(b[0] * b[0] for b in boxes), "_high": sum(b[1] * b[1] for b in boxes)})
+        # an item's few cells meet; the margin is for rounding at the cells' borders
+        kept = kept.withColumn("_most", F.min("_high").over(Window.partitionBy("itemid")))
+        kept = kept.where(F.col("_low") <= F.col("_most") * (1 + 1e-9) + 1e-12).drop("_low", "_high", "_most")
+    found = places.select("placeid", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"),
+                          *[F.col(f"_l{a}").alias(f"_c{a}") for a in "xyz"])
+    return kept.join(found, ["_cx", "_cy", "_cz"]).select("itemid", "placeid", haversine_km("lat", "lng", "p_lat", "p_lng").alias("dist"))
+
+
+def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0) -> DataFrame:
     """(itemid, lat, lng) x (placeid, lat, lng, conversion) -> (itemid, distance_backfill).
 
     Within ``radius_km``: the place with the highest conversion (nulls last;
@@ -87,31 +118,9 @@ def place_distance(items: DataFrame, places: DataFrame, radius_km: float = 5.0,
     near = _candidates(items, places, h0).where(F.col("dist") <= radius_km)
     best = near.groupBy("itemid").agg(F.min_by("dist", F.struct(
         F.col("conversion").isNull(), -F.col("conversion"), F.col("dist"), F.col("placeid"))).alias("distance_backfill"))
-
-    # Level by level over the items still open. Each level's result is
-    # persisted (memory and disk; rebuilt from lineage if an executor goes) so
-    # the next level does not recompute it, and the loop stops as soon as no
-    # item is open: at most log_growth(2 / h0) levels, one small action each.
-    best = hold(best)
-    pending = hold(items.join(best.select("itemid"), "itemid", "left_anti"))
-    found = [best]
-    h = h0
-    while not pending.isEmpty():
-        h *= growth
-        top = h >= 2.0
-        cand = _candidates(pending, places, 4.0 if top else h)
-        nearest = cand.groupBy("itemid").agg(
-            F.min_by(F.struct("dist", "_chord"), F.struct("dist", "placeid")).alias("_b"))
-        ok = nearest if top else nearest.where(F.col("_b._chord") <= h)
-        ok = hold(ok.select("itemid", F.col("_b.dist").alias("distance_backfill")))
-        found.append(ok)
-        if top:
-            break
-        pending = hold(pending.join(ok.select("itemid"), "itemid", "left_anti"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    best = materialize(best, "radius_best")     # read twice
+    far = nearest_pairs(items.join(best.select("itemid"), "itemid", "left_anti"), places, h0)
+    return best.unionByName(far.groupBy("itemid").agg(F.min_by("dist", F.struct("dist", "placeid")).alias("distance_backfill")))
 
 
 def backfill_distance(df: DataFrame, backfill: DataFrame, flag: str = "iscitysearch") -> DataFrame:

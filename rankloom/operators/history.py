@@ -2,21 +2,20 @@
 clicks of the same request removed, the last ``n`` kept.
 
 Scale design. A plain ``Window.partitionBy(user)`` would put a heavy user (a
-bot, a shared device id) whole into one task. Here the user's clicks are cut
-into time buckets (an hour by default):
-
-1. inside a bucket, the ordinary bounded frame ``rowsBetween(-frame, -1)``;
-2. per (user, bucket), the bucket's last ``frame`` clicks (same window, so
-   the same sort);
-3. per (user, bucket), the ``frame`` clicks before the bucket: a window over
-   the small bucket table (one row per user-bucket) that concatenates the
-   tails of the previous ``frame`` non-empty buckets, then keeps the last
-   ``frame``;
-4. history = last ``frame`` of (carry ++ in-bucket list).
+bot, a shared device id) whole into one task. Here the clicks are cut into
+ranges of (user, order), of about the same size however the clicks are spread:
+
+1. inside a (range, user), the ordinary bounded frame ``rowsBetween(-frame, -1)``;
+2. its last ``frame`` clicks are its tail (same window, so the same sort);
+3. the ``frame`` clicks before it: a window over the small table of tails (one
+   row per range and user) that concatenates those of the previous ``frame``
+   ranges of the user, then keeps the last ``frame``;
+4. history = last ``frame`` of (carry ++ list inside the range).
 
 Every list is bounded by ``frame`` (the carry by frame x frame before the
 slice). The result equals the single per-user window exactly, because every
-non-empty bucket adds at least one click.
+range a user appears in adds at least one click. The ranged clicks are written,
+so tails and lists see the same ranges after a lost executor too.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lists import list_mean, list_share, list_std
+from ..session import materialize
 from .assemble import dedup_key
 
 
@@ -32,31 +32,24 @@ def _last(arr: Column, n: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), n)
 
 
-def hour_bucket(df: DataFrame, col: str) -> Column:
-    """Default bucket: the hour of the ordering time (timestamp, or epoch ms)."""
-    t = df.schema[col].dataType.typeName()
-    if t in ("long", "integer", "double", "decimal"):
-        return F.floor(F.col(col) / 3_600_000)
-    return F.date_trunc("hour", F.col(col))
-
-
 def preceding_lists(df: DataFrame, user: str, order: list[str], payload: list[str],
-                    frame: int = 20, bucket: Column | None = None) -> DataFrame:
+                    frame: int = 20, partitions: int | None = None) -> DataFrame:
     """Adds ``_prev``: array of struct(payload) of the ``frame`` rows before each
     row of the same user, oldest first, ordered by ``order`` (a total order)."""
-    if bucket is None:
-        bucket = hour_bucket(df, order[0])
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     item = F.struct(*[F.col(c) for c in payload])
-    df = df.withColumn("_bk", bucket)
-    w = Window.partitionBy(user, "_bk").orderBy(*order)
+    df = materialize(df.repartitionByRange(n, user, *order).withColumn("_bk", F.spark_partition_id()), "click_ranges")
+    w = Window.partitionBy("_bk", user).orderBy(*order)
     df = (df.withColumn("_local", F.collect_list(item).over(w.rowsBetween(-frame, -1)))
-            .withColumn("_tail", F.collect_list(item).over(w.rowsBetween(-(frame - 1), 0)))
-            .withColumn("_rn", F.row_number().over(w))
-            .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(user, "_bk"))))
-    tails = df.where(F.col("_rn") == F.col("_cnt")).select(user, "_bk", "_tail")
+            .withColumn("_end", F.lead(F.lit(1)).over(w).isNull()))
+    tails = df.where("_end").select(user, "_bk", _last(F.concat("_local", F.array(item)), frame).alias("_tail"))
     wb = Window.partitionBy(user).orderBy("_bk").rowsBetween(-frame, -1)
-    carry = tails.select(user, "_bk", _last(F.flatten(F.collect_list("_tail").over(wb)), frame).alias("_carry"))
-    out = df.drop("_tail", "_rn", "_cnt").join(carry, on=[user, "_bk"], how="left")
+    carry = tails.select(F.col(user).alias("_user"), F.col("_bk").alias("_range"),
+                         _last(F.flatten(F.collect_list("_tail").over(wb)), frame).alias("_carry"))
+    # only what starts in an earlier range has a carry
+    carry = carry.where(F.size("_carry") > 0)
+    same = (F.col("_bk") == F.col("_range")) & F.col(user).eqNullSafe(F.col("_user"))
+    out = df.drop("_end").join(carry, same, "left").drop("_user", "_range")
     full = F.concat(F.coalesce(F.col("_carry"), F.array().cast(out.schema["_local"].dataType)), F.col("_local"))
     return out.withColumn("_prev", _last(full, frame)).drop("_local", "_carry", "_bk")
 
@@ -64,12 +57,12 @@ def preceding_lists(df: DataFrame, user: str, order: list[str], payload: list[st
 def click_history(clicks: DataFrame, user: str = "userid", order: tuple = ("ts", "event_id"),
                   request: str = "requestid", fields: tuple = ("itemid", "item_type", "fprice",
                                                                 "distance", "rating"),
-                  frame: int = 20, n: int = 10, bucket: Column | None = None) -> DataFrame:
+                  frame: int = 20, n: int = 10) -> DataFrame:
     """Per click: ``history`` = array<struct(fields)> of the last ``n`` earlier
     clicks of the user that belong to another request (taken from the
     ``frame`` clicks before it)."""
     payload = [request, *fields]
-    df = preceding_lists(clicks, user, list(order), payload, frame, bucket)
+    df = preceding_lists(clicks, user, list(order), payload, frame)
     other = F.filter("_prev", lambda x: ~x[request].eqNullSafe(F.col(request)))
     kept = F.transform(_last(other, n), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
     return df.withColumn("history", kept).drop("_prev")

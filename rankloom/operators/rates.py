@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import safe_ratio
-from ..session import hold
+from ..session import materialize
 
 RATES = ("ctr", "br", "dtob")
 
@@ -117,7 +117,7 @@ def weighted_rates(df: DataFrame, keys: list[str], day: str = "searchdate",
     """
     # the daily aggregate feeds both the date numbering and the window: hold it
     # so the events are scanned and aggregated once
-    counts = hold(daily_counts(df, keys, day, clicked, booked, shown))
+    counts = materialize(daily_counts(df, keys, day, clicked, booked, shown), "daily_counts")
     return rates_of_counts(counts, keys, day, prefix, days, z, lag_days)
 
 

@@ -27,6 +27,40 @@ def q_snk_parquet(spark, sf):
     return finish(spark.read.parquet(d))
 
 
+@register("snk_bucketed", duck_with(["search_request", "search_response"], """SELECT r.requestid, r.cityid, s.itemid, s.fprice
+  FROM search_request r JOIN search_response s USING (requestid)"""))
+def q_snk_bucketed(spark, sf):
+    """Both sides written bucketed by request and read back: the join moves neither."""
+    return finish(bucketed_join(spark, sf))
+
+
+def bucketed_join(spark, sf, buckets: int = 8):
+    sides = []
+    for name in ("search_request", "search_response"):
+        path = scratch_path(spark, f"bucketed_{name}")
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        S.write_bucketed(view(spark, sf, name), table, path, ["requestid"], buckets)
+        sides.append(spark.table(table))
+    r, s = sides
+    return r.select("requestid", "cityid").hint("merge").join(s.select("requestid", "itemid", "fprice"), "requestid").select(
+        "requestid", "cityid", "itemid", "fprice")
+
+
+@register("src_refresh", duck_with(["place"], "SELECT * FROM place"))
+def q_src_refresh(spark, sf):
+    """A catalogued table that is rewritten behind a cached read: after the refresh its old rows are gone."""
+    path = scratch_path(spark, "refreshed")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    places = view(spark, sf, "place")
+    places.withColumn("popularity", F.col("popularity") + 1).write.option("path", path).saveAsTable(table)
+    old = spark.table(table).cache()
+    old.count()
+    places.write.mode("overwrite").parquet(path)
+    L.refresh(spark, [table])
+    old.unpersist()
+    return finish(spark.table(table))
+
+
 STATS = ["fprice", "rating", "distance", "rcount"]
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from contextlib import contextmanager
 
@@ -55,24 +57,27 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_OWN_DIR: dict[str, str] = {}     # by application: the scratch folder of a local session without a setting
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only when it is unset (local tests) a fresh scratch folder is created and
-    registered. Lineage is cut with DataFrame.checkpoint() (never the
-    executor-local variant) or with a written table in this folder.
+    Only when it is unset and the session is local (tests, a plain machine) a fresh
+    scratch folder is made, registered with the context and removed at exit. The setting itself can't
+    be changed in a running session, so the folder is kept here. Lineage is cut with
+    DataFrame.checkpoint() (never the executor-local variant) or with a written table in this folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+        d = _OWN_DIR.get(sc.applicationId)
     if not d:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="rankloom-ckpt-", dir=os.environ.get("RANKLOOM_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    else:
-        spark.sparkContext.setCheckpointDir(d)
+        d = _OWN_DIR[sc.applicationId] = tempfile.mkdtemp(prefix="rankloom-ckpt-", dir=os.environ.get("RANKLOOM_SCRATCH", "/tmp"))
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.setCheckpointDir(d)
     return d
 
 
@@ -81,7 +86,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     machine-local temp dir on a cluster)."""
     import uuid
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete every scratch folder this application has made so far; returns how many.
+
+    For the end of a job: DataFrames that read such a folder can't be used afterwards."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

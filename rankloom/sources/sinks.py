@@ -21,6 +21,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists",
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int,
+                   sort: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """A catalogued table at ``path`` bucketed (and sorted) by ``keys``: tables with the same keys and
+    number of buckets are joined and grouped by these keys without moving either."""
+    w = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*(sort or keys))
+    w.option("path", path).saveAsTable(table)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True) -> None:
     """CSV write (one file per task; statistics tables are one row anyway)."""
     df.write.mode(mode).option("header", str(header).lower()).csv(path)

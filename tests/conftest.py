@@ -14,10 +14,6 @@ def spark():
     from rankloom.session import get_session
     wh = tempfile.mkdtemp(prefix="rankloom-wh-")
     s = get_session("local[4]", 4, extra={"spark.driver.memory": "8g", "spark.sql.warehouse.dir": wh})
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="rankloom-test-")
-        s.conf.set("spark.checkpoint.dir", d)
-        s.sparkContext.setCheckpointDir(d)
     yield s
 
 

@@ -46,10 +46,12 @@ def test_exact_radius_edge(spark):
     # a place exactly 5 km north of the item counts as inside the radius
     dlat = math.degrees(5.0 / EARTH_RADIUS_KM)
     items = spark.createDataFrame([(1, 10.0, 70.0)], "itemid long, lat double, lng double")
-    places = spark.createDataFrame([(1, 10.0 + dlat * 0.999999, 70.0, 0.01), (2, 10.001, 70.0, None)],
-                                   "placeid long, lat double, lng double, conversion double")
-    (r,) = G.place_distance(items, places).collect()
-    assert abs(r.distance_backfill - 5.0) < 1e-3     # the converting place wins over the nearer one
+    for place, inside in ((10.0 + dlat, True), (10.0 + dlat * (1 + 1e-9), False), (10.0 - dlat * (1 - 1e-9), True)):
+        places = spark.createDataFrame([(1, place, 70.0, 0.01), (2, 10.001, 70.0, None)],
+                                       "placeid long, lat double, lng double, conversion double")
+        (r,) = G.place_distance(items, places, max(5.0, hav(10.0, 70.0, 10.0 + dlat, 70.0))).collect()
+        # inside, the converting place wins over the nearer one
+        assert abs(r.distance_backfill - (5.0 if inside else hav(10.0, 70.0, 10.001, 70.0))) < 1e-6
 
 
 def test_duplicate_place_keeps_best_conversion(spark):
@@ -58,3 +60,30 @@ def test_duplicate_place_keeps_best_conversion(spark):
                                    "placeid long, lat double, lng double, conversion double")
     (r,) = G.place_distance(items, places).collect()
     assert abs(r.distance_backfill - hav(10.0, 70.0, 10.02, 70.0)) < 1e-9
+
+
+def test_far_items_meet_few_places(spark):
+    """No item is near a place; each meets the places of the cells that can win, not all of them."""
+    rnd = random.Random(4)
+    places = [(p, rnd.uniform(-80, 80), rnd.uniform(-180, 180), None) for p in range(400)]
+    places += [(1000 + p, 45 + rnd.random() / 100, 9 + rnd.random() / 100, None) for p in range(300)]   # one crowded cell
+    items = [(i, rnd.uniform(-89, 89), rnd.uniform(-180, 180)) for i in range(150)] + [(500, 90.0, 0.0), (501, 0.0, 180.0), (502, 0.0, 0.0)]
+    idf = spark.createDataFrame(items, "itemid long, lat double, lng double")
+    pdf = spark.createDataFrame(places, "placeid long, lat double, lng double, conversion double")
+    pairs = G.nearest_pairs(G._xyz(idf, "lat", "lng"), G._xyz(pdf, "lat", "lng"), G.chord(5.0)).collect()
+    best = {}
+    for r in pairs:
+        best[r.itemid] = min(best.get(r.itemid, (9e9, 0)), (r.dist, r.placeid))
+    want = brute(items, places, radius=-1.0)
+    assert set(best) == set(want) and all(abs(best[k][0] - want[k]) < 1e-6 for k in want)
+    crowded = sum(1 for r in pairs if r.placeid >= 1000)
+    assert len(pairs) - crowded < 3 * len(items)
+
+
+def test_nothing_is_left_persisted(spark):
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    items = spark.createDataFrame([(1, 10.0, 70.0), (2, 50.0, 0.0)], "itemid long, lat double, lng double")
+    places = spark.createDataFrame([(7, 10.01, 70.0, 0.1)], "placeid long, lat double, lng double, conversion double")
+    assert G.place_distance(items, places).count() == 2
+    assert G.place_distance(items, places.limit(0)).count() == 0 and G.place_distance(items.limit(0), places).count() == 0
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before

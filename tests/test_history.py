@@ -57,6 +57,24 @@ def test_buckets_equal_single_window(spark):
     assert got == want
 
 
+def test_one_hot_hour_is_spread(spark):
+    """A user-hour with 40 % of the clicks: cut into ranges of even size, equal to the plain window."""
+    rnd = random.Random(8)
+    rows = [(1, T0 + dt.timedelta(seconds=rnd.randrange(3600)), k, f"q{rnd.randrange(400)}", rnd.randrange(50), 1.0) for k in range(2000)]
+    rows += [(rnd.randrange(2, 300), T0 + dt.timedelta(minutes=rnd.randrange(60 * 24 * 9)), k, f"z{rnd.randrange(900)}", rnd.randrange(50), 2.0)
+             for k in range(2000, 5000)]
+    rnd.shuffle(rows)
+    df = frame(spark, rows)
+    got = {r.event_id: [h.itemid for h in r._prev] for r in
+           H.preceding_lists(df, "userid", ["ts", "event_id"], ["itemid"], 20, partitions=16).collect()}
+    w = Window.partitionBy("userid").orderBy("ts", "event_id").rowsBetween(-20, -1)
+    want = {r.event_id: list(r.p) for r in df.withColumn("p", F.collect_list("itemid").over(w)).collect()}
+    assert got == want
+    sizes = df.repartitionByRange(16, "userid", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()
+    sizes = sorted(r["count"] for r in sizes)
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def test_list_statistics(spark):
     df = spark.createDataFrame([([],), ([1.0],), ([1.0, None],), (None,), ([1.0, 3.0],)], "a array<double>")
     out = df.select(list_mean("a").alias("m"), list_std("a").alias("s"),
