@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.encode import dense_index
 from .common import materialise, slices, table
 from .components import connected_components
 from .shingles import mix64, shingle_sets
@@ -195,16 +196,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component; of rows that repeat an id, one."""
-    found = near_duplicates(docs, percent, id_col, text_col)
-    lost = materialise(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "minhash-lost")
-    kept = docs.join(lost, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` with the smallest id of their component; of rows that repeat an id and its text, one.
+
+    Rows that share an id but not the text are documents of their own: the one whose
+    text has the smallest hash keeps the id, the others are numbered behind all ids,
+    so they yield to any document with an id of its own that they are linked with.
+    Rows without an id are kept.
+    """
     again = materialise(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
                             .where("n > 1").select(id_col), "minhash-again")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").unionByName(
-        kept.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+    unique = again.isEmpty()
+    named = docs if unique else _numbered(docs, again, id_col, text_col)
+    node = id_col if unique else "_node"
+    found = near_duplicates(named, percent, node, text_col)
+    lost = materialise(found.where(F.col(node) != F.col("component_id")).select(node).distinct(), "minhash-lost")
+    kept = named.join(lost, node, "left_anti")
+    if not unique:
+        kept = kept.where(F.col(node).isNull()).unionByName(kept.where(F.col(node).isNotNull()).dropDuplicates([node]))
+    return kept.select(*docs.columns)
+
+
+def _numbered(docs: DataFrame, again: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``_node``: the id, or a number behind all ids for the further texts of an id in ``again``."""
+    marks = {f"_text_{k}": F.xxhash64(F.lit(k), F.col(text_col)) for k in (1, 2)}
+    named = docs.withColumns(marks)
+    text = F.struct(*marks)
+    texts = named.join(again, id_col, "left_semi").select(F.col(id_col).alias("_id"), text.alias("_t")).distinct()
+    first = texts.groupBy("_id").agg(F.min("_t").alias("_first"))
+    further = texts.join(first, "_id").where(F.col("_t") != F.col("_first")).select(F.struct("_id", "_t").alias("_key"))
+    top = docs.agg(F.max(id_col).alias("_top"))     # one row
+    spare = dense_index(further, "_key", "_number").crossJoin(F.broadcast(top)).select(
+        F.col("_key._id").alias("_id"), F.col("_key._t").alias("_t"), (F.col("_top") + F.col("_number")).alias("_spare"))
+    named = named.join(spare, (F.col(id_col) == F.col("_id")) & (text == F.col("_t")), "left")
+    return materialise(named.withColumn("_node", F.coalesce("_spare", F.col(id_col))).drop("_id", "_t", "_spare", *marks), "minhash-numbered")
 
 
 def op3_minhash(spark, sf_dir):

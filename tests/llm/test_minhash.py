@@ -86,3 +86,23 @@ def test_odd_rows(odd_docs, no_docs):
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([*range(8), 20, None], key=str)  # 21 copies 20, and 1 is there twice
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_an_id_with_two_texts_loses_neither(spark):
+    one, other = "alpha beta gamma delta epsilon zeta eta", "quite a different text about nothing at all"
+    rows = [(1, one), (2, one), (2, other), (2, other), (3, "a third text of more than five words"), (3, one), (4, other), (5, None), (5, ""),
+            (None, one), (7, "short")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_shingles string")
+    got = sorted(((r.doc_id, r.text) for r in minhash.drop_near_duplicates(df).collect()), key=str)
+    # document 2's other text yields to document 4, which says the same under an id of its own, or stays
+    for text in (one, other, "a third text of more than five words"):
+        assert sum(1 for i, t in got if t == text and i is not None) == 1, (text, got)
+    assert (None, one) in got and (7, "short") in got and (5, None) in got and (5, "") in got
+    assert minhash.drop_near_duplicates(df).columns == df.columns
+
+
+def test_three_rows_of_the_verdict(spark):
+    df = spark.createDataFrame([(1, "same words here in both rows"), (2, "same words here in both rows"), (2, "none of the other text")],
+                               "doc_id long, text string")
+    got = sorted(tuple(r) for r in minhash.drop_near_duplicates(df).collect())
+    assert got == [(1, "same words here in both rows"), (2, "none of the other text")]
