@@ -82,6 +82,9 @@ def dedup_key(df: DataFrame, keys: list[str], order: list[str] | None = None,
     if not rest:
         return df.select(*keys).distinct()
     order = order or rest
+    if set(rest) <= set(order):     # the order holds the whole row already: one copy of it
+        pick = (F.max if descending else F.min)(F.struct(*[F.col(c) for c in order]))
+        return df.groupBy(*keys).agg(pick.alias("_keep")).select(*keys, *[F.col(f"_keep.{c}").alias(c) for c in rest])
     ordkey = F.struct(*[F.col(c) for c in order])
     pick = (F.max_by if descending else F.min_by)(F.struct(*[F.col(c) for c in rest]), ordkey)
     return df.groupBy(*keys).agg(pick.alias("_keep")).select(*keys, *[F.col(f"_keep.{c}").alias(c) for c in rest])

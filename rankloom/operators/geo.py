@@ -8,7 +8,7 @@ table is the small side) and joined to items on the cell id: an equi-join.
 
 * radius branch: one level, h = chord(radius), then an exact distance filter;
 * nearest branch (items with nothing in the radius): a pyramid of cells, each
-  cut into 4 x 4 x 4 on the next level, empty ones left out. An item starts at
+  cut into 8 x 8 x 8 on the next level, empty ones left out. An item starts at
   the root and keeps, of the children of its cells, those whose least distance
   is not above the smallest greatest distance of any: only such a cell can
   hold the nearest place. It meets the places of its last cells alone.
@@ -25,7 +25,7 @@ from ..functions.geo import EARTH_RADIUS_KM, haversine_km
 from ..session import materialize
 from .assemble import dedup_key
 
-FAN = 4    # children of a pyramid cell on each axis (a power of 2: shifts below are by 2 bits)
+BITS = 3   # a pyramid cell has 2 ** BITS children on each axis
 OFFSETS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
 
 
@@ -76,19 +76,20 @@ def nearest_pairs(items: DataFrame, places: DataFrame, leaf: float) -> DataFrame
     """Every (item, place) pair in which the place can be the item's nearest, with ``dist``.
 
     Both sides carry their point on the unit sphere. Cells of the last level are
-    at most ``leaf`` wide. The two top levels hold at most 64 and 4,096 cells, so
-    they are broadcast; below, Spark decides from the measured size.
+    at most ``leaf`` wide. The top level holds at most 512 cells, so it is
+    broadcast; below, Spark decides from the measured size.
     """
-    levels = max(1, math.ceil(math.log(2 / leaf, FAN)))
-    top = FAN ** levels
+    levels = max(1, math.ceil(math.log2(2 / leaf) / BITS))
+    top = 2 ** (BITS * levels)
     at = {f"_l{a}": F.least(F.floor((F.col(f"_{a}") + 1) / (2 / top)), F.lit(top - 1)).cast("bigint") for a in "xyz"}
     places = places.withColumns(at)
+    leaves = materialize(places.select("_lx", "_ly", "_lz").distinct(), "place_cells")
     kept = items.select("itemid", "lat", "lng", "_x", "_y", "_z", *[F.lit(0).cast("bigint").alias(f"_c{a}") for a in "xyz"])
     for level in range(1, levels + 1):
-        size = 2 / FAN ** level
-        cells = places.select(*[F.shiftright(f"_l{a}", 2 * (levels - level)).alias(f"_n{a}") for a in "xyz"]).distinct()
-        cells = cells.withColumns({f"_c{a}": F.shiftright(f"_n{a}", 2) for a in "xyz"})
-        kept = kept.join(F.broadcast(cells) if level <= 2 else cells, ["_cx", "_cy", "_cz"])
+        size = 2 / 2 ** (BITS * level)
+        cells = leaves.select(*[F.shiftright(f"_l{a}", BITS * (levels - level)).alias(f"_n{a}") for a in "xyz"]).distinct()
+        cells = cells.withColumns({f"_c{a}": F.shiftright(f"_n{a}", BITS) for a in "xyz"})
+        kept = kept.join(F.broadcast(cells) if level == 1 else cells, ["_cx", "_cy", "_cz"])
         kept = kept.withColumns({f"_c{a}": F.col(f"_n{a}") for a in "xyz"}).drop("_nx", "_ny", "_nz")
         boxes = [_box(a, size) for a in "xyz"]
         kept = kept.withColumns({"_low": sum(b[0] * b[0] for b in boxes), "_high": sum(b[1] * b[1] for b in boxes)})

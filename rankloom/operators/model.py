@@ -12,17 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import auc
+from .ranges import auc, running
 
 CLASS_WEIGHTS = {0: 1.0, 1: 175.0}   # fixed values: weight of no-action vs booked candidates
 L2 = 0.01
 DEEP_LAYERS = [64, 32, 16, 8]
 
 
-def shuffled(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
-    """Rows in a seeded random order that does not depend on how they arrive:
-    sorted by a hash of the ``keys``, then by the keys (a range sort, no single task)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+def shuffle_positions(df: DataFrame, keys: list[str], seed: int = 42, out: str = "position") -> DataFrame:
+    """Rows with their place (from 1) in a seeded random order that does not depend on how they arrive:
+    the order of a hash of the ``keys``, which name a row, then of the keys. Sort by it before a learner that needs it."""
+    text = F.concat_ws("_", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    df = df.withColumns({"_order": F.concat_ws("_", F.md5(text), text), "_one": F.lit(1)})
+    df = running(df, "_order", ["_one"])
+    return df.withColumn(out, F.col("before__one") + 1).drop("_order", "_one", "before__one")
 
 
 def report(pred: DataFrame, label: str = "label", score_col: str = "score",

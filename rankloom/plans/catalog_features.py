@@ -325,7 +325,7 @@ def q_vocab(spark, sf):
 
 @register("features_full")
 def q_features_full(spark, sf):
-    """The whole training table (rows-only check; every stage has its own oracle)."""
+    """The whole training table; every stage has its own oracle besides."""
     return finish(training(spark, sf))
 
 

@@ -82,7 +82,7 @@ def full_sql(sample_dir: str) -> str:
                f"lambda x: (x - ({mean})) * (x - ({mean})))), 0) / (len({lst}) + 1e-8)) END")
         stats += [f"{mean} AS clicked_{f}_list_10", f"{std} AS clicked_{f}_list_10_std"]
     share = ("CASE WHEN {v} IS NULL OR h IS NULL THEN NULL ELSE "
-             "len(list_filter({l}, lambda x: CAST(x AS DOUBLE) = CAST({v} AS DOUBLE))) / (len(h) + 1e-8) END")
+             "len(list_filter({l}, lambda x: x = {v})) / (len(h) + 1e-8) END")
     ratio = ", ".join(f"CASE WHEN avg({c}) OVER (PARTITION BY requestid) = 0 THEN NULL "
                       f"ELSE {c} / avg({c}) OVER (PARTITION BY requestid) END AS {c}_ratio"
                       for c in ("fprice", "rating", "distance", "discount_per"))
@@ -103,20 +103,21 @@ cnt AS (SELECT count(*) AS n FROM vals),
 qs AS (SELECT DISTINCT x AS q FROM (SELECT x, row_number() OVER (ORDER BY x) AS rn FROM vals), cnt WHERE rn IN ({ranks})),
 b10 AS (SELECT *, CAST(CASE WHEN distance IS NULL THEN NULL ELSE (SELECT count(*) FROM qs WHERE q <= distance) END
                        AS DOUBLE) AS distance_buckets FROM b9),
-req AS (SELECT requestid, any_value(cityid) AS cityid, any_value(clicked_itemid_list_10) AS ids,
-               any_value(clicked_item_type_list_10) AS types FROM b10 GROUP BY requestid),
+req AS (SELECT requestid, cityid, any_value(clicked_itemid_list_10) AS ids,
+               any_value(clicked_item_type_list_10) AS types FROM b10 GROUP BY requestid, cityid),
 vi AS (SELECT DISTINCT itemid AS v, cityid AS c FROM b10),
 vt AS (SELECT DISTINCT item_type AS v, cityid AS c FROM b10),
 xi AS (SELECT requestid, cityid, unnest(ids) AS v, generate_subscripts(ids, 1) AS p FROM req),
 xt AS (SELECT requestid, cityid, unnest(types) AS v, generate_subscripts(types, 1) AS p FROM req),
-ki AS (SELECT x.requestid, list(CASE WHEN vi.v IS NOT NULL THEN x.v ELSE 0 END ORDER BY x.p) AS ki
-         FROM xi x LEFT JOIN vi ON vi.v = x.v AND vi.c = x.cityid GROUP BY x.requestid),
-kt AS (SELECT x.requestid, list(CASE WHEN vt.v IS NOT NULL THEN x.v ELSE 0 END ORDER BY x.p) AS kt
-         FROM xt x LEFT JOIN vt ON vt.v = x.v AND vt.c = x.cityid GROUP BY x.requestid),
-k AS (SELECT req.requestid, COALESCE(ki.ki, []) AS ki, COALESCE(kt.kt, []) AS kt
-        FROM req LEFT JOIN ki USING (requestid) LEFT JOIN kt USING (requestid))
+ki AS (SELECT x.requestid, x.cityid, list(CASE WHEN vi.v IS NOT NULL THEN x.v ELSE 0 END ORDER BY x.p) AS ki
+         FROM xi x LEFT JOIN vi ON vi.v = x.v AND vi.c = x.cityid GROUP BY x.requestid, x.cityid),
+kt AS (SELECT x.requestid, x.cityid, list(CASE WHEN vt.v IS NOT NULL THEN x.v ELSE 0 END ORDER BY x.p) AS kt
+         FROM xt x LEFT JOIN vt ON vt.v = x.v AND vt.c = x.cityid GROUP BY x.requestid, x.cityid),
+k AS (SELECT req.requestid AS rq, req.cityid AS rc, COALESCE(ki.ki, []) AS ki, COALESCE(kt.kt, []) AS kt FROM req
+        LEFT JOIN ki ON ki.requestid = req.requestid AND ki.cityid IS NOT DISTINCT FROM req.cityid
+        LEFT JOIN kt ON kt.requestid = req.requestid AND kt.cityid IS NOT DISTINCT FROM req.cityid)
 SELECT b10.* EXCLUDE (clicked_itemid_list_10, clicked_item_type_list_10), {pos_ids}, {pos_types}
-  FROM b10 LEFT JOIN k USING (requestid)"""
+  FROM b10 LEFT JOIN k ON k.rq = b10.requestid AND k.rc IS NOT DISTINCT FROM b10.cityid"""
     return duck_with(VIEWS, body)
 
 

@@ -48,7 +48,10 @@ def prepare(raw: DataFrame, request_place: DataFrame, places: DataFrame, start=N
     df = clean_log(raw, start, dedup)
     df = A.replace_place(df, L.read_request_place(request_place))
     pop = A.place_popularity(places).select("placeid", "place_popularity_score")
-    return df.join(pop, on="placeid", how="left")
+    # requests without a place would all meet on one null key: they carry a key of their own that no place has
+    key = F.coalesce(F.col("placeid").cast("string"), F.concat(F.lit("none "), F.col("requestid").cast("string")))
+    pop = pop.select(F.col("placeid").cast("string").alias("_place"), "place_popularity_score")
+    return df.withColumn("_key", key).join(pop, F.col("_key") == F.col("_place"), "left").drop("_key", "_place")
 
 
 def with_rates(df: DataFrame, all_data: DataFrame, lag_days: int = 0) -> DataFrame:

@@ -57,10 +57,25 @@ def test_ranges_do_not_rest_on_a_cache(spark):
 
 def test_shuffle_is_seeded_and_whatever_the_arrival(spark):
     df = spark.range(500)
-    a = [r.id for r in model.shuffled(df, ["id"]).collect()]
-    b = [r.id for r in model.shuffled(df.orderBy(F.desc("id")).repartition(7), ["id"]).collect()]
-    c = [r.id for r in model.shuffled(df, ["id"], seed=1).collect()]
-    assert a == b and sorted(a) == list(range(500)) and a != c and a != sorted(a)
+    places = lambda rows, **more: {r.id: r.position for r in model.shuffle_positions(rows, ["id"], **more).collect()}
+    a, b, c = places(df), places(df.orderBy(F.desc("id")).repartition(7)), places(df, seed=1)
+    assert a == b and sorted(a.values()) == list(range(1, 501)) and a != c and a != {k: k + 1 for k in range(500)}
+
+
+def test_requests_without_a_place_do_not_meet_on_one_key(spark):
+    from rankloom.plans import pipeline
+    raw = spark.createDataFrame([(f"r{k}", "u", 0, "2020", 1_580_000_000_000, 3) for k in range(64)],
+                                "requestid string, userid string, nearbysearch int, inserted_at string, searchtime long, placeid long")
+    places = spark.createDataFrame([(7, 0.1, 100)], "placeid long, conversion double, popularity long")
+    which = spark.createDataFrame([(f"r{k}", 7 if k % 2 else None) for k in range(64)], "requestid string, placeid long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = pipeline.prepare(raw, which, places)
+        assert "_key" in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.requestid: (r.placeid, r.place_popularity_score is None) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {f"r{k}": ((7, False) if k % 2 else (None, True)) for k in range(64)}
 
 
 def test_realised_flag_keeps_events_without_a_booking(spark):
