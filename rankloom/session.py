@@ -70,11 +70,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if not d:
-        d = _OWN_DIR.get(sc.applicationId)
     if not d:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = _OWN_DIR.get(sc.applicationId)
+    if not d:
         d = _OWN_DIR[sc.applicationId] = tempfile.mkdtemp(prefix="rankloom-ckpt-", dir=os.environ.get("RANKLOOM_SCRATCH", "/tmp"))
         atexit.register(shutil.rmtree, d, ignore_errors=True)
     sc.setCheckpointDir(d)
