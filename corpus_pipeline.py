@@ -23,7 +23,8 @@ from rankloom.llm.common import materialise, prepare, table, word_count
 
 
 def drop_toxic(spark, docs, sf_dir):
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    model, counted = toxicity.fit_counted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(counted, model)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +49,23 @@ PRIOR = 2.0  # weight of the label share in a vote
 _WORD = re.compile(r"\w+").findall
 
 
-def words(text: str | None) -> list[str]:
-    """Terms of a text: its lower-cased words, their stems (first STEM letters), and the dense stems.
+def term_counts(text: str | None) -> dict[str, int]:
+    """Terms of a text with their counts: its lower-cased words, their stems (first STEM letters), and the dense stems.
 
     A stem is dense when it comes twice or more and in DENSE % of the words or
     more; a rate marks a text where a single chance occurrence does not.
     """
-    found = _WORD(text.lower()) if text else []
-    stems = ["^" + w[:STEM] for w in found if len(w) >= STEM]
-    return found + stems + [t + "+" for t, n in Counter(stems).items() if n > 1 and 100 * n >= DENSE * len(found)]
+    if not text:
+        return {}
+    found = _WORD(text.lower())
+    counts, stems = Counter(found), {}
+    for w, n in counts.items():
+        if len(w) >= STEM:
+            s = "^" + w[:STEM]
+            stems[s] = stems.get(s, 0) + n
+    least = max(2, DENSE * len(found) / 100)
+    dense = {t + "+": 1 for t, n in stems.items() if n >= least}
+    return {**counts, **stems, **dense}
 
 
 def held_out(id_col) -> Column:
@@ -66,7 +74,36 @@ def held_out(id_col) -> Column:
 
 def _known(text: str | None, terms: dict[str, int]) -> dict[int, int]:
     """Number and count of the known terms of a text."""
-    return {terms[w]: n for w, n in Counter(words(text)).items() if w in terms}
+    return {terms[w]: n for w, n in term_counts(text).items() if w in terms}
+
+
+def count_known(docs: DataFrame, terms: dict[str, int], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns without it) of every row, with ``_terms`` and ``_counts``: the known terms of its text.
+
+    The texts are tokenised here and nowhere else; document frequencies and scores read the numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    keep = docs.columns if keep is None else keep
+    df = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    at = len(keep)
+
+    def run(batches):
+        for b in slices(batches, text=at):
+            counts = [_known(t, shared.value) for t in b.column(at).to_pylist()]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counts])]), pa.int32())
+            flat = [pa.array([x for c in counts for x in part(c)], pa.int32()) for part in (dict.keys, dict.values)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *[pa.ListArray.from_arrays(ends, f) for f in flat]],
+                                             [*keep, "_terms", "_counts"])
+
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
+    return df.mapInArrow(run, ", ".join([*kinds, "_terms array<int>", "_counts array<int>"]))
+
+
+def _lists(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(terms, counts) of each row of a batch with ``_terms`` and ``_counts``."""
+    terms, counts = batch.column("_terms"), batch.column("_counts")
+    ends = np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    flat = [pc.list_flatten(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (terms, counts)]
+    return list(zip(*[np.split(f, ends[:-1]) for f in flat]))
 
 
 def packed(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +158,11 @@ class Index:
             inner[n, at[at >= 0]] = w[at >= 0]
             terms, w = terms[at < 0], w[at < 0]
             lo, hi = self.first[terms], self.first[terms + 1]
-            parts = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist())]
-            if parts:
-                out[n] = np.bincount(np.concatenate([self.at[p] for p in parts]),
-                                     np.concatenate([self.unit[p] for p in parts]) * np.repeat(w, hi - lo), len(self.ids))
+            long = hi - lo
+            ends = np.cumsum(long)
+            if len(ends) and ends[-1]:  # the lists one after another
+                some = np.repeat(lo - ends + long, long) + np.arange(ends[-1])
+                out[n] = np.bincount(self.at[some], self.unit[some] * np.repeat(w, long), len(self.ids))
         return out + inner @ self.table
 
     def nearest(self, counts: dict[int, int], k: int = NEAREST, without: int = -1) -> list[tuple[int, float]]:
@@ -153,15 +191,15 @@ class Model:
         labels = self.index.labels[[n for n, _ in near]]
         return float(((votes * labels).sum() + PRIOR * self.share) / (votes.sum() + PRIOR))
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
-        """Calibrated score and its evidence (examples and cosines) of each text."""
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """Calibrated score and its evidence (examples and cosines) of each text, given as the numbers and counts of its terms."""
         if self.index is None:
-            return [(self.share, [])] * len(texts)
+            return [(self.share, [])] * len(counted)
         out = []
-        for first in range(0, len(texts), TOGETHER):
-            known = [_known(t, self.terms) for t in texts[first:first + TOGETHER]]
-            rows = iter(self.index.cosines([packed(c) for c in known if c]))
-            for near in (self.index.closest(next(rows)) if c else [] for c in known):
+        for first in range(0, len(counted), TOGETHER):
+            known = counted[first:first + TOGETHER]
+            rows = iter(self.index.cosines([c for c in known if len(c[0])]))
+            for near in (self.index.closest(next(rows)) if len(c[0]) else [] for c in known):
                 out.append((float(np.interp(self.raw(near), *self.steps)), near) if near else (self.blank, []))
         return out
 
@@ -203,7 +241,7 @@ def count_terms(examples: DataFrame) -> pa.Table:
     """term, toxic and clean: in how many examples of each class every term stands."""
     def run(batches):
         for b in slices(batches, text=0):
-            rows = [sorted(set(words(t))) for t in b.column("text").to_pylist()]
+            rows = [sorted(term_counts(t)) for t in b.column("text").to_pylist()]
             labels = np.repeat(b.column("label").to_numpy(zero_copy_only=False), [len(r) for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([w for r in rows for w in r], pa.string()),
                                               pa.array(labels, pa.int32())], ["term", "label"])
@@ -213,58 +251,52 @@ def count_terms(examples: DataFrame) -> pa.Table:
     return counts.toArrow().sort_by("term")
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> tuple[np.ndarray, int]:
+def document_frequencies(counted: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """Documents that hold each term, and all documents: partial counts of each task are summed by Spark."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
     def run(batches):
-        known, n = shared.value, 0
-        seen = np.zeros(len(known), dtype=np.int64)
-        for b in slices(batches, text=0):
-            for text in b.column(0).to_pylist():
-                seen[[known[w] for w in set(words(text)) if w in known]] += 1
+        seen, n = np.zeros(n_terms, dtype=np.int64), 0
+        for b in slices(batches, 4096):
+            seen += np.bincount(pc.list_flatten(b.column(0)).to_numpy(zero_copy_only=False), minlength=n_terms)
             n += b.num_rows
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], n), pa.int64())],
                                          ["term", "n"])
 
-    rows = (docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term int, n long")
-                .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
+    rows = (counted.select("_terms").mapInArrow(run, "term int, n long")
+                   .groupBy("term").agg(F.sum("n").alias("n")).toArrow())
     at, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
-    out = np.zeros(len(terms), dtype=np.int64)
+    out = np.zeros(n_terms, dtype=np.int64)
     out[at[at >= 0]] = n[at >= 0]
     return out, int(n[at < 0].sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of ``docs`` (texts) and ``labels`` (id, toxic)."""
+    return fit_counted(docs, labels, id_col, text_col, [])[0]
+
+
+def fit_counted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                keep: list[str] | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the written rows it counted (``count_known``), ready to be scored."""
     drawn, total = draw(labels, id_col)
     everyone = sum(total.values())
     share = total.get(1, 0) / everyone if everyone else 0.0
     if not total.get(0) or not total.get(1):
-        return Model({}, None, share)
+        return _nothing(docs, share, text_col, keep)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     examples = materialise(texts.join(F.broadcast(drawn), "id"), "toxicity-examples")  # at most 2 * EXAMPLES ids
     drawn_of = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not drawn_of.get(0) or not drawn_of.get(1):
-        return Model({}, None, share)
+        return _nothing(docs, share, text_col, keep)
     counted = count_terms(examples)
     terms = {w: n for n, w in enumerate(counted.column("term").to_pylist())}
-    seen, n_docs = document_frequencies(docs, terms, text_col)
+    counted_docs = materialise(count_known(docs, terms, text_col, keep), "toxicity-terms")
+    seen, n_docs = document_frequencies(counted_docs, len(terms))
     toxic, clean = (counted.column(c).to_numpy().astype(np.float64) for c in ("toxic", "clean"))
     idf = np.log((1 + n_docs) / (1 + seen)) + 1
     idf *= 1 + surprise(toxic, clean, drawn_of[1] / (drawn_of[0] + drawn_of[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def run(batches):
-        for b in slices(batches):
-            counts = [_known(t, shared.value) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.int32())),
-                 pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
-
     # the bounded sample with all its terms
-    rows = examples.select("id", "label", "text").mapInArrow(run, "id long, label int, terms array<int>, counts array<int>").toArrow()
+    rows = count_known(examples, terms, "text", ["id", "label"]).withColumnsRenamed({"_terms": "terms", "_counts": "counts"}).toArrow()
     lengths = pc.list_value_length(rows.column("terms")).to_numpy()
     labels = rows.column("label").to_numpy()
     weight = {c: total[c] / drawn_of[c] for c in (0, 1)}
@@ -273,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     blank = (none[1] + floor * share) / (none[0] + none[1] + floor)
     held = rows.filter(pa.array(lengths > 0))
     if not held.num_rows:
-        return Model({}, None, share)
+        return _nothing(docs, share, text_col, keep)
     held = held.sort_by("id")
     lengths = pc.list_value_length(held.column("terms")).to_numpy()
     at, counts = (pc.list_flatten(held.column(c)).to_numpy().astype(np.int64) for c in ("terms", "counts"))
@@ -289,41 +321,62 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         near = [index.closest(row, without=k) for k, row in zip(some, score)]
         left_out += [model.raw(found) if found else share for found in near]
     model.steps = monotone(np.array(left_out), y, w)
-    return model
+    return model, counted_docs
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, predicted and evidence (nearest examples with their cosine) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _nothing(docs: DataFrame, share: float, text_col: str, keep: list[str] | None) -> tuple[Model, DataFrame]:
+    """The model without examples: every text scores ``share``."""
+    return Model({}, None, share), count_known(docs, {}, text_col, keep)
+
+
+def _shared(docs: DataFrame, model: Model):
+    """The model without its vocabulary: what scoring needs of it."""
+    return docs.sparkSession.sparkContext.broadcast(replace(model, terms={}))
+
+
+def score_counted(counted: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """id, score, predicted and evidence (nearest examples with their cosine) of every counted row."""
+    shared = _shared(counted, model)
     near = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())]))
 
     def run(batches):
         m = shared.value
-        for b in slices(batches, text=1):
-            out = m.scores(b.column(1).to_pylist())
+        for b in slices(batches, 256):
+            out = m.scores(_lists(b))
             evidence = [[{"id": int(m.index.ids[n]), "cosine": s} for n, s in e[:3]] for _, e in out]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()),
                                               pa.array(evidence, near)], [id_col, "score", "evidence"])
 
-    df = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    kind = df.schema[id_col].dataType.simpleString()
-    scored = df.mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<struct<id:bigint,cosine:double>>")
+    kind = counted.schema[id_col].dataType.simpleString()
+    scored = counted.select(id_col, "_terms", "_counts").mapInArrow(
+        run, f"`{id_col}` {kind}, score double, evidence array<struct<id:bigint,cosine:double>>")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` the model does not call toxic, unchanged."""
-    at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``score_counted`` of rows that the model has not counted."""
+    return score_counted(count_known(docs, model.terms, text_col, [id_col]), model, id_col)
+
+
+def keep_clean(counted: DataFrame, model: Model) -> DataFrame:
+    """The counted rows the model does not call toxic, without the counts."""
+    shared = _shared(counted, model)
+    columns = [c for c in counted.columns if c not in ("_terms", "_counts")]
 
     def run(batches):
-        for b in slices(batches, text=at):
-            yield b.filter(pa.array([p < THRESHOLD for p, _ in shared.value.scores(b.column(at).to_pylist())], pa.bool_()))
+        for b in slices(batches, 256):
+            clean = pa.array([p < THRESHOLD for p, _ in shared.value.scores(_lists(b))], pa.bool_())
+            yield b.select(columns).filter(clean)
 
-    return docs.mapInArrow(run, docs.schema)
+    return counted.mapInArrow(run, counted.select(*columns).schema)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` the model does not call toxic, unchanged."""
+    return keep_clean(count_known(docs, model.terms, text_col), model)
 
 
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return score_texts(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    model, counted = fit_counted(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return score_counted(counted, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
