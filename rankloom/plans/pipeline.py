@@ -2,8 +2,7 @@
 
 ``training_table`` runs jobs while it is built: it writes the pulled table and
 the feature stage into the cluster's checkpoint folder (``cut_lineage``), which
-is how a long lineage survives lost executors, and settles the distance levels
-one after another.
+is how a long lineage survives lost executors.
 """
 
 from __future__ import annotations
