@@ -1,24 +1,27 @@
 """Operator 8: toxicity by the nearest labelled examples.
 
-Fit. At most ``EXAMPLES`` labelled rows of each class are drawn by a seeded
+Fit. At most ``EXAMPLES`` labelled ids of each class are drawn by a seeded
 hash (a documented bound; labels come only from rows whose crc32 of the id as
-text mod 3 is not 1). Every drawn example is kept with all its terms. A term
-weighs its inverse document frequency, which counts all documents, times one
-plus the nats by which its share of toxic examples differs from that of all,
-so terms that mark either class lead and none is left out.
-
-Score. A text's vector over those terms is compared with every example by
-exact cosine through an inverted index (ties at the last of the k best places
-all count).
-Their votes, weighted by closeness, are mapped to a probability by a monotone
-curve fitted on the examples themselves, each left out in turn.
+text mod 3 is not 1). Every drawn example is kept with all its terms, the
+stems of its words; a term weighs its count times its inverse document
+frequency, which counts all documents. Labels have no part in the weights.
+
+Score. A text is compared by exact TF-IDF cosine through a block-max inverted
+index: similar examples share a block and every term's list holds the largest
+component in each block. The commonest terms, a table, give a part of every
+cosine; that part and the largest components bound a block, and blocks that
+stay below the k-th best of the parts are never opened (ties at the last
+of the k best places all count). The neighbours' votes, weighted by closeness,
+are mapped to a probability by a monotone curve fitted on the examples
+themselves, each left out in turn.
 
 Only the bounded model is broadcast; texts are scored whole, where they are
 scanned, without a shuffle. The id is never an input of a score.
 
 Defined results: null and empty texts and those without a known term get the
-label share of the examples without words; repeated rows are scored each; several labels of one id
-count as toxic if any says so; without labels of both classes every score is
+label share of the examples without terms; repeated rows are scored each; several
+labels of one id count as toxic if any says so; an id with several texts gives one
+example, its smallest text; without labels of both classes every score is
 the share of toxic labels (0 without any); no rows give no rows.
 """
 
@@ -40,32 +43,23 @@ EXAMPLES = 3000
 NEAREST = 15
 THRESHOLD = 0.7
 SEED = 11
-STEM = 5
-DENSE = 1
-HEAVY = 128  # terms held as a table, which bounds its size
+SHORTEST, STEM = 4, 5  # letters of the shortest words and of a stem
+BLOCK = 16  # examples of a block
+HEAVY = 512  # terms held as a table, which bounds its size
 TOGETHER = 64  # texts scored in one product
+ROUNDING = 1e-9  # how far below the k-th best cosine a block's bound may lie and still be opened
 PRIOR = 2.0  # weight of the label share in a vote
 
 _WORD = re.compile(r"\w+").findall
 
 
 def term_counts(text: str | None) -> dict[str, int]:
-    """Terms of a text with their counts: its lower-cased words, their stems (first STEM letters), and the dense stems.
-
-    A stem is dense when it comes twice or more and in DENSE % of the words or
-    more; a rate marks a text where a single chance occurrence does not.
-    """
-    if not text:
-        return {}
-    found = _WORD(text.lower())
-    counts, stems = Counter(found), {}
-    for w, n in counts.items():
-        if len(w) >= STEM:
-            s = "^" + w[:STEM]
-            stems[s] = stems.get(s, 0) + n
-    least = max(2, DENSE * len(found) / 100)
-    dense = {t + "+": 1 for t, n in stems.items() if n >= least}
-    return {**counts, **stems, **dense}
+    """Terms of a text with their counts: the first STEM letters of each lower-cased word of SHORTEST or more."""
+    stems: dict[str, int] = {}
+    for w, n in Counter(_WORD(text.lower())).items() if text else ():
+        if len(w) >= SHORTEST:
+            stems[w[:STEM]] = stems.get(w[:STEM], 0) + n
+    return stems
 
 
 def held_out(id_col) -> Column:
@@ -112,17 +106,26 @@ def packed(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Examples as unit vectors in one posting list of each term."""
+    """Examples as unit vectors in a block-max inverted index.
+
+    Examples stand in an order in which similar ones are neighbours, BLOCK of them
+    a block. The terms with the longest lists are a table; every other term's list
+    is cut at block borders, and an entry is one (term, block) with the largest
+    component there and the place of its postings.
+    """
 
     idf: np.ndarray  # weight of each term
     labels: np.ndarray
     weights: np.ndarray
     ids: np.ndarray
-    first: np.ndarray  # of each term: where its list starts
-    at: np.ndarray  # examples of the lists
+    first: np.ndarray  # of each term: its first entry
+    block: np.ndarray  # of each entry: its block
+    top: np.ndarray  # and its largest component
+    open: np.ndarray  # and its first posting
+    at: np.ndarray  # examples of the postings
     unit: np.ndarray  # their components
     place: np.ndarray  # of each term: its row in the table, or -1
-    table: np.ndarray  # components of the terms with the longest lists, for every example
+    table: np.ndarray  # components of the terms with the longest lists, for every example, whole blocks
 
     @classmethod
     def build(cls, vectors: list[dict[int, int]], idf, labels, weights, ids) -> Index:
@@ -132,52 +135,85 @@ class Index:
     @classmethod
     def packed(cls, lengths: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf, labels, weights, ids) -> Index:
         """Of the examples' terms and counts, one example after another; none is empty."""
-        w = (1 + np.log(counts)) * idf[terms]
-        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        w /= np.sqrt(np.bincount(row, w * w, len(lengths)))[row]
-        n = np.bincount(terms, minlength=len(idf))
-        heavy = np.argsort(-n, kind="stable")[:HEAVY]
+        n = len(lengths)
+        w = counts * idf[terms]
+        row = np.repeat(np.arange(n), lengths)
+        w /= np.sqrt(np.bincount(row, w * w, n))[row]
+        heaviest = terms[np.lexsort((terms, -w, row))]  # each example's terms by falling component
+        start = np.cumsum(lengths) - lengths
+        order = np.lexsort([heaviest[start + np.minimum(k, lengths - 1)] for k in (2, 1, 0)])
+        seat = np.empty(n, dtype=np.int64)
+        seat[order] = np.arange(n)
+        row = seat[row]
+        heavy = np.argsort(-np.bincount(terms, minlength=len(idf)), kind="stable")[:HEAVY]
         place = np.full(len(idf), -1)
         place[heavy] = np.arange(len(heavy))
-        table = np.zeros((len(heavy), len(lengths)))
+        table = np.zeros((len(heavy), -(-n // BLOCK) * BLOCK))
         listed = place[terms] < 0
         table[place[terms[~listed]], row[~listed]] = w[~listed]
         terms, row, w = terms[listed], row[listed], w[listed]
-        order = np.argsort(terms, kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(idf)))])
-        return cls(idf, labels, weights, ids, first, row[order], w[order], place, table)
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """(queries, examples) cosines of (terms, counts) with every example."""
-        out = np.zeros((len(queries), len(self.ids)))
-        inner = np.zeros((len(queries), len(self.table)))
+        by_term = np.lexsort((row, terms))
+        terms, row, w = terms[by_term], row[by_term], w[by_term]
+        block = row // BLOCK
+        opens = np.flatnonzero(np.append(len(w) > 0, (np.diff(terms) != 0) | (np.diff(block) != 0))[:len(w)])
+        first = np.concatenate([[0], np.cumsum(np.bincount(terms[opens], minlength=len(idf)))])
+        top = np.maximum.reduceat(w, opens) if len(w) else w
+        return cls(idf, labels[order], weights[order], ids[order], first, block[opens], top, np.append(opens, len(w)), row, w,
+                   place, table)
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int | None = NEAREST,
+                without: list[int] | None = None) -> np.ndarray:
+        """(queries, examples) cosines of (terms, counts), exact in every block that may hold one of the k best.
+
+        What the table's terms add is known exactly, and what a block's lists can add at most. Where the two stay below
+        the k-th largest of the former, the block is not opened, and holds none of the k best; without ``k`` all are.
+        ``without`` names an example for each query that is no neighbour of it.
+        """
+        inner, lists = np.zeros((len(queries), len(self.table))), []
         for n, (terms, counts) in enumerate(queries):
-            w = (1 + np.log(counts)) * self.idf[terms]
+            w = counts * self.idf[terms]
             w /= np.sqrt((w * w).sum())
             at = self.place[terms]
             inner[n, at[at >= 0]] = w[at >= 0]
-            terms, w = terms[at < 0], w[at < 0]
+            lists.append((terms[at < 0], w[at < 0]))
+        out = inner @ self.table
+        if without is not None:
+            out[np.arange(len(out)), without] = 0
+        size = len(self.ids)
+        largest = out.reshape(len(out), -1, BLOCK).max(axis=2)
+        least = np.partition(out, -k, axis=1)[:, -k] if k is not None and size > k else np.zeros(len(out))
+        for n, (terms, w) in enumerate(lists):
             lo, hi = self.first[terms], self.first[terms + 1]
-            long = hi - lo
-            ends = np.cumsum(long)
-            if len(ends) and ends[-1]:  # the lists one after another
-                some = np.repeat(lo - ends + long, long) + np.arange(ends[-1])
-                out[n] = np.bincount(self.at[some], self.unit[some] * np.repeat(w, long), len(self.ids))
-        return out + inner @ self.table
-
-    def nearest(self, counts: dict[int, int], k: int = NEAREST, without: int = -1) -> list[tuple[int, float]]:
+            entry, w = _runs(lo, hi), np.repeat(w, hi - lo)
+            block = self.block[entry]
+            ceiling = largest[n] + np.bincount(block, self.top[entry] * w, largest.shape[1])
+            some = np.flatnonzero((ceiling >= least[n] - ROUNDING)[block])
+            entry, w = entry[some], w[some]
+            lo, hi = self.open[entry], self.open[entry + 1]
+            posting = _runs(lo, hi)
+            out[n] += np.bincount(self.at[posting], self.unit[posting] * np.repeat(w, hi - lo), out.shape[1])
+        if without is not None:
+            out[np.arange(len(out)), without] = 0
+        return out[:, :size]
+
+    def nearest(self, counts: dict[int, int], k: int = NEAREST) -> list[tuple[int, float]]:
         """(example, cosine) of the k nearest with a common term, ties at the last place included."""
-        return self.closest(self.cosines([packed(counts)])[0], k, without) if counts else []
+        return self.closest(self.cosines([packed(counts)], k)[0], k) if counts else []
 
     @staticmethod
-    def closest(score: np.ndarray, k: int = NEAREST, without: int = -1) -> list[tuple[int, float]]:
-        if without >= 0:
-            score[without] = 0
+    def closest(score: np.ndarray, k: int = NEAREST) -> list[tuple[int, float]]:
         least = np.partition(score, -k)[-k] - 1e-12 if len(score) > k else 0.0
         found = np.flatnonzero((score >= least) & (score > 0))
         return [(int(n), float(score[n])) for n in found[np.argsort(-score[found], kind="stable")]]
 
 
+def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges lo to hi, one range after another."""
+    long = hi - lo
+    ends = np.cumsum(long)
+    return np.repeat(lo - ends + long, long) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Model:
     terms: dict[str, int]
@@ -230,25 +266,14 @@ def draw(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") ->
     return materialise(some[0].unionByName(some[1]), "toxicity-drawn"), total
 
 
-def surprise(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
-    """Nats by which the toxic share of each term's examples differs from ``share``."""
-    n = toxic + clean
-    part = lambda x, y: x * np.log(np.where(x > 0, x, n) / (n * y))
-    return np.maximum(part(toxic, share) + part(clean, 1 - share), 0)
-
-
-def count_terms(examples: DataFrame) -> pa.Table:
-    """term, toxic and clean: in how many examples of each class every term stands."""
+def vocabulary(examples: DataFrame) -> list[str]:
+    """Every term of the examples, sorted."""
     def run(batches):
         for b in slices(batches, text=0):
-            rows = [sorted(term_counts(t)) for t in b.column("text").to_pylist()]
-            labels = np.repeat(b.column("label").to_numpy(zero_copy_only=False), [len(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([w for r in rows for w in r], pa.string()),
-                                              pa.array(labels, pa.int32())], ["term", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0).to_pylist() for w in term_counts(t)}),
+                                                       pa.string())], ["term"])
 
-    counts = examples.select("text", "label").mapInArrow(run, "term string, label int").groupBy("term").agg(
-        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    return counts.toArrow().sort_by("term")
+    return sorted(examples.select("text").mapInArrow(run, "term string").distinct().toArrow().column(0).to_pylist())
 
 
 def document_frequencies(counted: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -284,17 +309,15 @@ def fit_counted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not total.get(0) or not total.get(1):
         return _nothing(docs, share, text_col, keep)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    examples = materialise(texts.join(F.broadcast(drawn), "id"), "toxicity-examples")  # at most 2 * EXAMPLES ids
+    examples = texts.join(F.broadcast(drawn), "id")  # at most 2 * EXAMPLES ids
+    examples = materialise(examples.groupBy("id", "label").agg(F.min("text").alias("text")), "toxicity-examples")
     drawn_of = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not drawn_of.get(0) or not drawn_of.get(1):
         return _nothing(docs, share, text_col, keep)
-    counted = count_terms(examples)
-    terms = {w: n for n, w in enumerate(counted.column("term").to_pylist())}
+    terms = {w: n for n, w in enumerate(vocabulary(examples))}
     counted_docs = materialise(count_known(docs, terms, text_col, keep), "toxicity-terms")
     seen, n_docs = document_frequencies(counted_docs, len(terms))
-    toxic, clean = (counted.column(c).to_numpy().astype(np.float64) for c in ("toxic", "clean"))
     idf = np.log((1 + n_docs) / (1 + seen)) + 1
-    idf *= 1 + surprise(toxic, clean, drawn_of[1] / (drawn_of[0] + drawn_of[1]))
     # the bounded sample with all its terms
     rows = count_known(examples, terms, "text", ["id", "label"]).withColumnsRenamed({"_terms": "terms", "_counts": "counts"}).toArrow()
     lengths = pc.list_value_length(rows.column("terms")).to_numpy()
@@ -313,14 +336,14 @@ def fit_counted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     w = np.where(y == 1, weight[1], weight[0])
     index = Index.packed(lengths, at, counts, idf, y, w, held.column("id").to_numpy())
     model = Model(terms, index, share, blank)
-    ends = np.cumsum(lengths)
+    examples = dict(zip(held.column("id").to_numpy().tolist(), zip(*[np.split(x, np.cumsum(lengths)[:-1]) for x in (at, counts)])))
     left_out = []
     for first in range(0, len(y), TOGETHER):
-        some = range(first, min(first + TOGETHER, len(y)))
-        score = index.cosines([(at[ends[k] - lengths[k]:ends[k]], counts[ends[k] - lengths[k]:ends[k]]) for k in some])
-        near = [index.closest(row, without=k) for k, row in zip(some, score)]
+        some = range(first, min(first + TOGETHER, len(y)))  # in the index's order
+        score = index.cosines([examples[index.ids[k]] for k in some], without=list(some))
+        near = [index.closest(row) for row in score]
         left_out += [model.raw(found) if found else share for found in near]
-    model.steps = monotone(np.array(left_out), y, w)
+    model.steps = monotone(np.array(left_out), index.labels, index.weights)
     return model, counted_docs
 
 
