@@ -3,8 +3,10 @@
 Patterns propose spans, validators confirm them (parts of an address at most
 255, Luhn for cards, mod-97 for account numbers, digit counts), and context
 words close before a span move its score. Confirmed base kinds (email, ip,
-card, phone) always stay; the kinds the method adds (iban, ssn) need a score
-of ``ACCEPT`` and must not overlap a base span.
+card, phone) always stay; the kinds the method adds (iban, ssn, secret) need a score
+of ``ACCEPT`` and must not overlap a base span. A secret is an unbroken run of at least
+20 key characters, letters and digits mixed, of at least ``ENTROPY`` bits a character; it needs a
+key word before it or the beginning of a known key format.
 
 Every text is scanned whole and in one pass per pattern; no pattern restarts
 inside a run of its own characters, so very long texts stay linear. There is
@@ -16,7 +18,9 @@ each; no rows give no rows; only the id and text columns are read.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 ORDER = {k: n for n, k in enumerate(KINDS)}
 ACCEPT = 0.6
+ENTROPY = 3.0
 
 # The base patterns. An atomic digit run cannot match from its middle
 # once its start has failed, so a look-behind changes nothing but the time.
@@ -38,9 +43,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+KEY_FORMAT = re.compile(r"AKIA|ASIA|gh[opsu]_|github_pat_|glpat-|sk[-_]|xox[abps]-|AIza|eyJ")  # fixed values: public key formats
 
 # Start score of each kind, and what a context word within CONTEXT characters before adds.
-START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.35}
+START = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.35, "secret": 0.3}
 CONTEXT = 40
 WORDS = {
     "email": {"email": 0.1, "mail": 0.1, "contact": 0.05},
@@ -49,6 +56,8 @@ WORDS = {
     "phone": {"phone": 0.2, "call": 0.2, "tel": 0.2, "mobile": 0.2, "fax": 0.1},
     "iban": {"iban": 0.2, "account": 0.1, "bank": 0.1, "konto": 0.1},
     "ssn": {"ssn": 0.5, "social": 0.4, "security": 0.3, "part": -0.2},
+    "secret": {"token": 0.4, "secret": 0.4, "password": 0.4, "passwd": 0.4, "pwd": 0.4, "key": 0.3, "apikey": 0.4, "api": 0.1,
+               "auth": 0.3, "bearer": 0.4, "credential": 0.4, "credentials": 0.4, "commit": -0.3, "sha": -0.3, "checksum": -0.4},
 }
 _WORD = re.compile(r"[a-z]+")
 
@@ -102,6 +111,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def random_key(run: str) -> bool:
+    """Whether a run mixes letters and digits and its characters are spread as a random key's are."""
+    if run.isdigit() or not any("0" <= c <= "9" for c in run) or not any(c.isalpha() for c in run):
+        return False
+    return sum(n * math.log2(len(run) / n) for n in Counter(run).values()) >= ENTROPY * len(run)
+
+
 def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
     for m in IBAN.finditer(text):
@@ -117,12 +133,14 @@ def added_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         a, b = m.span()
         if not (text[a - 1:a].isdigit() or text[b:b + 1].isdigit()) and m[0][:3] not in ("000", "666") and m[0][0] != "9":
             out.append(("ssn", a, b))
+    out += [("secret", *m.span()) for m in SECRET.finditer(text) if random_key(m[0])]
     return [s for s in out if all(s[2] <= t[1] or t[2] <= s[1] for t in taken)]
 
 
 def score(kind: str, start: int, text: str) -> float:
     near = set(_WORD.findall(text[max(0, start - CONTEXT):start].lower()))
-    return round(min(1.0, max(0.0, START[kind] + sum(v for w, v in WORDS[kind].items() if w in near))), 3)
+    known = 0.4 if kind == "secret" and KEY_FORMAT.match(text, start) else 0.0
+    return round(min(1.0, max(0.0, START[kind] + known + sum(v for w, v in WORDS[kind].items() if w in near))), 3)
 
 
 def find(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -185,7 +203,8 @@ def _joined(spans):
 def op2_pii(spark, sf_dir):
     found = find_pii(table(spark, sf_dir, "documents"))
     kinds = F.transform("spans", lambda s: s["kind"])
-    count = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count = {k: F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in KINDS}
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *count, F.sha2(_joined(base), 256).alias("base_sha256"),
-                        _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count[k] for k in BASE_KINDS], F.sha2(_joined(base), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"), *[count[k] for k in KINDS[len(BASE_KINDS):]],
+                        F.size("spans").cast("long").alias("n_spans"))
