@@ -4,6 +4,10 @@ A page is judged by the longest fitting rule. Pages no rule fits are judged by
 their host: trust flows from hosts with allowed pages along host edges
 (personalised PageRank), distrust flows from hosts with blocked pages along
 the reversed edges, and a host whose distrust exceeds its trust is blocked.
+Both are on one scale, a seed page weighing the same on either side, so the
+verdict depends on what is near a host and not on how many pages are blocked
+elsewhere. The margin is relative, whatever the size of the graph, and what
+``STEPS`` steps leave out of a mass is at most ``DAMPING ** STEPS``, 2 %.
 
 Host edges are the absolute links of the pages plus, as sites publish under
 several names, an edge both ways between a host and its parent domain (down
@@ -30,8 +34,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = "(?i)href\\s*=\\s*[\"']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\\s>]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, STEPS, CUT_EVERY = 0.85, 12, 6
-MARGIN = 1e-9  # distrust must exceed trust by more than rounding
+DAMPING, STEPS, CUT_EVERY = 0.85, 24, 6
+MARGIN = 1e-9  # the part of trust by which distrust must exceed it: more than rounding
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,7 +68,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after ``steps`` rounds from ``seeds`` (host, t, d; each sums to 1)."""
+    """(host, trust, distrust) after ``steps`` rounds from ``seeds`` (host, t, d)."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     back = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_in"))
     zero = F.lit(0.0)
@@ -93,14 +97,14 @@ def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     df = df.select("*", rule.alias("rule"), verdict.alias("by_rule"))
     count = lambda kind: F.sum(F.when(F.col("by_rule") == kind, 1.0).otherwise(0.0))
     by_host = df.groupBy("host").agg(count("allow").alias("a"), count("block").alias("b")).where("host <> ''")
-    total = by_host.agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    seeds = by_host.join(F.broadcast(total)).select(  # one row of sums
-        "host", F.coalesce(F.try_divide("a", "sa"), F.lit(0.0)).alias("t"),
-        F.coalesce(F.try_divide("b", "sb"), F.lit(0.0)).alias("d"))
+    total = by_host.agg(F.sum(F.col("a") + F.col("b")).alias("n"))
+    seeds = by_host.join(F.broadcast(total)).select(  # one row
+        "host", F.coalesce(F.try_divide("a", "n"), F.lit(0.0)).alias("t"),
+        F.coalesce(F.try_divide("b", "n"), F.lit(0.0)).alias("d"))
     edges = materialise(host_edges(df), "host-edges")
     ranks = propagate(edges, seeds)
     bad = ranks.select("host", "trust", "distrust",
-                       (F.col("distrust") > F.col("trust") * (1 + MARGIN) + MARGIN).alias("bad"))
+                       (F.col("distrust") > F.col("trust") * (1 + MARGIN)).alias("bad"))
     return df.drop("html").join(bad, "host", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"),
@@ -130,8 +134,8 @@ p AS (SELECT page_id, html, translate(regexp_extract(url, '{URL}', 1), '{UPPER}'
 q AS (SELECT *, CASE {names} END AS rule, CASE {kinds} END AS by_rule FROM p),
 h AS (SELECT host, sum(CASE by_rule WHEN 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS a,
              sum(CASE by_rule WHEN 'block' THEN 1.0::DOUBLE ELSE 0 END) AS b FROM q WHERE host <> '' GROUP BY host),
-seeds AS (SELECT host, coalesce(a / nullif((SELECT sum(a) FROM h), 0), 0) AS t,
-                 coalesce(b / nullif((SELECT sum(b) FROM h), 0), 0) AS d FROM h),
+seeds AS (SELECT host, coalesce(a / nullif((SELECT sum(a + b) FROM h), 0), 0) AS t,
+                 coalesce(b / nullif((SELECT sum(a + b) FROM h), 0), 0) AS d FROM h),
 up AS (SELECT array_to_string(l[k:], '.') AS low, array_to_string(l[k + 1:], '.') AS high
        FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM (SELECT string_split(host, '.') AS l FROM h) WHERE len(l) > 2)),
 e AS (SELECT DISTINCT src, dst FROM (
@@ -143,5 +147,5 @@ arcs AS MATERIALIZED (SELECT src, dst, sum(wt) AS wt, sum(wd) AS wd FROM (
         UNION ALL SELECT dst, src, 0.0, {DAMPING} / count(*) OVER (PARTITION BY dst) FROM e) GROUP BY src, dst),
 {', '.join(steps)}
 SELECT page_id, q.host, path, rule,
-       coalesce(by_rule, CASE WHEN r.d > r.t * {1 + MARGIN!r} + {MARGIN!r} THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(by_rule, CASE WHEN r.d > r.t * {1 + MARGIN!r} THEN 'block' ELSE 'allow' END) AS verdict
 FROM q LEFT JOIN r{STEPS} r ON q.host = r.host"""

@@ -34,6 +34,16 @@ def test_propagation_follows_links(spark):
     assert ("feeder.net", "bad.com") in {tuple(r) for r in edges.collect()}
 
 
+def test_blocked_pages_elsewhere_do_not_change_a_host(spark):
+    near = [(1, "http://site.com/fr/1", None, None, None), (2, "http://site.com/fr/2", None, None, None),
+            (3, "http://site.com/de/1", None, None, None), (4, "http://site.com/x", None, None, None),
+            (5, "http://other.com/de/1", None, None, None), (6, "http://other.com/x", None, None, None)]
+    far = [(100 + k, f"http://h{k}.net.com/{'de' if k % 9 else 'fr'}/1", None, None, None) for k in range(60)]
+    for more in ([], far, [(r[0], r[1].replace("/de/", "/fr/"), *r[2:]) for r in far]):
+        got = {r.page_id: r.verdict for r in links.filter_urls(pages(spark, near + more)).collect()}
+        assert (got[4], got[6]) == ("allow", "block")
+
+
 def test_ranks_as_in_plain_python(spark):
     arcs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "c")]
     seeds = {"a": (0.5, 0.0), "d": (0.5, 0.0), "c": (0.0, 1.0)}
