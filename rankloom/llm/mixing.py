@@ -9,14 +9,18 @@ documents are then selected by a seeded hash, so reruns agree.
 Scale: texts are read once, to count words into a narrow table written to the
 shared folder. Only sums for each pattern reach the driver, bounded by
 ``MAX_PATTERNS`` (more raise an error). Selection never orders a whole
-pattern: its hash space is cut into ``BINS``, bins are summed before the
-shuffle, whole bins are taken and only the one bin at the cut is ordered. The
-gap left by the last document is then filled with the largest documents that
-fit, ``FILLS`` times (at most ``FILL_MOST`` of one size).
+pattern: rows are summed by the top bits of their hash, then the one range at
+the cut by further bits (``BITS``), and only what shares all of them is
+ordered. The gap left by the first document that no longer fits is filled with
+documents after the cut, the largest sizes first, until none of them fits; if
+the smallest one left overshoots by less than what is missing, it is taken
+too. No step has a limit of its own: what is kept for each pattern is a count
+for each document size below twice the gap.
 
 Defined results: null text has size 0; a null source is a source of its own,
-last in order; an empty table gives no rows; repeated rows with one id are
-taken or left together; other columns pass through untouched by ``mix``'s
+last in order; an empty table gives no rows; repeated rows with one id, and ids
+whose hashes tie, are taken or left together; a text of any length is one
+document; other columns pass through untouched by ``mix``'s
 inner names, which start with ``_mix_``.
 """
 
@@ -33,10 +37,9 @@ from .common import materialise, table, word_count
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 MAX_PATTERNS = 100_000
-BINS = 4096
 SEED = 20_240_517
-FILLS = 3
-FILL_MOST = 500
+# The hash ranges a cut is narrowed down by: its top 12 bits, then 12 more.
+BITS = (52, 40)
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = MAX_REPEATS) -> list[float]:
@@ -73,33 +76,70 @@ class Flow:
 
     def run(self, source: int, sink: int) -> None:
         height = [0] * len(self.arcs)
+        while self._lift(source, sink, height):
+            while level := self._levels(source, sink, height):
+                self._block(source, sink, height, level)
+
+    def _lift(self, source: int, sink: int, height: list[int]) -> bool:
+        """Raise the potentials by the shortest distances; False if the sink is out of reach."""
+        far, queue, closed = {source: 0}, [(0, source)], set()
+        while queue:
+            d, x = heapq.heappop(queue)
+            if x in closed:
+                continue
+            closed.add(x)
+            for e in self.arcs[x]:
+                y = self.to[e]
+                if self.room[e] and y not in closed:
+                    away = d + self.cost[e] + height[x] - height[y]
+                    if away < far.get(y, away + 1):
+                        far[y] = away
+                        heapq.heappush(queue, (away, y))
+        if sink not in far:
+            return False
+        for x in range(len(height)):
+            height[x] += min(far.get(x, far[sink]), far[sink])
+        return True
+
+    def _levels(self, source: int, sink: int, height: list[int]) -> list[int] | None:
+        """Steps from the source along shortest arcs with room; None if they miss the sink."""
+        level = [-1] * len(self.arcs)
+        level[source], queue = 0, [source]
+        for x in queue:
+            for e in self.arcs[x]:
+                y = self.to[e]
+                if self.room[e] and level[y] < 0 and self.cost[e] + height[x] == height[y]:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        return level if level[sink] >= 0 else None
+
+    def _block(self, source: int, sink: int, height: list[int], level: list[int]) -> None:
+        """Fill every path of these levels, all from one search for distances."""
+        at, path, x = [0] * len(self.arcs), [], source
         while True:
-            far, via = {source: 0}, {}
-            queue, closed = [(0, source)], set()
-            while queue:
-                d, x = heapq.heappop(queue)
-                if x in closed:
-                    continue
-                closed.add(x)
-                for e in self.arcs[x]:
-                    y = self.to[e]
-                    if self.room[e] and y not in closed:
-                        away = d + self.cost[e] + height[x] - height[y]
-                        if away < far.get(y, away + 1):
-                            far[y], via[y] = away, e
-                            heapq.heappush(queue, (away, y))
-            if sink not in far:
+            if x == sink:
+                push = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= push
+                    self.room[e ^ 1] += push
+                full = next(n for n, e in enumerate(path) if not self.room[e])
+                x = self.to[path[full] ^ 1]
+                del path[full:]
+            arcs = self.arcs[x]
+            while at[x] < len(arcs):
+                e = arcs[at[x]]
+                y = self.to[e]
+                if self.room[e] and level[y] == level[x] + 1 and self.cost[e] + height[x] == height[y]:
+                    break
+                at[x] += 1
+            if at[x] < len(arcs):
+                path.append(e)
+                x = y
+            elif x == source:
                 return
-            for x in range(len(height)):
-                height[x] += far.get(x, far[sink]) if far.get(x, far[sink]) < far[sink] else far[sink]
-            path, x = [], sink
-            while x != source:
-                path.append(via[x])
-                x = self.to[via[x] ^ 1]
-            push = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= push
-                self.room[e ^ 1] += push
+            else:
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
 
 
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = MAX_REPEATS) -> dict[tuple, int]:
@@ -137,15 +177,63 @@ def route(patterns: dict[tuple, int], quotas: dict, repeats: int = MAX_REPEATS)
 
 
 def _marks(docs: DataFrame, sources, id_col: str, seed: int) -> dict:
-    """Columns the selection works on: pattern, hash and hash bin of a row."""
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    return {"_mix_p": F.to_json(F.array_sort(F.array_distinct(sources))), "_mix_h": h,
-            "_mix_b": F.pmod(h, F.lit(BINS)).cast("int")}
+    """Columns the selection works on: pattern and hash of a row."""
+    return {"_mix_p": F.to_json(F.array_sort(F.array_distinct(sources))), "_mix_h": F.xxhash64(F.lit(seed), F.col(id_col))}
+
+
+def first_left(units: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each group's ``limit`` is used up: keys, ``edge`` and ``gap``.
+
+    ``units`` holds the keys, a hash ``_mix_h`` and an amount ``n``, ``limits`` the keys and a limit.
+    In order of the hash, ``edge`` is the first one whose amount no longer fits and ``gap`` what the ones before
+    leave. Groups that fit as a whole have no row.
+    """
+    state = limits.select(*keys, "limit", F.lit(None).cast("long").alias("_mix_r"), F.lit(0).cast("long").alias("_mix_o"))
+    inside = units.join(state, keys)
+    for bits in BITS:
+        part = inside.groupBy(*keys, "limit", "_mix_o", F.shiftright("_mix_h", bits).alias("_mix_s")).agg(F.sum("n").alias("n"))
+        upto = part.withColumn("upto", F.col("_mix_o") + F.sum("n").over(Window.partitionBy(*keys).orderBy("_mix_s")))
+        state = (upto.where(F.col("upto") > F.col("limit")).groupBy(*keys, "limit")
+                     .agg(F.min(F.struct("_mix_s", (F.col("upto") - F.col("n")).alias("o"))).alias("c"))
+                     .select(*keys, "limit", F.col("c._mix_s").alias("_mix_r"), F.col("c.o").alias("_mix_o")))
+        state = materialise(state, "mix-range")
+        inside = units.join(state, keys).where(F.shiftright("_mix_h", bits) == F.col("_mix_r"))
+    upto = inside.groupBy(*keys, "limit", "_mix_o", "_mix_h").agg(F.sum("n").alias("n")).withColumn(
+        "upto", F.col("_mix_o") + F.sum("n").over(Window.partitionBy(*keys).orderBy("_mix_h")))
+    out = (upto.where(F.col("upto") > F.col("limit")).groupBy(*keys)
+               .agg(F.min(F.struct("_mix_h", (F.col("limit") - F.col("upto") + F.col("n")).alias("gap"))).alias("c"))
+               .select(*keys, F.col("c._mix_h").alias("edge"), F.col("c.gap").alias("gap")))
+    return materialise(out, "mix-cut")
+
+
+def _fill(sized: DataFrame, cut: DataFrame) -> DataFrame:
+    """(pattern, hash) of the documents after the cut that fill each pattern's gap."""
+    after = sized.join(cut, "_mix_p").where((F.col("_mix_h") >= F.col("edge")) & (F.col("size") > 0) & (F.col("gap") > 0))
+    after = after.groupBy("_mix_p", "gap", "_mix_h").agg(F.sum("size").alias("size")).where(F.col("size") < 2 * F.col("gap"))
+    after = materialise(after, "mix-after")
+    counts = after.groupBy("_mix_p", "gap", "size").agg(F.count(F.lit(1)).alias("n")).groupBy("_mix_p", "gap").agg(
+        F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("sizes"))
+    fold = F.expr("""aggregate(sizes,
+        named_struct('gap', gap, 'spare', cast(null as bigint), 'picks', cast(array() as array<struct<size:bigint,k:bigint>>)),
+        (a, x) -> named_struct(
+            'gap', a.gap - least(a.gap div x.size, x.n) * x.size,
+            'spare', if(a.gap div x.size < x.n, x.size, a.spare),
+            'picks', if(a.gap >= x.size,
+                        concat(a.picks, array(named_struct('size', x.size, 'k', least(a.gap div x.size, x.n)))), a.picks)))""")
+    more = F.expr("if(f.spare - f.gap < f.gap, array(named_struct('size', f.spare, 'k', 1L)), "
+                  "cast(array() as array<struct<size:bigint,k:bigint>>))")
+    picks = (counts.select("_mix_p", fold.alias("f")).select("_mix_p", F.explode(F.concat("f.picks", more)).alias("x"))
+                   .groupBy("_mix_p", F.col("x.size").alias("size")).agg(F.sum("x.k").alias("limit")))
+    picks = materialise(picks, "mix-picks")
+    units = after.join(picks.select("_mix_p", "size"), ["_mix_p", "size"]).select("_mix_p", "size", "_mix_h", F.lit(1).cast("long").alias("n"))
+    edges = first_left(units, picks, ["_mix_p", "size"])
+    out = units.join(edges, ["_mix_p", "size"], "left").where("edge IS NULL OR _mix_h < edge")
+    return materialise(out.select("_mix_p", "_mix_h", F.lit(True).alias("_mix_fill")), "mix-fill")
 
 
 def plan_mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED,
-             id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(sizes, rule): the narrow table of all rows, and for each pattern what to take.
+             id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes, rule, fill): the narrow table of all rows, for each pattern what to take, and the hashes that fill the gaps.
 
     ``sources`` is an array column (a document may belong to several), ``size``
     a count column. ``weights`` maps a source to its weight; without it the
@@ -169,46 +257,19 @@ def plan_mix(docs: DataFrame, sources, size, weights: dict | None = None, seed:
         base = min(MAX_REPEATS, take[p] // n) if n else 0
         first = p[0] if p else None
         rows.append((keys[p], own.get(first, 0), float(quota.get(first, 0.0)), base, take[p] - base * n))
-    plan = spark.createDataFrame(rows, "_mix_p string, source_size long, target double, base long, rest long")
-    bins = sized.groupBy("_mix_p", "_mix_b").agg(F.sum("size").alias("n"))
-    run = Window.partitionBy("_mix_p").orderBy("_mix_b")
-    cut = (bins.withColumn("upto", F.sum("n").over(run)).join(plan.select("_mix_p", "rest"), "_mix_p")
-               .where("upto > rest").groupBy("_mix_p", "rest")
-               .agg(F.min(F.struct("_mix_b", (F.col("upto") - F.col("n")).alias("before"))).alias("c"))
-               .select("_mix_p", "rest", F.col("c._mix_b").alias("cut_b"), F.col("c.before").alias("before")))
-    # only the bin at the cut is ordered: about 1 / BINS of a pattern
-    inside = sized.join(cut, "_mix_p").where("_mix_b = cut_b").withColumn(
-        "upto", F.col("before") + F.sum("size").over(Window.partitionBy("_mix_p").orderBy("_mix_h")))
-    edge = inside.where("upto <= rest").groupBy("_mix_p").agg(F.max("_mix_h").alias("edge"), F.max("upto").alias("got"))
-    cut = cut.join(edge, "_mix_p", "left").select("_mix_p", "cut_b", "edge",
-                                                  (F.col("rest") - F.coalesce("got", "before")).alias("gap"))
-    cut = materialise(cut, "mix-cut")
-    fills = cut.select("_mix_p", "gap", F.array().cast("array<bigint>").alias("fills"))
-    left = sized.join(cut.select("_mix_p", "cut_b", "edge"), "_mix_p").where(~_before_cut() & (F.col("size") > 0))
-    left = materialise(left.groupBy("_mix_p", "_mix_h").agg(F.sum("size").alias("size")), "mix-left")
-    for _ in range(FILLS):
-        some = left.join(fills, "_mix_p").where("size <= gap AND NOT array_contains(fills, _mix_h)")
-        top = some.groupBy("_mix_p").agg(F.max("size").alias("size"))
-        ranked = some.join(top, ["_mix_p", "size"]).withColumn(
-            "n", F.row_number().over(Window.partitionBy("_mix_p").orderBy("_mix_h")))
-        fit = (ranked.where((F.col("n") <= F.floor(F.col("gap") / F.col("size"))) & (F.col("n") <= FILL_MOST))
-                     .groupBy("_mix_p").agg(F.sum("size").alias("got"), F.collect_list("_mix_h").alias("more")))
-        fills = materialise(fills.join(fit, "_mix_p", "left").select(
-            "_mix_p", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"),
-            F.when(F.col("more").isNull(), F.col("fills")).otherwise(F.concat("fills", "more")).alias("fills")), "mix-fill")
-    rule = plan.join(cut.drop("gap"), "_mix_p", "left").join(fills.drop("gap"), "_mix_p", "left")
-    return sized, materialise(rule, "mix-rule")
-
-
-def _before_cut():
-    """Whether a row (its hash and bin) lies before its pattern's cut."""
-    return (F.col("_mix_b") < F.coalesce("cut_b", F.lit(BINS))) | F.coalesce(
-        (F.col("_mix_b") == F.col("cut_b")) & (F.col("_mix_h") <= F.col("edge")), F.lit(False))
-
-
-def _repeats():
-    more = (F.col("rest") > 0) & (_before_cut() | F.coalesce(F.array_contains("fills", F.col("_mix_h")), F.lit(False)))
-    return F.col("base") + F.when(more, 1).otherwise(0)
+    plan = materialise(spark.createDataFrame(rows, "_mix_p string, source_size long, target double, base long, rest long"), "mix-plan")
+    units = sized.select("_mix_p", "_mix_h", F.col("size").alias("n"))
+    cut = first_left(units, plan.select("_mix_p", F.col("rest").alias("limit")), ["_mix_p"])
+    rule = materialise(plan.join(cut.drop("gap"), "_mix_p", "left"), "mix-rule")
+    return sized, rule, _fill(sized, cut)
+
+
+def _with_repeats(rows: DataFrame, rule: DataFrame, fill: DataFrame) -> DataFrame:
+    """``rows`` with their pattern's rule and how often the mix takes them. Both tables were written, so that
+    Spark broadcasts them only where their size on disk allows it."""
+    more = (F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("_mix_h") < F.col("edge")) | F.col("_mix_fill").isNotNull())
+    return (rows.join(rule, "_mix_p").join(fill, ["_mix_p", "_mix_h"], "left")
+                .withColumn("repeats", F.col("base") + F.when(more, 1).otherwise(0)))
 
 
 def mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED,
@@ -217,8 +278,8 @@ def mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int =
 
     For a document of several sources, source_size and target are those of the first.
     """
-    sized, rule = plan_mix(docs, sources, size, weights, seed, id_col)
-    out = sized.join(F.broadcast(rule), "_mix_p").withColumn("repeats", _repeats())  # at most MAX_PATTERNS rows
+    sized, rule, fill = plan_mix(docs, sources, size, weights, seed, id_col)
+    out = _with_repeats(sized, rule, fill)
     return out.select(F.col("_mix_id").alias(id_col), "size", "source_size", "target", "repeats",
                       (F.col("size") * F.col("repeats")).alias("taken"))
 
@@ -226,10 +287,10 @@ def mix(docs: DataFrame, sources, size, weights: dict | None = None, seed: int =
 def mixed(docs: DataFrame, sources, size, weights: dict | None = None, seed: int = SEED,
           id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, unchanged."""
-    _, rule = plan_mix(docs, sources, size, weights, seed, id_col)
+    _, rule, fill = plan_mix(docs, sources, size, weights, seed, id_col)
     marks = _marks(docs, sources, id_col, seed)
     packed = docs.select(F.struct("*").alias("_mix_row"), *[c.alias(n) for n, c in marks.items()])
-    out = packed.join(F.broadcast(rule), "_mix_p").withColumn("repeats", _repeats()).where("repeats > 0")
+    out = _with_repeats(packed, rule, fill).where("repeats > 0")
     return out.select("_mix_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("_mix_row.*")
 
 

@@ -67,3 +67,56 @@ def test_odd_rows(odd_docs, no_docs):
     assert mixing.mixed(odd_docs, F.array("source"), words).count() == sum(r.repeats for r in got)
     assert mixing.mix(no_docs, F.array("source"), words).count() == 0
     assert mixing.mixed(no_docs, F.array("source"), words).count() == 0
+
+
+def test_many_patterns_cost_least():
+    rnd = random.Random(11)
+    for _ in range(40):
+        names = "abc"
+        patterns = {}
+        for _ in range(3):
+            patterns[tuple(sorted(rnd.sample(names, rnd.randint(1, 3))))] = rnd.randint(1, 3)
+        quotas = {s: rnd.randint(0, 6) for s in names}
+        got = mixing.route(patterns, quotas)
+        best = None
+        for take in itertools.product(*[range(3 * n + 1) for n in patterns.values()]):
+            fits = all(sum(t for p, t in zip(patterns, take) if set(p) <= set(some)) <= sum(quotas[s] for s in some)
+                       for r in (1, 2, 3) for some in itertools.combinations(names, r))
+            if fits:
+                cost = sum(r * r for n, t in zip(patterns.values(), take) for r in range(3) for _ in range(max(0, min(n, t - r * n))))
+                best = min(best or (0, 0), (-sum(take), cost))
+        cost = sum(r * r for p, n in patterns.items() for r in range(3) for _ in range(max(0, min(n, got[p] - r * n))))
+        assert (-sum(got.values()), cost) == (best or (0, 0))
+
+
+def test_no_fitting_document_is_left(spark):
+    """Every source ends within half its smallest document left over; thousands of equal small sizes fill one gap."""
+    rnd = random.Random(5)
+    rows = [(k, "w " * rnd.choice([3] * 40 + [700, 4001]), rnd.choice("aaab")) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(docs, F.array("source"), word_count(F.col("text"))).collect()
+    source = {k: s for k, _, s in rows}
+    for name in "ab":
+        mine = [r for r in got if source[r.doc_id] == name]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2
+
+
+def test_hash_order_narrowed_by_ranges(spark):
+    """Amounts before the edge stay within the limit, and the edge's own no longer fits."""
+    rnd = random.Random(9)
+    rows = [(g, rnd.randrange(-2**63, 2**63) if n % 3 else rnd.randrange(1 << 40, (1 << 40) + 5000), rnd.randint(0, 4))
+            for g in (1, 2, 3) for n in range(900)]
+    limits = {1: 0, 2: 777, 3: 10**6}
+    units = spark.createDataFrame(rows, "g long, _mix_h long, n long")
+    got = {r.g: (r.edge, r.gap) for r in mixing.first_left(
+        units, spark.createDataFrame(list(limits.items()), "g long, limit long"), ["g"]).collect()}
+    want = {}
+    for g, limit in limits.items():
+        total = 0
+        for h in sorted({h for k, h, _ in rows if k == g}):
+            n = sum(n for k, x, n in rows if (k, x) == (g, h))
+            if total + n > limit:
+                want[g] = (h, limit - total)
+                break
+            total += n
+    assert got == want and 3 not in got
