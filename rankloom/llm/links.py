@@ -18,7 +18,9 @@ every few steps.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, no rule and the verdict allow; repeated rows are judged each; no rows
-give no rows; null html has no links; only page_id, url and html are read.
+give no rows; null html has no links; urls and html of any length are read
+whole, so the last link of a long page counts like its first; only page_id,
+url and html are read.
 """
 
 from __future__ import annotations

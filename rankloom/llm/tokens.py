@@ -9,8 +9,9 @@ the sections' counts always add up to the count of the whole text.
 
 Rows are encoded where they are scanned, without a shuffle. Offsets are code
 points. Defined results: null fields count as empty; a row without any text
-has its field sections with 0 tokens; repeated rows are counted each; no rows
-give no rows; only the id and the named fields are read.
+has its field sections with 0 tokens; repeated rows are counted each; a row of
+any length is encoded whole; no rows give no rows; only the id and the named
+fields are read.
 """
 
 from __future__ import annotations

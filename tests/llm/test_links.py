@@ -64,3 +64,15 @@ def test_no_python_in_the_plan(spark, small_dir):
     from rankloom.llm.common import table
     text = links.filter_urls(table(spark, small_dir, "pages"))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_very_long_url_and_html(spark):
+    """The last link behind a megabyte of text still carries distrust, and a long path is returned whole."""
+    filler = "<p>words and words</p>" * 50_000
+    tail = "/" + "p" * 100_000
+    rows = [(1, "http://shop.com/de/1", None, None, None),
+            (2, "http://far.net/a", filler + '<a href="http://shop.com/x">', None, None),
+            (3, "http://other.net" + tail, filler, None, None)]
+    got = {r.page_id: r for r in links.filter_urls(pages(spark, rows)).collect()}
+    assert got[1].verdict == "block" and got[2].verdict == "block"
+    assert got[3].path == tail and got[3].verdict == "allow"
