@@ -87,3 +87,24 @@ def test_nothing_is_left_persisted(spark):
     assert G.place_distance(items, places).count() == 2
     assert G.place_distance(items, places.limit(0)).count() == 0 and G.place_distance(items.limit(0), places).count() == 0
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_lists_stay_short_as_places_multiply(spark):
+    """Ten times the places inside every radius: the same distances as brute force, and lists that are no longer."""
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    items = [(i, 10 + rnd.random() / 5, 70 + rnd.random() / 5) for i in range(200)]
+    idf = spark.createDataFrame(items, "itemid long, lat double, lng double")
+    sizes = []
+    for n in (200, 2000):
+        places = [(p, 10 + rnd.random() / 5, 70 + rnd.random() / 5, rnd.choice([None, 0.1, 0.2, rnd.random()])) for p in range(n)]
+        pdf = spark.createDataFrame(places, "placeid long, lat double, lng double, conversion double")
+        got = {r.itemid: r.distance_backfill for r in G.place_distance(idf, pdf).collect()}
+        want = brute(items, places)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+        points = G._xyz(pdf, "lat", "lng").select("lat", "lng", F.struct(F.col("conversion").isNull().alias("none"), (-F.col("conversion")).alias("value")).alias("_conv"),
+                                                  G._tree_cell().alias("_cell"))
+        at = G._xyz(idf, "lat", "lng").withColumn("_cell", G._tree_cell())
+        lists, _ = G.candidate_lists(at, points, 5.0)
+        sizes.append(lists.agg(F.avg(F.size("_places"))).first()[0])
+    assert sizes[1] < 2 * sizes[0] + 4
