@@ -114,3 +114,22 @@ def test_skew_safe_rank_equals_window(spark):
     a = {r.itemid: r.rk for r in rank_within(df, "requestid", order, "rk").collect()}
     b = {r.itemid: r.rk for r in rank_within(df, "requestid", order, "rk", skew_safe=True, partitions=9).collect()}
     assert a == b
+
+
+def test_model_inputs_run_the_feature_plan_once(spark, monkeypatch):
+    """The statistics and the inputs read one written table: no join of the training table is left in their plan."""
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import encode as EN
+    from rankloom.plans import catalog_features as CF
+    from rankloom.plans import catalog_io as CI
+    ids = spark.range(20)
+    rows = ids.select(F.col("id").cast("string").alias("requestid"), F.col("id").alias("itemid"), F.lit("website").alias("platform"),
+                      *[(F.col("id") + k).cast("double").alias(c) for k, c in enumerate(EN.NUMERIC_FEATURES)],
+                      *[F.lit(1).alias(c) for c in EN.FLAG_FEATURES])
+    joined = rows.join(ids.hint("merge"), rows["itemid"] == ids["id"]).drop("id")
+    monkeypatch.setattr(CF, "training", lambda spark, sf: joined)
+    for query, n in ((CF.q_model_input, 20), (CI.q_assemble, 20 * 42)):
+        df = query(spark, "")
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == n
