@@ -102,3 +102,28 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
 
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_distinct_by_holds_no_hash_maps(spark):
+    """Equal rows, null ones too, meet in a sort, which spills; a plain distinct kept a partition in two hash maps."""
+    from rankloom.sources.logs import distinct_by
+    rows = [("a", 1, 2.0), ("a", 1, 2.0), ("a", 1, None), ("a", 1, None), (None, None, None), (None, None, None), ("b", 1, 0.0), ("b", 1, -0.0)]
+    df = spark.createDataFrame(rows, "requestid string, itemid int, x double")
+    out = distinct_by(df, ["requestid", "itemid"])
+    key = lambda r: str(tuple(abs(v) if isinstance(v, float) else v for v in r))
+    assert out.columns == df.columns and sorted(map(key, out.collect())) == sorted(map(key, df.distinct().collect()))
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chain_flags_events_before_the_wide_joins(spark, small_dir, monkeypatch):
+    from rankloom.operators import assemble as A
+    from rankloom.plans import catalog_assembly as CA
+    seen, real = [], A.with_realised_flag
+    monkeypatch.setattr(A, "with_realised_flag", lambda df, r: seen.append(set(df.columns)) or real(df, r))
+    CA.chain_spark(spark, small_dir, len(CA.CHAIN) - 1)
+    assert seen == [{"itemid", "requestid", "bookingid", "event"}]
+
+
+def test_semi_join_assembles_once(spark, small_dir):
+    from rankloom.plans import catalog_features as CF
+    assert not [f for f in CF.q_semi_clicked(spark, small_dir).inputFiles() if "lineitem" in f]
