@@ -12,6 +12,7 @@ training and scoring share this one path; ``Bundle`` saves and loads them.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,12 +171,113 @@ def weighted_copies(df: DataFrame, weights: dict[int, float], label: str = "labe
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).drop("_copy")
 
 
+def dense_blocks(df: DataFrame, layout: Layout, weights: dict[int, float]) -> DataFrame:
+    """The rows' dense inputs, labels and class weights, packed by batch and written: the fit's passes read nothing else."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..session import materialize
+    w = F.when(F.col("label") == 1, float(weights[1])).otherwise(float(weights[0]))
+    rows = as_vectors(df, layout, crosses=False).select(
+        vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"), w.alias("w"))
+
+    def pack(batches):
+        import pyarrow as pa
+        for b in batches:
+            flat = [b.column(0).flatten(), b.column(1), b.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in flat],
+                                             ["x", "y", "w"])
+
+    return materialize(rows.mapInArrow(pack, "x binary, y binary, w binary"), "learner_blocks")
+
+
+def weighted_slope(blocks: DataFrame, sizes: list[int], flat) -> tuple[float, np.ndarray]:
+    """Mean weighted cross-entropy of a perceptron (sigmoid units, softmax of two) at the ``flat`` weights, and its gradient.
+
+    Each task works out its blocks' sums; what comes to the driver has the network's size, whatever the rows."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        layers, at = [], 0
+        for n, m in zip(sizes, sizes[1:]):
+            layers.append((flat[at:at + n * m].reshape(n, m), flat[at + n * m:at + (n + 1) * m]))
+            at += (n + 1) * m
+        loss = total = 0.0
+        slope = np.zeros(len(flat))
+        for batch in batches:
+            for x, y, w in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                x, y, w = (np.frombuffer(v) for v in (x, y, w))
+                acts = [x.reshape(len(y), sizes[0])]
+                for matrix, bias in layers[:-1]:
+                    acts.append(0.5 * (1 + np.tanh(0.5 * (acts[-1] @ matrix + bias))))     # the sigmoid, without overflow
+                out = acts[-1] @ layers[-1][0] + layers[-1][1]
+                out -= out.max(axis=1, keepdims=True)
+                log_all = np.log(np.exp(out).sum(axis=1))
+                side = y.astype(int)
+                line = np.arange(len(y))
+                loss += float((w * (log_all - out[line, side])).sum())
+                total += float(w.sum())
+                delta = np.exp(out - log_all[:, None])
+                delta[line, side] -= 1
+                delta *= w[:, None]
+                parts = []
+                for k in range(len(layers) - 1, -1, -1):
+                    parts.append(np.concatenate([(acts[k].T @ delta).ravel(), delta.sum(axis=0)]))
+                    if k:
+                        delta = (delta @ layers[k][0].T) * acts[k] * (1 - acts[k])
+                slope += np.concatenate(parts[::-1])
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([total]), pa.array([slope.tobytes()], pa.binary())],
+                                         ["loss", "total", "slope"])
+
+    rows = blocks.mapInArrow(run, "loss double, total double, slope binary").toArrow().to_pylist()
+    total = sum(r["total"] for r in rows)
+    return sum(r["loss"] for r in rows) / total, sum(np.frombuffer(r["slope"]) for r in rows) / total
+
+
+def descend(slope_at, start: np.ndarray, max_iter: int, tol: float = 1e-6, memory: int = 10) -> np.ndarray:
+    """The L-BFGS minimum of a function that returns (value, gradient): steps are halved until the value falls enough."""
+    x, (value, g) = start, slope_at(start)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in range(max_iter):
+        d, back = -g, []
+        for s, y in reversed(steps):
+            back.append(s @ d / (s @ y))
+            d = d - back[-1] * y
+        if steps:
+            s, y = steps[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(back)):
+            d = d + s * (a - y @ d / (s @ y))
+        size = 1.0 if steps else min(1.0, 1.0 / max(np.linalg.norm(g), 1e-300))
+        for _ in range(20):
+            new, (new_value, new_g) = x + size * d, slope_at(x + size * d)
+            if new_value <= value + 1e-4 * size * (g @ d):
+                break
+            size /= 2
+        else:
+            return x
+        if (new - x) @ (new_g - g) > 1e-12:      # keeps the curvature positive
+            steps = [*steps, (new - x, new_g - g)][-memory:]
+        done = abs(value - new_value) <= tol * max(abs(value), abs(new_value))
+        x, value, g = new, new_value, new_g
+        if done:
+            return x
+    return x
+
+
 def fit_deep(df: DataFrame, layout: Layout, hidden: list[int], weights: dict[int, float], seed: int = 42, max_iter: int = 100):
-    """Multilayer perceptron on the dense inputs, the affinity and the city one-hot, classes weighted by copies."""
+    """Multilayer perceptron on the dense inputs, the affinity and the city one-hot, on the class-weighted loss.
+
+    Spark's perceptron takes no weight column, and copies of the rows cost their class weight in time. The loss over
+    ``weighted_copies`` is worked out from each row once, with its weight, by every task over its rows; L-BFGS descends
+    it from Spark's own seeded start. The result is Spark's model with the weights found."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[layout.types, *hidden, 2], seed=seed,
-                                         maxIter=max_iter)
-    return mlp.fit(weighted_copies(as_vectors(df, layout, crosses=False).select("features", "label"), weights))
+    from pyspark.ml.linalg import Vectors
+    sizes = [layout.types, *hidden, 2]
+    mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=sizes, seed=seed, maxIter=0)
+    blank = df.sparkSession.createDataFrame([(Vectors.dense([0.0] * sizes[0]), 0.0)], ["features", "label"])     # holds the shape
+    blocks = dense_blocks(df, layout, weights)
+    found = descend(lambda flat: weighted_slope(blocks, sizes, flat), mlp.fit(blank).weights.toArray(), max_iter)
+    return mlp.setInitialWeights(Vectors.dense(found)).fit(blank)
 
 
 def layers_of(sizes: list[int], weights) -> list[dict]:

@@ -101,3 +101,26 @@ def test_bundle_reloads_in_another_session(spark, parts, tmp_path):
     assert B.Bundle(other, root).manifest.version == second and B.Bundle(other, root, first).manifest.number == 1
     with pytest.raises(FileNotFoundError):
         B.Bundle(other, str(tmp_path / "nothing"))
+
+
+def test_deep_fit_weighs_rows_without_copies(spark, parts, monkeypatch):
+    """The weighted loss and its slope are those of the copied rows; the fit lowers it and makes no copies."""
+    import numpy as np
+    _, _, layout, rows = parts
+    weights, sizes = {0: 1.0, 1: 5.0}, [layout.types, 4, 2]
+    flat = np.random.Generator(np.random.PCG64(3)).normal(size=sum((n + 1) * m for n, m in zip(sizes, sizes[1:]))) / 4
+    blocks = LN.dense_blocks(rows, layout, weights)
+    value, slope = LN.weighted_slope(blocks, sizes, flat)
+    copied = LN.dense_blocks(LN.weighted_copies(rows, weights), layout, {0: 1.0, 1: 1.0})
+    same, same_slope = LN.weighted_slope(copied, sizes, flat)
+    assert abs(value - same) < 1e-9 and np.allclose(slope, same_slope, atol=1e-9)
+    for k in (0, 17, len(flat) - 1):
+        step = np.zeros(len(flat))
+        step[k] = 1e-5
+        up, down = (LN.weighted_slope(blocks, sizes, flat + s)[0] for s in (step, -step))
+        assert abs((up - down) / 2e-5 - slope[k]) < 1e-6
+    monkeypatch.setattr(LN, "weighted_copies", lambda *a: pytest.fail("copied"))
+    model = LN.fit_deep(rows, layout, [4], weights, max_iter=10)
+    start = LN.fit_deep(rows, layout, [4], weights, max_iter=0)
+    after, before = (LN.weighted_slope(blocks, sizes, m.weights.toArray())[0] for m in (model, start))
+    assert after < before
