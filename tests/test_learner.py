@@ -124,3 +124,16 @@ def test_deep_fit_weighs_rows_without_copies(spark, parts, monkeypatch):
     start = LN.fit_deep(rows, layout, [4], weights, max_iter=0)
     after, before = (LN.weighted_slope(blocks, sizes, m.weights.toArray())[0] for m in (model, start))
     assert after < before
+
+
+def test_scoring_does_not_encode_the_training_table_first(spark, small_dir, monkeypatch):
+    made, real = [], CL.materialize
+    monkeypatch.setattr(CL, "_KEPT", {})
+    monkeypatch.setattr(CL, "_ENTRIES", {}, raising=False)
+    train, tables, layout, _ = CL.frame(spark, small_dir)
+    monkeypatch.setattr(CL, "training", lambda *a: train)
+    monkeypatch.setattr(CL, "materialize", lambda df, name: made.append(name) or real(df, name))
+    CL._KEPT.clear()
+    CL._ENTRIES.clear()
+    assert CL.q_score(spark, small_dir).count() == train.count()
+    assert "learner_rows" in made and "learner_entries" not in made
