@@ -127,3 +127,26 @@ def test_chain_flags_events_before_the_wide_joins(spark, small_dir, monkeypatch)
 def test_semi_join_assembles_once(spark, small_dir):
     from rankloom.plans import catalog_features as CF
     assert not [f for f in CF.q_semi_clicked(spark, small_dir).inputFiles() if "lineitem" in f]
+
+
+def test_city_filter_comes_before_the_rates(spark, monkeypatch):
+    """The training table's rate joins get the candidates of the searched city only; the rows are those of a filter at the end."""
+    from rankloom.operators import features as FE
+    from rankloom.operators import geo as G
+    from rankloom.plans import pipeline as P
+    ids = F.col("id")
+    own = {"requestid": (ids % 9).cast("string"), "itemid": ids % 13, "userid": (ids % 4).cast("string"), "placeid": ids % 5,
+           "cityid": F.when(ids % 7 > 0, ids % 3), "searchdate": F.date_add(F.lit("2019-11-01").cast("date"), (ids % 6).cast("int")),
+           "event": F.when(ids % 3 == 0, "hotel_details_page").when(ids % 3 == 1, "booking"), "realised_flag": F.lit(None).cast("int"),
+           "checkin": F.lit("2019-11-20").cast("date"), "checkout": F.lit("2019-11-22").cast("date"), "nearbysearch": F.lit(0), "iscitysearch": F.lit(0)}
+    numbers = ["slasherprice", *[f"{u}{c}count" for u in ("", "user") for c in ("booking", "impression", "detail")],
+               *[f"{c}_count" for c in ("booking", "impression", "details")], *[c for c in FE.PASS_THROUGH if c not in own]]
+    prepared = spark.range(200).select(*[e.alias(c) for c, e in own.items()], *[(ids % 11 + k).cast("double").alias(c) for k, c in enumerate(numbers)]).cache()
+    city = spark.createDataFrame([(k, k % 3) for k in range(12)] + [(4, 2), (4, 2), (5, None)], "itemid long, cityid_item long")
+    got, rates = [], P.with_rates
+    monkeypatch.setattr(P, "with_rates", lambda df, *a: got.append(df) or rates(df, *a))
+    early = P.base_table(prepared, item_city=city)
+    late = G.same_city(P.base_table(prepared), city)
+    assert sorted(map(repr, early.select(*late.columns).collect())) == sorted(map(repr, late.collect()))
+    assert 0 < got[0].count() == late.count() < got[1].count()
+    prepared.unpersist()
