@@ -10,6 +10,7 @@ from ..functions.flags import label, target
 from ..functions.vectors import parse_vector
 from ..operators import encode as E
 from ..operators import rank as RK
+from ..session import materialize
 from . import catalog_assembly as CA
 from .catalog_history import _d, per_request
 from .registry import by_position, finish, register, sql_by_position
@@ -155,7 +156,9 @@ tab AS (SELECT iv.index, CAST(e.embedding AS DOUBLE[]) AS v FROM item_embedding
 
 
 def emb_table(spark, sf):
-    return E.embedding_table(view(spark, sf, "item_embedding"), item_vocab(spark, sf))
+    """The vectors by index, written: the planner knows their size, and broadcasts them where they are small, so
+    that no vector is shuffled with the rows that look it up."""
+    return materialize(E.embedding_table(view(spark, sf, "item_embedding"), item_vocab(spark, sf)), "vectors")
 
 
 @register("agg_mean_vector", sql_by_position(duck_with(
@@ -184,9 +187,9 @@ pooled AS (SELECT requestid, list(m ORDER BY d) AS pooled FROM (SELECT requestid
            GROUP BY requestid)"""
 
 
-def pooled(spark, sf):
+def pooled(spark, sf, tab):
     req = per_request(spark, sf).withColumn("ids", F.coalesce(F.col("history")["itemid"], F.array().cast("array<bigint>")))
-    return E.pool_history(req.select("requestid", "ids"), "ids", emb_table(spark, sf), "pooled", by="itemid").select("requestid", "pooled")
+    return E.pool_history(req.select("requestid", "ids"), "ids", tab, "pooled", by="itemid").select("requestid", "pooled")
 
 
 def _pool_sql(body: str) -> str:
@@ -206,7 +209,7 @@ req AS (SELECT requestid, h FROM (SELECT *, row_number() OVER (PARTITION BY requ
 
 @register("enc_history_pool", sql_by_position(_pool_sql("SELECT requestid, pooled FROM pooled"), "pooled", "requestid"))
 def q_pool(spark, sf):
-    return by_position(pooled(spark, sf), "pooled", "requestid")
+    return by_position(pooled(spark, sf, emb_table(spark, sf)), "pooled", "requestid")
 
 
 @register("enc_embedding_dot", _pool_sql("""SELECT t.event_id, list_dot_product(tab.v, p.pooled) AS history_affinity
@@ -215,7 +218,9 @@ def q_pool(spark, sf):
 def q_dot(spark, sf):
     t = E.lookup(te(spark, sf).select("event_id", "requestid", "itemid"), "itemid", item_vocab(spark, sf))
     tab = emb_table(spark, sf)
-    t = t.join(tab.drop("itemid"), t["itemid_idx"] == tab["index"]).join(pooled(spark, sf), "requestid")
+    # by request first: the item's vector is not yet in the rows that move
+    t = t.join(pooled(spark, sf, tab), "requestid")
+    t = t.join(tab.drop("itemid"), t["itemid_idx"] == tab["index"])
     return finish(t.select("event_id", E.embedding_dot("vector", "pooled").alias("history_affinity")))
 
 

@@ -150,3 +150,17 @@ def test_city_filter_comes_before_the_rates(spark, monkeypatch):
     assert sorted(map(repr, early.select(*late.columns).collect())) == sorted(map(repr, late.collect()))
     assert 0 < got[0].count() == late.count() < got[1].count()
     prepared.unpersist()
+
+
+def test_history_vectors_are_not_shuffled(spark, small_dir):
+    """A small vector table is broadcast from the start: the vectors of a request meet where its history is."""
+    from rankloom.plans.catalog_encode import q_dot
+    p = q_dot(spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_key" not in p and "hashpartitioning(_id" not in p and "hashpartitioning(itemid_idx" not in p
+
+
+def test_pool_of_lists_longer_and_shorter_than_n(spark):
+    table = spark.createDataFrame([(0, None, [1.0, -2.0]), (1, 7, [0.5, 3.0]), (2, 8, [4.0, 0.25])], "index int, itemid long, vector array<double>")
+    df = spark.createDataFrame([("a", [7, 99, 8]), ("b", []), ("c", None), ("d", [8, 8, 7, 0])], "requestid string, ids array<long>")
+    got = {r.requestid: r.p for r in encode.pool_history(df, "ids", table, "p", n=3, by="itemid").collect()}
+    assert got == {"a": [5.5 / 3, 1.25 / 3], "b": [1.0, -2.0], "c": [1.0, -2.0], "d": [9.5 / 4, 1.5 / 4]}
