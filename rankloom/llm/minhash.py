@@ -41,6 +41,7 @@ from ..operators.encode import dense_index
 from .common import materialise, slices, table
 from .components import connected_components
 from .shingles import mix64, shingle_sets
+from .sieve import Sieve, without
 
 ROWS = 5
 MISS = 1e-5  # chance that a pair at the threshold shares no band
@@ -114,17 +115,20 @@ def _prints(id_col: str, bands: int):
     return run
 
 
-def _sets(batches):
-    for b in slices(batches, text=1):
-        hashes, offsets = shingle_sets(b.column(1))
-        values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b.column(0), values], ["node", "shingles"])
+def _sets(sieve: Sieve):
+    def run(batches):
+        for b in slices((b.filter(sieve.passes(b.column(0))) for b in batches), text=1):
+            hashes, offsets = shingle_sets(b.column(1))
+            values = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), values], ["node", "shingles"])
+    return run
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) for the documents in ``nodes``; one row for an id that is repeated with one text."""
-    some = docs.join(nodes, docs["_id"] == nodes["node"], "left_semi")
-    return some.mapInArrow(_sets, "node long, shingles array<long>")
+    """(node, shingles) for the documents in ``nodes``, worked out where the texts are read: no text is shuffled.
+
+    The sieve lets a few other documents pass; both callers join the sets with the nodes."""
+    return docs.mapInArrow(_sets(Sieve(nodes)), "node long, shingles array<long>")
 
 
 def _linked(shared, n_a, n_b, percent: int):
@@ -210,7 +214,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_
     node = id_col if unique else "_node"
     found = near_duplicates(named, percent, node, text_col)
     lost = materialise(found.where(F.col(node) != F.col("component_id")).select(node).distinct(), "minhash-lost")
-    kept = named.join(lost, node, "left_anti")
+    kept = without(named, lost)
     if not unique:
         kept = kept.where(F.col(node).isNull()).unionByName(kept.where(F.col(node).isNotNull()).dropDuplicates([node]))
     return kept.select(*docs.columns)
