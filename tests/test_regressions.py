@@ -164,3 +164,39 @@ def test_pool_of_lists_longer_and_shorter_than_n(spark):
     df = spark.createDataFrame([("a", [7, 99, 8]), ("b", []), ("c", None), ("d", [8, 8, 7, 0])], "requestid string, ids array<long>")
     got = {r.requestid: r.p for r in encode.pool_history(df, "ids", table, "p", n=3, by="itemid").collect()}
     assert got == {"a": [5.5 / 3, 1.25 / 3], "b": [1.0, -2.0], "c": [1.0, -2.0], "d": [9.5 / 4, 1.5 / 4]}
+
+
+def _shuffle_files(spark):
+    import os
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_a_written_stage_leaves_only_itself(spark):
+    """The disk holds one stage at a time: no shuffle file, no folder and no persisted table of its making stays."""
+    import os
+
+    counted = lambda n: spark.range(1000).select((F.col("id") % n).alias("k")).groupBy("k").count()
+    kept = session.materialize(spark.range(3).withColumnRenamed("id", "k"), "kept")
+    folders, base = set(session._SCRATCH[spark.sparkContext.applicationId]), session.checkpoint_dir(spark)
+    persisted = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    df = session.written_stage(spark, "outer", lambda: session.hold(session.materialize(counted(10), "inner").repartition(3, "k")).join(kept, "k"))
+    left = set(session._SCRATCH[spark.sparkContext.applicationId]) - folders
+    assert len(left) == 1 and "/outer-" in next(iter(left)) and df.count() == 3 == kept.count()
+    assert not [d for d in os.listdir(base) if d.startswith("inner-")]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == persisted
+    before = _shuffle_files(spark)
+    session.materialize(counted(7), "counts")
+    assert _shuffle_files(spark) <= before
+
+
+def test_the_semi_join_keeps_its_prepared_table_only(spark, small_dir):
+    """What the assembly writes on the way is deleted, and the staged assembly gives the rows of the plain one."""
+    from rankloom.plans import catalog_assembly as CA
+    from rankloom.plans import catalog_features as CF
+    folders = set(session._SCRATCH.get(spark.sparkContext.applicationId, []))
+    CF.q_semi_clicked(spark, small_dir)
+    left = set(session._SCRATCH[spark.sparkContext.applicationId]) - folders
+    assert len(left) == 1 and "/prepared-" in next(iter(left))
+    plain, staged = (CA.assembled(spark, small_dir, staged=k) for k in (False, True))
+    assert staged.columns == plain.columns and sorted(map(repr, staged.collect())) == sorted(map(repr, plain.collect()))
