@@ -133,3 +133,14 @@ def test_model_inputs_run_the_feature_plan_once(spark, monkeypatch):
         df = query(spark, "")
         assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.count() == n
+
+
+def test_training_table_keeps_one_stage_on_disk(spark, small_dir):
+    """The pull, the click ranges and the place lists end when the feature stage is written."""
+    from rankloom import session
+    from rankloom.plans.catalog_features import training
+    before = set(session._SCRATCH.get(spark.sparkContext.applicationId, []))
+    df = training(spark, small_dir)
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(session._SCRATCH[spark.sparkContext.applicationId]) - before}
+    assert "features_stage" in left and not left & {"raw_pull", "candidates", "priced", "click_ranges", "place_points", "place_lists"}
+    assert df.count() > 0
