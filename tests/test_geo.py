@@ -108,3 +108,19 @@ def test_lists_stay_short_as_places_multiply(spark):
         lists, _ = G.candidate_lists(at, points, 5.0)
         sizes.append(lists.agg(F.avg(F.size("_places"))).first()[0])
     assert sizes[1] < 2 * sizes[0] + 4
+
+
+def test_radius_pairs_of_crowded_cells_are_dealt_without_a_broadcast(spark, monkeypatch):
+    """The places copied into their neighbour cells are not sent to the driver; a cell's items meet them in parts, each pair once."""
+    rnd = random.Random(8)
+    monkeypatch.setattr(G, "PART_ITEMS", 7, raising=False)
+    items = [(i, 10 + rnd.random() / 50, 70 + rnd.random() / 50) for i in range(120)] + [(500, -45.0, 10.0), (501, None, 70.0), (None, 10.0, 70.0), (3, 10.0, 70.0), (3, 10.0, 70.0)]
+    places = [(p, 10 + rnd.random() / 10, 70 + rnd.random() / 10) for p in range(60)] + [(900, 10.0, None), (901, 60.0, 60.0), (7, 10.01, 70.0)]
+    idf = spark.createDataFrame(items, "itemid long, lat double, lng double")
+    pdf = spark.createDataFrame(places, "placeid long, lat double, lng double")
+    out = G.radius_pairs(idf, pdf, 5.0)
+    got = sorted(((r.itemid, r.placeid, round(r.dist, 6)) for r in out.collect()), key=str)
+    near = [(i, p, round(hav(la, lo, pla, plo), 6)) for i, la, lo in items for p, pla, plo in places if la is not None and plo is not None]
+    assert got == sorted([t for t in near if t[2] <= 5.0], key=str) and len(got) > 1000
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in p and "SortMergeJoin" in p
