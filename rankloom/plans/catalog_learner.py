@@ -18,7 +18,7 @@ from ..operators import encode as E
 from ..operators import learner as LN
 from ..operators import model as M
 from ..operators import rank as RK
-from ..session import materialize, scratch_path, written_stage
+from ..session import materialize, one_stage, scratch_path
 from ..streaming.scoring import score_files
 from .catalog_encode import HASH_SQL
 from .catalog_features import training
@@ -37,7 +37,8 @@ def trained(spark, sf):
     """(training table, fitted tables, layout), written once a session and data folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _KEPT:
-        train = written_stage(spark, "learner_rows", lambda: training(spark, sf))
+        with one_stage(spark):
+            train = materialize(training(spark, sf), "learner_rows")
         tables = {k: materialize(t, f"learner_{k}") for k, t in LN.fit_tables(train, view(spark, sf, "item_embedding")).items()}
         _KEPT[key] = train, tables, LN.Layout(tables["cities"].count())
     return _KEPT[key]
@@ -48,7 +49,8 @@ def frame(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     train, tables, layout = trained(spark, sf)
     if key not in _ENTRIES:
-        _ENTRIES[key] = written_stage(spark, "learner_entries", lambda: LN.encode_rows(train, tables, layout))
+        with one_stage(spark):
+            _ENTRIES[key] = materialize(LN.encode_rows(train, tables, layout), "learner_entries")
     return train, tables, layout, _ENTRIES[key]
 
 
